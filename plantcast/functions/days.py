@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from plantcast.config import PlanConfig
+from plantcast.functions.values import literal
 
 
-def instant(moment: datetime) -> Column:
-    """Timestamp literal without time zone, independent of the driver's local zone."""
-    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+def history_days(cfg: PlanConfig) -> str:
+    return f"sequence({literal(cfg.history_start)}, {literal(cfg.history_end)})"
 
 
-def history_days(cfg: PlanConfig) -> Column:
-    return F.sequence(F.lit(cfg.history_start), F.lit(cfg.history_end))
+def forecast_days(cfg: PlanConfig) -> str:
+    return f"sequence({literal(cfg.forecast_start)}, {literal(cfg.forecast_end)})"
 
 
-def forecast_days(cfg: PlanConfig) -> Column:
-    return F.sequence(F.lit(cfg.forecast_start), F.lit(cfg.forecast_end))
+def in_history(cfg: PlanConfig, c: str = "order_date") -> str:
+    return f"{c} BETWEEN {literal(cfg.history_start)} AND {literal(cfg.history_end)}"
 
 
 def weekday_counts(start: date, days: int) -> list[int]:
@@ -31,18 +30,18 @@ def weekday_counts(start: date, days: int) -> list[int]:
     return counts
 
 
-def filled(c: Column | str, days: int) -> Column:
+def filled(c: str, days: int) -> str:
     """Per-day array of doubles, all zero where a left join found nothing."""
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.array_repeat(F.lit(0.0), days))
+    return f"coalesce({c}, array_repeat(0.0D, {days})) AS {c}"
 
 
-def per_day(df: DataFrame, days: Column, keys: list[str], **arrays: str) -> DataFrame:
-    """Spread per-day arrays to one row per key and day; each keyword names an output column.
+def per_day(df: DataFrame, cfg: PlanConfig, keys: list[str], **arrays: str) -> DataFrame:
+    """Spread per-day arrays to one row per key and forecast day; a keyword names an output column.
 
     The arrays are indexed after the explode, so one that nobody reads is pruned away
     together with everything computed for it.
     """
     sources = list(dict.fromkeys(arrays.values()))
-    spread = df.select(*keys, *sources, F.posexplode(days).alias("day_no", "forecast_date"))
-    values = [F.get(source, F.col("day_no")).alias(name) for name, source in arrays.items()]
-    return spread.select("forecast_date", *keys, *values)
+    spread = df.selectExpr(*keys, *sources, f"posexplode({forecast_days(cfg)}) AS (day_no, forecast_date)")
+    values = [f"get({source}, day_no) AS {name}" for name, source in arrays.items()]
+    return spread.selectExpr("forecast_date", *keys, *values)

@@ -1,44 +1,59 @@
-"""Column helpers for coercion and rounding."""
+"""SQL fragments and column helpers for coercion and rounding.
+
+Expressions are written as SQL text: Spark parses a whole one in a single call, where
+building it from column functions would take a call to the JVM per node.
+"""
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def number(c: Column | str) -> Column:
+def literal(value: float | date | datetime) -> str:
+    """SQL literal of a double, a date or a timestamp without time zone."""
+    if isinstance(value, datetime):
+        return f"TIMESTAMP_NTZ'{value.isoformat(sep=' ')}'"
+    if isinstance(value, date):
+        return f"DATE'{value.isoformat()}'"
+    return f"{float(value)!r}D"
+
+
+def number_sql(c: str) -> str:
+    return f"nanvl(try_cast({c} AS double), CAST(NULL AS double))"
+
+
+def number(c: str) -> Column:
     """Double value of a column of any type; unreadable text and NaN become null."""
-    value = (F.col(c) if isinstance(c, str) else c).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.expr(number_sql(c))
 
 
-def number_or(c: Column | str, default: float) -> Column:
-    return F.coalesce(number(c), F.lit(float(default)))
+def number_or(c: str, default: float) -> Column:
+    return F.expr(f"coalesce({number_sql(c)}, {literal(default)})")
 
 
-def leading_integer(c: Column | str) -> Column:
+def leading_integer(c: str) -> Column:
     """Integer that a text starts with: ``' 12ab'`` is 12, ``'ab'`` is 0, null stays null.
 
     A run of digits too long for a bigint gives null.
     """
-    digits = F.regexp_extract(F.trim(c), r"^\s*\+?([0-9]+)", 1)
-    text = F.col(c) if isinstance(c, str) else c
-    return F.when(digits != "", digits.try_cast("bigint")).when(text.isNotNull(), F.lit(0).cast("bigint"))
+    digits = rf"regexp_extract({c}, r'^\s*\+?([0-9]+)', 1)"
+    return F.expr(f"CASE WHEN {digits} <> '' THEN try_cast({digits} AS bigint) WHEN {c} IS NOT NULL THEN 0L END")
 
 
-def half_even(c: Column, digits: int = 0) -> Column:
+def half_even(c: str, digits: int = 0) -> Column:
     """Round a double with ties to the even neighbour, by scaling as numpy does."""
-    if digits == 0:
-        return F.rint(c)
-    scale = float(10**digits)
-    return F.rint(c * scale) / scale
+    scale = literal(10**digits)
+    return F.expr(f"rint({c})" if digits == 0 else f"rint({c} * {scale}) / {scale}")
 
 
-def whole(c: Column) -> Column:
+def whole_sql(c: str) -> str:
     """Nearest whole number, ties to even."""
-    return F.rint(c).cast("bigint")
+    return f"CAST(rint({c}) AS bigint)"
 
 
-def truncated(c: Column) -> Column:
+def truncated(c: str) -> Column:
     """Total cut to a whole number towards zero; nothing to add up counts as 0."""
-    return F.coalesce(c, F.lit(0)).cast("bigint")
+    return F.expr(f"CAST(coalesce({c}, 0) AS bigint)")

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantcast.config import PlanConfig
-from plantcast.functions.days import history_days, instant, weekday_counts
+from plantcast.functions.days import history_days, in_history, weekday_counts
+from plantcast.functions.values import literal
+
+WEEKDAYS = range(7)  # Monday first
 
 
 def order_lines(orders: DataFrame, items: DataFrame, cfg: PlanConfig) -> DataFrame:
@@ -18,33 +21,30 @@ def order_lines(orders: DataFrame, items: DataFrame, cfg: PlanConfig) -> DataFra
     both sides reach the join straight from their scan's exchange.
     """
     window = orders.filter(
-        (F.col("status") != "cancelled") & (F.col("created_at") >= instant(cfg.order_cutoff))
-    ).select(F.col("id").alias("order_id"), F.to_date("created_at").alias("order_date"))
+        f"status <> 'cancelled' AND created_at >= {literal(cfg.order_cutoff)}"
+    ).selectExpr("id AS order_id", "to_date(created_at) AS order_date")
     if "order_date" in items.columns:
-        items = items.filter(F.col("order_date") >= F.lit(cfg.history_start))
-    lines = items.select(
-        "order_id",
-        F.col("product_id").try_cast("bigint").alias("product_id"),
-        F.col("quantity").alias("qty"),
-    ).filter(F.col("product_id").isNotNull() & F.col("qty").isNotNull())
+        items = items.filter(f"order_date >= {literal(cfg.history_start)}")
+    lines = items.selectExpr("order_id", "try_cast(product_id AS bigint) AS product_id", "quantity AS qty").filter(
+        "product_id IS NOT NULL AND qty IS NOT NULL"
+    )
     return window.join(lines, "order_id").select("order_date", "product_id", "qty")
 
 
 def order_history(lines: DataFrame) -> DataFrame:
     """Quantity per day and product."""
-    return lines.groupBy("order_date", "product_id").agg(F.sum("qty").alias("qty"))
+    return lines.groupBy("order_date", "product_id").agg(F.expr("sum(qty) AS qty"))
 
 
 def history_today(history: DataFrame, cfg: PlanConfig) -> DataFrame:
     """History rows of the running day, which the grid leaves out."""
-    return history.filter(F.col("order_date") == F.lit(cfg.today))
+    return history.filter(f"order_date = {literal(cfg.today)}")
 
 
 def history_grid(history: DataFrame, cfg: PlanConfig) -> DataFrame:
     """Every day of the look-back for every product seen in the history."""
-    return history.select("product_id").distinct().select(
-        F.explode(history_days(cfg)).alias("order_date"), "product_id"
-    )
+    products = history.select("product_id").distinct()
+    return products.selectExpr(f"explode({history_days(cfg)}) AS order_date", "product_id")
 
 
 def complete_history(history: DataFrame, cfg: PlanConfig) -> DataFrame:
@@ -54,15 +54,16 @@ def complete_history(history: DataFrame, cfg: PlanConfig) -> DataFrame:
     ``lookback_days`` entries here; the missing days are added beside them, and the grid
     is never shuffled or joined.
     """
-    in_grid = F.col("order_date").between(F.lit(cfg.history_start), F.lit(cfg.history_end))
-    entry = F.struct("order_date", F.col("qty").cast("double").alias("qty"))
-    known = history.groupBy("product_id").agg(F.collect_list(F.when(in_grid, entry)).alias("known"))
-    missing = F.transform(
-        F.array_except(history_days(cfg), F.col("known.order_date")),
-        lambda day: F.struct(day.alias("order_date"), F.lit(0.0).alias("qty")),
+    entry = "named_struct('order_date', order_date, 'qty', CAST(qty AS double))"
+    known = history.groupBy("product_id").agg(
+        F.expr(f"collect_list(CASE WHEN {in_history(cfg)} THEN {entry} END) AS known")
     )
-    return known.select("product_id", F.inline(F.concat("known", missing))).select(
-        "order_date", "product_id", "qty", F.weekday("order_date").alias("dow")
+    missing = (
+        f"transform(array_except({history_days(cfg)}, known.order_date), "
+        "day -> named_struct('order_date', day, 'qty', 0.0D))"
+    )
+    return known.selectExpr("product_id", f"inline(concat(known, {missing}))").selectExpr(
+        "order_date", "product_id", "qty", "weekday(order_date) AS dow"
     )
 
 
@@ -74,46 +75,38 @@ def demand_profile(lines: DataFrame, cfg: PlanConfig) -> DataFrame:
     a product with most of the lines shrinks to one row per task before the shuffle.
     ``lines`` may be order lines or the daily history.
     """
-    in_grid = F.col("order_date").between(F.lit(cfg.history_start), F.lit(cfg.history_end))
-    sized = lines.select(
+    sized = lines.selectExpr(
         "product_id",
-        F.weekday("order_date").alias("dow"),
-        F.when(in_grid, F.col("qty").cast("double")).otherwise(0.0).alias("qty"),
-    )
-    sums = sized.groupBy("product_id").agg(
-        *[F.sum(F.when(F.col("dow") == d, F.col("qty")).otherwise(0.0)).alias(f"sum_{d}") for d in range(7)],
-        F.sum("qty").alias("sum_all"),
+        "weekday(order_date) AS dow",
+        f"CASE WHEN {in_history(cfg)} THEN CAST(qty AS double) ELSE 0.0D END AS qty",
     )
     days = weekday_counts(cfg.history_start, cfg.lookback_days)
     means = [
-        F.col(f"sum_{d}") / float(n) if n else F.lit(None).cast("double") for d, n in enumerate(days)
+        f"sum(CASE WHEN dow = {d} THEN qty ELSE 0.0D END) / {literal(days[d])}" if days[d] else "CAST(NULL AS double)"
+        for d in WEEKDAYS
     ]
-    return sums.select(
-        "product_id",
-        F.array(*means).alias("weekday_mean"),
-        (F.col("sum_all") / float(cfg.lookback_days)).alias("overall_mean"),
+    return sized.groupBy("product_id").agg(
+        F.expr(f"array({', '.join(means)}) AS weekday_mean"),
+        F.expr(f"sum(qty) / {literal(cfg.lookback_days)} AS overall_mean"),
     )
 
 
 def sparse_profile(history: DataFrame) -> DataFrame:
     """The same means over the days with orders only, today's and later days included."""
-    day = history.select("product_id", F.weekday("order_date").alias("dow"), F.col("qty").cast("double").alias("qty"))
+    means = [f"avg(CASE WHEN dow = {d} THEN qty END)" for d in WEEKDAYS]
     return (
-        day.groupBy("product_id")
-        .agg(
-            *[F.avg(F.when(F.col("dow") == d, F.col("qty"))).alias(f"mean_{d}") for d in range(7)],
-            F.avg("qty").alias("overall_mean"),
-        )
-        .select("product_id", F.array(*[f"mean_{d}" for d in range(7)]).alias("weekday_mean"), "overall_mean")
+        history.selectExpr("product_id", "weekday(order_date) AS dow", "CAST(qty AS double) AS qty")
+        .groupBy("product_id")
+        .agg(F.expr(f"array({', '.join(means)}) AS weekday_mean"), F.expr("avg(qty) AS overall_mean"))
     )
 
 
 def weekday_mean(profile: DataFrame) -> DataFrame:
     """One row per product and weekday that has a mean."""
-    return profile.select("product_id", F.posexplode("weekday_mean").alias("dow", "weekday_mean_qty")).filter(
-        F.col("weekday_mean_qty").isNotNull()
+    return profile.selectExpr("product_id", "posexplode(weekday_mean) AS (dow, weekday_mean_qty)").filter(
+        "weekday_mean_qty IS NOT NULL"
     )
 
 
 def overall_mean(profile: DataFrame) -> DataFrame:
-    return profile.select("product_id", F.col("overall_mean").alias("overall_mean_qty"))
+    return profile.selectExpr("product_id", "overall_mean AS overall_mean_qty")

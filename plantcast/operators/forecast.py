@@ -7,76 +7,95 @@ on the way thus carry ``forecast_days`` times fewer rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantcast.config import PlanConfig
 from plantcast.functions.days import forecast_days, per_day
-from plantcast.functions.values import whole
+from plantcast.functions.values import whole_sql
 
 
-def _expected(day: Column) -> Column:
-    mean = F.coalesce(F.get("weekday_mean", F.weekday(day)), F.col("overall_mean"), F.lit(0.0))
-    return whole(mean)
+def _expected(day: str) -> str:
+    return whole_sql(f"coalesce(get(weekday_mean, weekday({day})), overall_mean, 0.0D)")
 
 
 def forecast(profile: DataFrame, cfg: PlanConfig) -> DataFrame:
     """One row per product and forecast day, with both means."""
-    day = F.col("forecast_date")
-    return profile.withColumn("forecast_date", F.explode(forecast_days(cfg))).select(
+    spread = profile.selectExpr("*", f"explode({forecast_days(cfg)}) AS forecast_date")
+    return spread.selectExpr(
         "forecast_date",
-        F.weekday(day).alias("dow"),
+        "weekday(forecast_date) AS dow",
         "product_id",
-        F.get("weekday_mean", F.weekday(day)).alias("weekday_mean_qty"),
-        F.col("overall_mean").alias("overall_mean_qty"),
-        _expected(day).alias("forecast_demand_qty"),
+        "get(weekday_mean, weekday(forecast_date)) AS weekday_mean_qty",
+        "overall_mean AS overall_mean_qty",
+        f"{_expected('forecast_date')} AS forecast_demand_qty",
     )
 
 
 def forecast_arrays(profile: DataFrame, cfg: PlanConfig) -> DataFrame:
     """product_id and ``demand``, an array over the forecast days."""
-    return profile.select("product_id", F.transform(forecast_days(cfg), _expected).alias("demand"))
+    return profile.selectExpr("product_id", f"transform({forecast_days(cfg)}, day -> {_expected('day')}) AS demand")
 
 
 def with_capacity(products: DataFrame, factor: DataFrame) -> DataFrame:
     """Add the capacity factor (a one-row table, read as a scalar) and the array ``output``."""
     scaled = products.withColumn("capacity_factor", factor.select("capacity_factor").scalar())
-    # Element-wise with a column argument: a scalar subquery cannot sit inside a lambda.
-    factors = F.transform("demand", lambda _: F.col("capacity_factor"))
-    output = F.zip_with("demand", factors, lambda qty, f: whole(qty * f))
-    return scaled.withColumn("output", output)
+    # The factor comes in as a second array: a scalar subquery cannot sit inside a lambda.
+    factors = "array_repeat(capacity_factor, size(demand))"
+    return scaled.withColumn("output", F.expr(f"zip_with(demand, {factors}, (qty, f) -> {whole_sql('qty * f')})"))
 
 
 def capacity_plan(products: DataFrame, cfg: PlanConfig) -> DataFrame:
     """Demand, expected output and gap per product and day."""
     plan = per_day(
         products,
-        forecast_days(cfg),
+        cfg,
         ["product_id", "capacity_factor"],
         forecast_demand_qty="demand",
         expected_output_qty="output",
     )
-    gap = F.col("forecast_demand_qty") - F.col("expected_output_qty")
-    return plan.withColumn("gap_qty", F.greatest(gap, F.lit(0)).cast("bigint"))
+    return plan.withColumn("gap_qty", F.expr("greatest(forecast_demand_qty - expected_output_qty, 0L)"))
 
 
 def capacity_plan_adjusted(products: DataFrame, cfg: PlanConfig) -> DataFrame:
     """Original forecast and the forecast cut to capacity, which then counts as the demand."""
     return per_day(
         products,
-        forecast_days(cfg),
+        cfg,
         ["product_id", "capacity_factor"],
         original_forecast_qty="demand",
         forecast_qty="output",
     )
 
 
-def demand_compare(plan: DataFrame) -> DataFrame:
-    """Demand, output and gap per day over all products."""
-    columns = ["forecast_demand_qty", "expected_output_qty", "gap_qty"]
-    return plan.groupBy("forecast_date").agg(*[F.sum(c).alias(c) for c in columns])
+def day_totals(products: DataFrame, cfg: PlanConfig) -> DataFrame:
+    """One row: demand, output and gap over all products as arrays over the days."""
 
+    def sums(value: str, name: str) -> str:
+        days = [f"coalesce(sum({value.format(i=i)}), 0L)" for i in range(cfg.forecast_days)]
+        return f"array({', '.join(days)}) AS {name}"
 
-def demand_compare_adjusted(plan: DataFrame) -> DataFrame:
-    columns = ["original_forecast_qty", "forecast_qty"]
-    return plan.groupBy("forecast_date").agg(*[F.sum(c).alias(c) for c in columns])
+    return products.agg(
+        F.expr(sums("get(demand, {i})", "demand")),
+        F.expr(sums("get(output, {i})", "output")),
+        F.expr(sums("greatest(get(demand, {i}) - get(output, {i}), 0L)", "gap")),
+        F.count("*").alias("products"),
+    )
+
+
+def demand_compare(totals: DataFrame, cfg: PlanConfig) -> DataFrame:
+    """Demand, output and gap per day over all products; no rows without products."""
+    return per_day(
+        totals.filter("products > 0"),
+        cfg,
+        [],
+        forecast_demand_qty="demand",
+        expected_output_qty="output",
+        gap_qty="gap",
+    )
+
+
+def demand_compare_adjusted(totals: DataFrame, cfg: PlanConfig) -> DataFrame:
+    return per_day(
+        totals.filter("products > 0"), cfg, [], original_forecast_qty="demand", forecast_qty="output"
+    )

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from plantcast.config import PlanConfig
 from plantcast.functions.days import filled, forecast_days, per_day
@@ -17,22 +15,15 @@ def stock_days(parts: DataFrame, demand: DataFrame, incoming: DataFrame, cfg: Pl
     by part, so only the stock table is shuffled. Parts nobody stocks drop out.
     """
     joined = parts.join(demand, "part_no", "left").join(incoming, "part_no", "left")
-    n = cfg.forecast_days
-    return joined.select(
-        "part_no",
-        "stock_qty",
-        "safety_qty",
-        filled("part_demand", n).alias("part_demand"),
-        filled("output_need", n).alias("output_need"),
-        filled("incoming", n).alias("incoming"),
-    )
+    arrays = [filled(c, cfg.forecast_days) for c in ("part_demand", "output_need", "incoming")]
+    return joined.selectExpr("part_no", "stock_qty", "safety_qty", *arrays)
 
 
 def sim_grid(days: DataFrame, cfg: PlanConfig) -> DataFrame:
     """One row per part and forecast day."""
     return per_day(
         days,
-        forecast_days(cfg),
+        cfg,
         ["part_no", "stock_qty", "safety_qty"],
         part_demand="part_demand",
         planned_output_part_demand="output_need",
@@ -45,20 +36,19 @@ def inventory_projection(grid: DataFrame) -> DataFrame:
 
     A window holds ``forecast_days`` rows and inherits the part partitioning.
     """
-    so_far = W.partitionBy("part_no").orderBy("forecast_date").rowsBetween(W.unboundedPreceding, 0)
-    moved = F.sum(F.col("incoming_qty") - F.col("part_demand")).over(so_far)
-    end = F.col("stock_qty") + moved
-    return grid.withColumn("end_available", end).withColumn(
-        "start_available", F.col("end_available") + F.col("part_demand")
+    moved = (
+        "sum(incoming_qty - part_demand) OVER (PARTITION BY part_no ORDER BY forecast_date "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    )
+    return grid.selectExpr("*", f"stock_qty + {moved} AS end_available").selectExpr(
+        "*", "end_available + part_demand AS start_available"
     )
 
 
 def mrp_plan(projection: DataFrame, cfg: PlanConfig) -> DataFrame:
     """Shortage flags and orders scheduled back from the day of need."""
-    end, safety, day = F.col("end_available"), F.col("safety_qty"), F.col("forecast_date")
-    need = F.greatest(safety - end, F.lit(0.0))
-    short = safety - end > 0
-    return projection.select(
+    short = "safety_qty - end_available > 0"
+    return projection.selectExpr(
         "forecast_date",
         "part_no",
         "part_demand",
@@ -68,12 +58,13 @@ def mrp_plan(projection: DataFrame, cfg: PlanConfig) -> DataFrame:
         "safety_qty",
         "start_available",
         "end_available",
-        (end < safety).alias("below_safety"),
-        (end < 0).alias("below_zero"),
-        F.greatest(F.lit(0.0) - end, F.lit(0.0)).alias("shortage_qty"),
-        need.alias("recommended_po_qty"),
-        F.when(short, F.date_sub(day, cfg.lead_time_days)).alias("suggested_order_date"),
-        F.when(short, day).alias("required_eta_date"),
+        "end_available < safety_qty AS below_safety",
+        "end_available < 0 AS below_zero",
+        # Subtracted, not negated: an empty stock is short by 0.0, not by -0.0.
+        "greatest(0.0D - end_available, 0.0D) AS shortage_qty",
+        "greatest(safety_qty - end_available, 0.0D) AS recommended_po_qty",
+        f"CASE WHEN {short} THEN date_sub(forecast_date, {cfg.lead_time_days}) END AS suggested_order_date",
+        f"CASE WHEN {short} THEN forecast_date END AS required_eta_date",
     )
 
 
@@ -84,40 +75,37 @@ def mrp_feedback(days: DataFrame, cfg: PlanConfig) -> DataFrame:
     array of days is folded in place. With lead time 0 an order never lands, and orders
     due after the last day do not land either.
     """
-    row = (
+    rows = (
         "array<struct<forecast_date:date,part_demand:double,incoming_qty:double,arrival:double,"
         "end_available:double,po:double>>"
     )
-    start = F.struct(F.col("stock_qty").alias("stock"), F.array().cast(row).alias("done"))
-
-    def next_day(state: Column, day: Column) -> Column:
-        done = state["done"]
-        arrival = F.coalesce(F.get(done, F.size(done) - cfg.lead_time_days)["po"], F.lit(0.0))
-        end = state["stock"] + day["incoming"] + arrival - day["part_demand"]
-        entry = F.struct(
-            day["forecast_date"].alias("forecast_date"),
-            day["part_demand"].alias("part_demand"),
-            day["incoming"].alias("incoming_qty"),
-            arrival.alias("arrival"),
-            end.alias("end_available"),
-            F.greatest(F.col("safety_qty") - end, F.lit(0.0)).alias("po"),
-        )
-        return F.struct(end.alias("stock"), F.concat(done, F.array(entry)).alias("done"))
-
-    steps = F.arrays_zip(forecast_days(cfg).alias("forecast_date"), "part_demand", "incoming")
-    folded = F.aggregate(steps, start, next_day)["done"]
-    end = F.col("end_available")
-    return days.select("part_no", "stock_qty", "safety_qty", F.inline(folded)).select(
+    arrival = f"coalesce(get(state.done, size(state.done) - {cfg.lead_time_days}).po, 0.0D)"
+    end = f"state.stock + day.incoming + {arrival} - day.part_demand"
+    entry = (
+        "named_struct('forecast_date', day.forecast_date, 'part_demand', day.part_demand, "
+        f"'incoming_qty', day.incoming, 'arrival', {arrival}, 'end_available', {end}, "
+        f"'po', greatest(safety_qty - ({end}), 0.0D))"
+    )
+    steps = (
+        f"transform({forecast_days(cfg)}, (d, i) -> named_struct('forecast_date', d, "
+        "'part_demand', get(part_demand, i), 'incoming', get(incoming, i)))"
+    )
+    folded = (
+        f"aggregate({steps}, "
+        f"named_struct('stock', stock_qty, 'done', CAST(array() AS {rows})), "
+        f"(state, day) -> named_struct('stock', {end}, 'done', concat(state.done, array({entry})))).done"
+    )
+    return days.selectExpr("part_no", "stock_qty", "safety_qty", f"inline({folded})").selectExpr(
         "forecast_date",
         "part_no",
         "part_demand",
         "incoming_qty",
-        F.col("arrival").alias("po_arrival_qty_today"),
+        "arrival AS po_arrival_qty_today",
         "stock_qty",
         "safety_qty",
-        (end + F.col("part_demand")).alias("start_available"),
+        "end_available + part_demand AS start_available",
         "end_available",
-        (end < F.col("safety_qty")).alias("shortage"),
-        F.col("po").alias("recommended_po_qty"),
-        F.when(F.col("po") > 0, F.date_add("forecast_date", cfg.lead_time_days)).alias("po_eta_date"),
+        "end_available < safety_qty AS shortage",
+        "po AS recommended_po_qty",
+        f"CASE WHEN po > 0 THEN date_add(forecast_date, {cfg.lead_time_days}) END AS po_eta_date",
     )

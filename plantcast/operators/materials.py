@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import timedelta
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantcast.config import PlanConfig
-from plantcast.functions.days import forecast_days, per_day
-from plantcast.functions.values import leading_integer, number_or
+from plantcast.functions.days import per_day
+from plantcast.functions.values import leading_integer, literal, number_or
 
 
 def bom(header: DataFrame, detail: DataFrame) -> DataFrame:
     """product_id, part_no, bom_qty: one row per bill-of-material line."""
     products = header.select("bom_id", leading_integer("product_code").alias("product_id"))
     lines = detail.select("bom_id", "part_no", number_or("qty", 0.0).alias("bom_qty"))
-    return products.filter(F.col("product_id").isNotNull()).join(lines, "bom_id").select("product_id", "part_no", "bom_qty")
+    return products.filter("product_id IS NOT NULL").join(lines, "bom_id").select("product_id", "part_no", "bom_qty")
 
 
 def stock(parts: DataFrame) -> DataFrame:
     """part_no, stock_qty, safety_qty; the table holds one row per part."""
-    return parts.filter(F.col("part_no").isNotNull()).select(
-        F.col("part_no").cast("string").alias("part_no"),
+    return parts.filter("part_no IS NOT NULL").select(
+        F.expr("CAST(part_no AS string) AS part_no"),
         number_or("stock_qty", 0.0).alias("stock_qty"),
         number_or("safety_stock", 0.0).alias("safety_qty"),
     )
@@ -28,15 +30,15 @@ def stock(parts: DataFrame) -> DataFrame:
 
 def _pending(purchase: DataFrame) -> DataFrame:
     """Open purchases with a date; the stored collation ignores case in the status."""
-    return purchase.filter((F.lower("status") == "pending") & F.col("delivery_date").isNotNull())
+    return purchase.filter("lower(status) = 'pending' AND delivery_date IS NOT NULL")
 
 
 def incoming_by_day(purchase: DataFrame) -> DataFrame:
     return (
         _pending(purchase)
-        .select("part_no", F.to_date("delivery_date").alias("eta_date"), number_or("order_qty", 0.0).alias("qty"))
+        .select("part_no", F.expr("to_date(delivery_date) AS eta_date"), number_or("order_qty", 0.0).alias("qty"))
         .groupBy("part_no", "eta_date")
-        .agg(F.sum("qty").alias("incoming_qty"))
+        .agg(F.expr("sum(qty) AS incoming_qty"))
     )
 
 
@@ -46,13 +48,13 @@ def incoming_arrays(purchase: DataFrame, cfg: PlanConfig) -> DataFrame:
     Dates outside the forecast never reach the projection, so the raw column is compared
     with the window's ends, which pushes the range into the scan.
     """
-    due = F.col("delivery_date")
-    after = F.date_add(F.lit(cfg.forecast_end), 1)
-    rows = _pending(purchase).filter((due >= F.lit(cfg.forecast_start)) & (due < after))
-    day = F.to_date("delivery_date")
-    qty = number_or("order_qty", 0.0)
-    per_day = [F.sum(F.when(day == F.lit(d), qty).otherwise(0.0)) for d in cfg.forecast_dates]
-    return rows.groupBy("part_no").agg(F.array(*per_day).alias("incoming"))
+    after = cfg.forecast_end + timedelta(days=1)
+    due = _pending(purchase).filter(
+        f"delivery_date >= {literal(cfg.forecast_start)} AND delivery_date < {literal(after)}"
+    )
+    rows = due.select("part_no", F.expr("to_date(delivery_date) AS eta"), number_or("order_qty", 0.0).alias("qty"))
+    days = [f"sum(CASE WHEN eta = {literal(d)} THEN qty ELSE 0.0D END)" for d in cfg.forecast_dates]
+    return rows.groupBy("part_no").agg(F.expr(f"array({', '.join(days)}) AS incoming"))
 
 
 def _products_to_lines(products: DataFrame, lines: DataFrame) -> DataFrame:
@@ -63,8 +65,8 @@ def _products_to_lines(products: DataFrame, lines: DataFrame) -> DataFrame:
     come straight from an exchange of their own. The text key gives them one, so a product
     that owns a large share of all lines is spread over several tasks.
     """
-    left = products.withColumn("product_key", F.col("product_id").cast("string"))
-    right = lines.select(F.col("product_id").cast("string").alias("product_key"), "part_no", "bom_qty")
+    left = products.selectExpr("*", "CAST(product_id AS string) AS product_key")
+    right = lines.selectExpr("CAST(product_id AS string) AS product_key", "part_no", "bom_qty")
     return left.join(right, "product_key").drop("product_key")
 
 
@@ -72,44 +74,41 @@ def bom_explosion(products: DataFrame, lines: DataFrame, cfg: PlanConfig) -> Dat
     """Requirement per day, product and bill line, for the demand and for the planned output."""
     days = per_day(
         _products_to_lines(products, lines),
-        forecast_days(cfg),
+        cfg,
         ["product_id", "part_no", "bom_qty"],
         demand="demand",
         output="output",
     )
-    return days.select(
+    return days.selectExpr(
         "forecast_date",
         "product_id",
         "part_no",
         "bom_qty",
-        (F.col("demand") * F.col("bom_qty")).alias("part_demand_for_customer_demand"),
-        (F.col("output") * F.col("bom_qty")).alias("part_demand_for_planned_output"),
+        "demand * bom_qty AS part_demand_for_customer_demand",
+        "output * bom_qty AS part_demand_for_planned_output",
     )
 
 
-def _day_sums(array: str, cfg: PlanConfig) -> Column:
-    return F.array(*[F.sum(F.get(array, F.lit(i)) * F.col("bom_qty")) for i in range(cfg.forecast_days)])
-
-
 def part_demand(products: DataFrame, lines: DataFrame, cfg: PlanConfig) -> DataFrame:
     """part_no with the arrays ``part_demand`` and ``output_need`` over the forecast days.
 
     Both requirements come from one aggregation, one row per bill line going in.
     """
+
+    def sums(array: str, name: str) -> str:
+        days = [f"sum(get({array}, {i}) * bom_qty)" for i in range(cfg.forecast_days)]
+        return f"array({', '.join(days)}) AS {name}"
+
     return (
         _products_to_lines(products, lines)
-        .filter(F.col("part_no").isNotNull())
+        .filter("part_no IS NOT NULL")
         .groupBy("part_no")
-        .agg(_day_sums("demand", cfg).alias("part_demand"), _day_sums("output", cfg).alias("output_need"))
+        .agg(F.expr(sums("demand", "part_demand")), F.expr(sums("output", "output_need")))
     )
 
 
 def daily_part_demand(demand: DataFrame, cfg: PlanConfig) -> DataFrame:
     """``part_demand`` spread to one row per day and part."""
     return per_day(
-        demand,
-        forecast_days(cfg),
-        ["part_no"],
-        part_demand="part_demand",
-        planned_output_part_demand="output_need",
+        demand, cfg, ["part_no"], part_demand="part_demand", planned_output_part_demand="output_need"
     )

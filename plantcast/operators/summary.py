@@ -9,23 +9,31 @@ from pyspark.sql import functions as F
 from plantcast.config import PlanConfig
 from plantcast.functions.values import half_even, truncated
 
+AT_RISK = "days_below_safety > 0 OR days_below_zero > 0"
+HAS_ORDER = "first_shortage_date IS NOT NULL"
+HAS_ORDER_FEEDBACK = "first_order_date IS NOT NULL"
+
+
+def _aggregate(df: DataFrame, *expressions: str) -> DataFrame:
+    return df.agg(*[F.expr(e) for e in expressions])
+
 
 def part_outlook(plan: DataFrame) -> DataFrame:
     """Risk and purchase figures of every part in one pass.
 
     The plan is already partitioned by part, so this adds no shuffle.
     """
-    ordered = F.col("recommended_po_qty") > 0
-    return plan.groupBy("part_no").agg(
-        F.count_if("below_safety").alias("days_below_safety"),
-        F.count_if("below_zero").alias("days_below_zero"),
-        F.min("end_available").alias("min_available"),
-        F.max("shortage_qty").alias("max_shortage_qty"),
-        F.sum("recommended_po_qty").alias("total_recommended_qty"),
-        F.min(F.when(ordered, F.col("forecast_date"))).alias("first_shortage_date"),
-        F.min("suggested_order_date").alias("first_suggested_order_date"),
-        F.min("required_eta_date").alias("first_required_eta"),
-        F.max(F.when(ordered, F.col("shortage_qty"))).alias("ordered_max_shortage_qty"),
+    return _aggregate(
+        plan.groupBy("part_no"),
+        "count_if(below_safety) AS days_below_safety",
+        "count_if(below_zero) AS days_below_zero",
+        "min(end_available) AS min_available",
+        "max(shortage_qty) AS max_shortage_qty",
+        "sum(recommended_po_qty) AS total_recommended_qty",
+        "min(CASE WHEN recommended_po_qty > 0 THEN forecast_date END) AS first_shortage_date",
+        "min(suggested_order_date) AS first_suggested_order_date",
+        "min(required_eta_date) AS first_required_eta",
+        "max(CASE WHEN recommended_po_qty > 0 THEN shortage_qty END) AS ordered_max_shortage_qty",
     )
 
 
@@ -40,10 +48,6 @@ def part_risk_summary(outlook: DataFrame) -> DataFrame:
     )
 
 
-def _at_risk() -> Column:
-    return (F.col("days_below_safety") > 0) | (F.col("days_below_zero") > 0)
-
-
 def _top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows with their rank; the window sees the ``n`` survivors only."""
     rank = F.row_number().over(W.orderBy(*order)).cast("bigint")
@@ -53,202 +57,248 @@ def _top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 def risk_parts(outlook: DataFrame, cfg: PlanConfig) -> DataFrame:
     """Most endangered parts, worst first."""
     order = [F.desc("days_below_zero"), F.desc("days_below_safety"), F.desc("max_shortage_qty"), F.asc("part_no")]
-    return _top(outlook.filter(_at_risk()), order, cfg.risk_limit).select(
+    return _top(outlook.filter(AT_RISK), order, cfg.risk_limit).select(
         "rank", "part_no", "days_below_zero", "days_below_safety", "max_shortage_qty"
     )
 
 
 def po_summary(outlook: DataFrame) -> DataFrame:
     """Parts with a purchase proposal."""
-    return outlook.filter(F.col("first_shortage_date").isNotNull()).select(
+    return outlook.filter(HAS_ORDER).selectExpr(
         "part_no",
         "total_recommended_qty",
         "first_shortage_date",
         "first_suggested_order_date",
         "first_required_eta",
-        F.col("ordered_max_shortage_qty").alias("max_shortage_qty"),
+        "ordered_max_shortage_qty AS max_shortage_qty",
         "days_below_safety",
         "days_below_zero",
         "min_available",
     )
 
 
-def _po_order() -> list[Column]:
-    return [F.desc("total_recommended_qty"), F.asc("part_no")]
+def _largest(po: DataFrame, n: int) -> DataFrame:
+    return _top(po, [F.desc("total_recommended_qty"), F.asc("part_no")], n)
 
 
 def po_chart(po: DataFrame, cfg: PlanConfig) -> DataFrame:
     """Largest proposals as chart labels and values; serves both variants."""
-    return _top(po, _po_order(), cfg.chart_limit).select(
-        "rank",
-        F.col("part_no").cast("string").alias("label"),
-        half_even(F.col("total_recommended_qty"), 2).alias("value"),
+    return _largest(po, cfg.chart_limit).select(
+        "rank", F.col("part_no").alias("label"), half_even("total_recommended_qty", 2).alias("value")
     )
 
 
-def _iso(column: str) -> Column:
-    return F.date_format(column, "yyyy-MM-dd").alias(column)
+def _iso(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd").alias(c)
+
 
+def _rounded(c: str) -> Column:
+    return half_even(c, 2).alias(c)
 
-def _rounded(column: str) -> Column:
-    return half_even(F.col(column), 2).alias(column)
+
+TABLE_COLUMNS = (
+    "part_no total_recommended_qty first_shortage_date first_suggested_order_date first_required_eta "
+    "max_shortage_qty days_below_safety days_below_zero min_available"
+).split()
+
+
+def _displayed(df: DataFrame) -> DataFrame:
+    """Dates as text and quantities with two digits, as the purchase table shows them."""
+    dates = ("first_shortage_date", "first_suggested_order_date", "first_required_eta")
+    quantities = ("total_recommended_qty", "max_shortage_qty", "min_available")
+    return df.withColumns({c: _iso(c) for c in dates} | {c: _rounded(c) for c in quantities})
 
 
 def po_table(po: DataFrame, cfg: PlanConfig) -> DataFrame:
     """Largest proposals as display rows."""
-    return _top(po, _po_order(), cfg.table_limit).select(
-        "rank",
-        "part_no",
-        _rounded("total_recommended_qty"),
-        _iso("first_shortage_date"),
-        _iso("first_suggested_order_date"),
-        _iso("first_required_eta"),
-        _rounded("max_shortage_qty"),
-        "days_below_safety",
-        "days_below_zero",
-        _rounded("min_available"),
-    )
+    return _displayed(_largest(po, cfg.table_limit)).select("rank", *TABLE_COLUMNS)
 
 
 def part_outlook_feedback(plan: DataFrame) -> DataFrame:
     """Risk flag and purchase figures of every part, feedback variant."""
-    ordered = F.col("recommended_po_qty") > 0
-    return plan.groupBy("part_no").agg(
-        F.bool_or("shortage").alias("shortage"),
-        F.sum("recommended_po_qty").alias("total_recommended_qty"),
-        F.min(F.when(ordered, F.col("forecast_date"))).alias("first_order_date"),
-        F.min("po_eta_date").alias("first_eta"),
+    return _aggregate(
+        plan.groupBy("part_no"),
+        "bool_or(shortage) AS shortage",
+        "sum(recommended_po_qty) AS total_recommended_qty",
+        "min(CASE WHEN recommended_po_qty > 0 THEN forecast_date END) AS first_order_date",
+        "min(po_eta_date) AS first_eta",
     )
 
 
 def risk_parts_feedback(outlook: DataFrame, cfg: PlanConfig) -> DataFrame:
     """Parts short on any day, by part number."""
-    return _top(outlook.filter("shortage").select("part_no"), [F.asc("part_no")], cfg.risk_limit).select(
-        "rank", "part_no"
-    )
+    short = outlook.filter("shortage").select("part_no")
+    return _top(short, [F.asc("part_no")], cfg.risk_limit).select("rank", "part_no")
 
 
 def po_summary_feedback(outlook: DataFrame) -> DataFrame:
-    return outlook.filter(F.col("first_order_date").isNotNull()).select(
-        "part_no", "total_recommended_qty", "first_order_date", "first_eta"
-    )
+    return outlook.filter(HAS_ORDER_FEEDBACK).select("part_no", "total_recommended_qty", "first_order_date", "first_eta")
 
 
 def po_table_feedback(po: DataFrame, cfg: PlanConfig) -> DataFrame:
-    return _top(po, _po_order(), cfg.table_limit).select(
+    return _largest(po, cfg.table_limit).select(
         "rank", "part_no", "total_recommended_qty", _iso("first_order_date"), _iso("first_eta")
     )
 
 
+# One-row figures. They are joined as scalar subqueries, never as cross joins.
+
+
 def _row(df: DataFrame) -> Column:
-    """The only row of a table as a struct column (a scalar subquery)."""
     return df.select(F.struct("*")).scalar()
 
 
-def _array_total(array: str) -> Column:
-    return F.sum(F.aggregate(array, F.lit(0.0), lambda total, qty: total + qty))
+def outlook_counts(outlook: DataFrame) -> DataFrame:
+    """One row: parts at risk, proposed quantity, parts that run out, parts with a proposal."""
+    return outlook.agg(
+        F.expr(f"count_if({AT_RISK}) AS risk_count"),
+        truncated("sum(total_recommended_qty)").alias("total_po_qty"),
+        F.expr("count_if(days_below_zero > 0) AS days_below_zero_parts"),
+        F.expr(f"count_if({HAS_ORDER}) AS po_count"),
+    )
+
 
+def outlook_counts_feedback(outlook: DataFrame) -> DataFrame:
+    return outlook.agg(
+        F.expr("count_if(shortage) AS risk_count"),
+        truncated("sum(total_recommended_qty)").alias("total_po_qty"),
+        F.expr(f"count_if({HAS_ORDER_FEEDBACK}) AS po_count"),
+    )
 
-def product_totals(products: DataFrame) -> DataFrame:
-    """One row: demand, output and gap over all products and days."""
-    gaps = F.zip_with("demand", "output", lambda d, o: F.greatest(d - o, F.lit(0)).cast("bigint"))
-    sized = products.select("demand", "output", gaps.alias("gap"))
-    return sized.agg(*[truncated(_array_total(c)).alias(c) for c in ("demand", "output", "gap")])
 
+def need_totals(demand: DataFrame, cfg: PlanConfig) -> DataFrame:
+    """One row: part quantity for the demand and for the planned output, over all parts."""
 
-def kpis(factor: DataFrame, products: DataFrame, outlook: DataFrame) -> DataFrame:
-    """One row of key figures."""
-    base = outlook.agg(
-        F.count_if(_at_risk()).alias("risk_count"),
-        truncated(F.sum("total_recommended_qty")).alias("total_po_qty"),
-        F.count_if(F.col("days_below_zero") > 0).alias("days_below_zero_parts"),
+    def total(array: str, name: str) -> str:
+        per_part = " + ".join(f"get({array}, {i})" for i in range(cfg.forecast_days))
+        return f"coalesce(sum({per_part}), 0.0D) AS {name}"
+
+    return _aggregate(
+        demand, total("part_demand", "total_demand_part_qty"), total("output_need", "total_output_part_qty")
     )
-    full = base.withColumn("health", _row(factor)).withColumn("totals", _row(product_totals(products)))
+
+
+def _sum(array: str) -> str:
+    return f"aggregate({array}, 0L, (total, qty) -> total + qty)"
+
+
+def kpis(factor: DataFrame, totals: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row of key figures from three one-row tables."""
+    full = counts.withColumn("health", _row(factor)).withColumn("days", _row(totals))
     return full.select(
-        half_even(F.col("health.avg_health"), 3).alias("avg_health"),
-        half_even(F.col("health.min_health"), 3).alias("min_health"),
-        half_even(F.col("health.capacity_factor"), 3).alias("capacity_factor"),
-        F.col("totals.demand").alias("total_forecast_demand"),
-        F.col("totals.output").alias("total_expected_output"),
-        F.col("totals.gap").alias("total_gap_qty"),
+        half_even("health.avg_health", 3).alias("avg_health"),
+        half_even("health.min_health", 3).alias("min_health"),
+        half_even("health.capacity_factor", 3).alias("capacity_factor"),
+        F.expr(f"{_sum('days.demand')} AS total_forecast_demand"),
+        F.expr(f"{_sum('days.output')} AS total_expected_output"),
+        F.expr(f"{_sum('days.gap')} AS total_gap_qty"),
         "risk_count",
         "total_po_qty",
         "days_below_zero_parts",
     )
 
 
-def kpis_feedback(factor: DataFrame, products: DataFrame, outlook: DataFrame) -> DataFrame:
-    base = outlook.agg(
-        F.count_if("shortage").alias("risk_count"),
-        truncated(F.sum("total_recommended_qty")).alias("total_po_qty"),
-    )
-    full = base.withColumn("health", _row(factor)).withColumn("totals", _row(product_totals(products)))
+def kpis_feedback(factor: DataFrame, totals: DataFrame, counts: DataFrame) -> DataFrame:
+    full = counts.withColumn("health", _row(factor)).withColumn("days", _row(totals))
     return full.select(
-        half_even(F.col("health.avg_health"), 2).alias("avg_health"),
-        half_even(F.col("health.capacity_factor"), 2).alias("capacity_factor"),
-        F.col("totals.demand").alias("total_original_qty"),
-        F.col("totals.output").alias("total_forecast_qty"),
+        half_even("health.avg_health", 2).alias("avg_health"),
+        half_even("health.capacity_factor", 2).alias("capacity_factor"),
+        F.expr(f"{_sum('days.demand')} AS total_original_qty"),
+        F.expr(f"{_sum('days.output')} AS total_forecast_qty"),
         "risk_count",
         "total_po_qty",
     )
 
 
-def plan_totals(demand: DataFrame, po: DataFrame, cfg: PlanConfig) -> DataFrame:
+def plan_totals(need: DataFrame, counts: DataFrame, cfg: PlanConfig) -> DataFrame:
     """One row: parameters, number of proposals, part quantity for demand and for output."""
-    totals = demand.agg(
-        *[F.coalesce(_array_total(c), F.lit(0.0)).alias(c) for c in ("part_demand", "output_need")]
-    )
-    return (
-        po.agg(F.count("*").alias("po_count"))
-        .withColumn("totals", _row(totals))
-        .select(
-            F.lit(cfg.lookback_days).alias("lookback_days"),
-            F.lit(cfg.forecast_days).alias("forecast_days"),
-            "po_count",
-            half_even(F.col("totals.part_demand"), 2).alias("total_demand_part_qty"),
-            half_even(F.col("totals.output_need"), 2).alias("total_output_part_qty"),
-        )
+    return counts.withColumn("need", _row(need)).select(
+        F.lit(cfg.lookback_days).alias("lookback_days"),
+        F.lit(cfg.forecast_days).alias("forecast_days"),
+        "po_count",
+        half_even("need.total_demand_part_qty", 2).alias("total_demand_part_qty"),
+        half_even("need.total_output_part_qty", 2).alias("total_output_part_qty"),
     )
 
 
-def plan_totals_feedback(po: DataFrame, cfg: PlanConfig) -> DataFrame:
-    return po.agg(F.count("*").alias("po_count")).select(
-        F.lit(cfg.lookback_days).alias("lookback_days"), F.lit(cfg.forecast_days).alias("forecast_days"), "po_count"
+def plan_totals_feedback(counts: DataFrame, cfg: PlanConfig) -> DataFrame:
+    return counts.selectExpr(f"{cfg.lookback_days} AS lookback_days", f"{cfg.forecast_days} AS forecast_days", "po_count")
+
+
+def _ranked_lists(
+    outlook: DataFrame, at_risk: str, has_order: str, risk_order: list[str], entry: str, cfg: PlanConfig
+) -> DataFrame:
+    """One row with the risk list and the purchase list of a snapshot, in one pass over the parts.
+
+    The filter on the rank makes Spark keep only the first rows of each list in every task
+    before the shuffle, so a list never gathers more than that.
+    """
+    lists = f"array_compact(array(CASE WHEN {at_risk} THEN 'risk' END, CASE WHEN {has_order} THEN 'po' END))"
+    tagged = outlook.selectExpr("*", f"explode({lists}) AS list")
+    keys = [f"CASE WHEN list = 'risk' THEN {k} END" for k in risk_order]
+    order = ", ".join([*keys, "CASE WHEN list = 'po' THEN -total_recommended_qty END", "part_no"])
+    most = max(cfg.risk_limit, cfg.table_limit, cfg.chart_limit)
+    ranked = tagged.selectExpr("*", f"row_number() OVER (PARTITION BY list ORDER BY {order}) AS rank").filter(
+        f"rank <= {most}"
+    )
+    return _aggregate(
+        ranked,
+        f"array_sort(collect_list(CASE WHEN list = 'risk' AND rank <= {cfg.risk_limit} "
+        "THEN named_struct('rank', rank, 'part_no', part_no) END)).part_no AS risk_parts",
+        f"array_sort(collect_list(CASE WHEN list = 'po' THEN named_struct('rank', rank, 'row', {entry}) END)).row AS po",
     )
 
 
-def _listed(df: DataFrame, key: str) -> Column:
-    """A small ordered table as an array of structs; callers pass tables of fixed length only."""
-    columns = [key, *[c for c in df.columns if c != key]]
-    return df.agg(F.array_sort(F.collect_list(F.struct(*columns)))).scalar()
+def _document(kpi: DataFrame, summary: DataFrame, series: str, totals: DataFrame, lists: DataFrame, cfg: PlanConfig) -> DataFrame:
+    """Snapshot from one-row tables; the chart shows the head of the purchase table."""
+    one = kpi.select(F.struct("*").alias("kpi")).withColumn("summary", _row(summary))
+    one = one.withColumn("days", _row(totals)).withColumn("lists", _row(lists))
+    dates = ", ".join(f"'{d.isoformat()}'" for d in cfg.forecast_dates)
+    shown = f"slice(lists.po, 1, {cfg.chart_limit})"
+    return one.selectExpr(
+        f"'{cfg.as_of:%Y-%m-%d %H:%M:%S}' AS updated_at",
+        "kpi",
+        "lists.risk_parts AS risk_parts",
+        "summary",
+        f"named_struct('compare', named_struct('x', array({dates}), {series}), 'po', "
+        f"named_struct('labels', {shown}.part_no, 'values', {shown}.total_recommended_qty)) AS charts",
+        f"slice(lists.po, 1, {cfg.table_limit}) AS po_table",
+    )
 
 
 def snapshot(
-    kpi: DataFrame,
-    totals: DataFrame,
-    risk: DataFrame,
-    compare: DataFrame,
-    chart: DataFrame,
-    table: DataFrame,
-    cfg: PlanConfig,
+    factor: DataFrame, totals: DataFrame, need: DataFrame, counts: DataFrame, outlook: DataFrame, cfg: PlanConfig
 ) -> DataFrame:
     """One document with everything of bounded size that a plan reports.
 
     The lists are limited by the configuration (top-k reports, forecast days). The machine
     series grows with the readings and is written as a table of its own beside it.
     """
-    one = kpi.select(F.struct("*").alias("kpi"))
-    one = one.withColumn("summary", _row(totals))
-    one = one.withColumn("risk_parts", _listed(risk, "rank")).withColumn("risk_parts", F.col("risk_parts.part_no"))
-    one = one.withColumn("compare", _listed(compare, "forecast_date"))
-    one = one.withColumn("po", _listed(chart, "rank")).withColumn("po_table", _listed(table, "rank"))
-    return one.select(
-        F.lit(cfg.as_of.strftime("%Y-%m-%d %H:%M:%S")).alias("updated_at"),
-        "kpi",
-        "risk_parts",
-        "summary",
-        F.struct(
-            "compare", F.struct(F.col("po.label").alias("labels"), F.col("po.value").alias("values")).alias("po")
-        ).alias("charts"),
-        "po_table",
+    entry = (
+        "named_struct('part_no', part_no, 'total_recommended_qty', rint(total_recommended_qty * 100) / 100, "
+        "'first_shortage_date', date_format(first_shortage_date, 'yyyy-MM-dd'), "
+        "'first_suggested_order_date', date_format(first_suggested_order_date, 'yyyy-MM-dd'), "
+        "'first_required_eta', date_format(first_required_eta, 'yyyy-MM-dd'), "
+        "'max_shortage_qty', rint(ordered_max_shortage_qty * 100) / 100, "
+        "'days_below_safety', days_below_safety, 'days_below_zero', days_below_zero, "
+        "'min_available', rint(min_available * 100) / 100)"
+    )
+    worst = ["-days_below_zero", "-days_below_safety", "-max_shortage_qty"]
+    lists = _ranked_lists(outlook, AT_RISK, HAS_ORDER, worst, entry, cfg)
+    series = "'demand', days.demand, 'output', days.output, 'gap', days.gap"
+    return _document(kpis(factor, totals, counts), plan_totals(need, counts, cfg), series, totals, lists, cfg)
+
+
+def snapshot_feedback(
+    factor: DataFrame, totals: DataFrame, counts: DataFrame, outlook: DataFrame, cfg: PlanConfig
+) -> DataFrame:
+    entry = (
+        "named_struct('part_no', part_no, 'total_recommended_qty', total_recommended_qty, "
+        "'first_order_date', date_format(first_order_date, 'yyyy-MM-dd'), "
+        "'first_eta', date_format(first_eta, 'yyyy-MM-dd'))"
+    )
+    lists = _ranked_lists(outlook, "shortage", HAS_ORDER_FEEDBACK, [], entry, cfg)
+    series = "'original', days.demand, 'adjusted', days.output"
+    return _document(
+        kpis_feedback(factor, totals, counts), plan_totals_feedback(counts, cfg), series, totals, lists, cfg
     )

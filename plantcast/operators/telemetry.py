@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantcast.config import PlanConfig
-from plantcast.functions.days import instant
 from plantcast.functions.health import blended_capacity, continuous_score, step_score
-from plantcast.functions.values import half_even, number, number_or
+from plantcast.functions.values import half_even, literal, number_or, number_sql
 
 READING = ["machine_id", "temperature", "vibration", "rpm", "created_at"]
 
 
-def _since(readings: DataFrame, moment) -> DataFrame:
+def _since(readings: DataFrame, moment: datetime) -> DataFrame:
     """Readings from ``moment`` on; a day-partitioned store is pruned by its folder."""
     if "reading_date" in readings.columns:
-        readings = readings.filter(F.col("reading_date") >= F.lit(moment.date()))
-    return readings.filter(F.col("created_at") >= instant(moment)).select(*READING)
+        readings = readings.filter(f"reading_date >= {literal(moment.date())}")
+    return readings.filter(f"created_at >= {literal(moment)}").select(*READING)
 
 
 def recent_readings(machine_data: DataFrame, cfg: PlanConfig) -> DataFrame:
@@ -49,43 +50,41 @@ def clean_readings(readings: DataFrame, cfg: PlanConfig) -> DataFrame:
 
 def reading_health(readings: DataFrame, cfg: PlanConfig) -> DataFrame:
     """Cleaned readings with their continuous health score; works on streams."""
-    score = continuous_score(F.col("temperature"), F.col("vibration"), F.col("rpm"), cfg)
-    return clean_readings(readings, cfg).withColumn("health_score", score)
+    return clean_readings(readings, cfg).withColumn("health_score", continuous_score(cfg))
 
 
 def reading_health_step(readings: DataFrame, cfg: PlanConfig) -> DataFrame:
     """Readings with the step score."""
-    score = step_score(number("temperature"), number("vibration"), cfg)
-    return readings.withColumn("health_score", score)
+    return readings.withColumn("health_score", step_score(cfg))
 
 
 def machine_health(scored: DataFrame) -> DataFrame:
     """Mean score per machine; a machine with most of the readings is pre-averaged per task."""
     return (
-        scored.filter(F.col("machine_id").isNotNull())
+        scored.filter("machine_id IS NOT NULL")
         .groupBy("machine_id")
-        .agg(F.avg("health_score").alias("machine_health"))
+        .agg(F.expr("avg(health_score) AS machine_health"))
     )
 
 
 def capacity_factor(machines: DataFrame, cfg: PlanConfig) -> DataFrame:
     """One row: mean and worst machine health, and the capacity factor made of them."""
-    mean, worst = F.avg("machine_health"), F.min("machine_health")
-    return machines.agg(mean.alias("mean"), worst.alias("worst")).select(
-        F.coalesce("mean", F.lit(1.0)).alias("avg_health"),
-        F.coalesce("worst", F.lit(1.0)).alias("min_health"),
-        blended_capacity(F.col("mean"), F.col("worst"), cfg).alias("capacity_factor"),
+    mean, worst = "avg(machine_health)", "min(machine_health)"
+    return machines.agg(
+        F.expr(f"coalesce({mean}, 1.0D) AS avg_health"),
+        F.expr(f"coalesce({worst}, 1.0D) AS min_health"),
+        F.expr(f"{blended_capacity(mean, worst, cfg)} AS capacity_factor"),
     )
 
 
 def capacity_factor_step(scored: DataFrame) -> DataFrame:
     """One row: the mean score over the readings is the factor."""
-    mean = F.coalesce(F.avg("health_score"), F.lit(1.0))
-    return scored.agg(mean.alias("avg_health")).withColumn("capacity_factor", F.col("avg_health"))
+    mean = "coalesce(avg(health_score), 1.0D)"
+    return scored.agg(F.expr(f"{mean} AS avg_health"), F.expr(f"{mean} AS capacity_factor"))
 
 
-def _stamp(column: str):
-    return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+def _stamp(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias("x")
 
 
 def machine_series(scored: DataFrame) -> DataFrame:
@@ -95,15 +94,15 @@ def machine_series(scored: DataFrame) -> DataFrame:
     array per machine would have to fit one task.
     """
     return (
-        scored.filter(F.col("machine_id").isNotNull())
+        scored.filter("machine_id IS NOT NULL")
         .orderBy("machine_id", "created_at")
         .select(
             "machine_id",
-            _stamp("created_at").alias("x"),
-            half_even(F.col("temperature"), 2).alias("temperature"),
-            half_even(F.col("vibration"), 4).alias("vibration"),
-            half_even(F.col("rpm")).alias("rpm"),
-            half_even(F.col("health_score"), 3).alias("health_score"),
+            _stamp("created_at"),
+            half_even("temperature", 2).alias("temperature"),
+            half_even("vibration", 4).alias("vibration"),
+            half_even("rpm").alias("rpm"),
+            half_even("health_score", 3).alias("health_score"),
         )
     )
 
@@ -111,7 +110,7 @@ def machine_series(scored: DataFrame) -> DataFrame:
 def latest_series(latest: DataFrame) -> DataFrame:
     """Display series of the newest readings over all machines, oldest first."""
     return latest.orderBy("created_at").select(
-        _stamp("created_at").alias("x"),
-        half_even(number("temperature"), 2).alias("temperature"),
-        half_even(number("vibration"), 4).alias("vibration"),
+        _stamp("created_at"),
+        half_even(number_sql("temperature"), 2).alias("temperature"),
+        half_even(number_sql("vibration"), 4).alias("vibration"),
     )

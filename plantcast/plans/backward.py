@@ -76,9 +76,13 @@ class BackwardPlan:
     def capacity_plan(self) -> DataFrame:
         return forecast.capacity_plan(self.products, self.cfg)
 
+    @cached_property
+    def day_totals(self) -> DataFrame:
+        return forecast.day_totals(self.products, self.cfg)
+
     @cached_property
     def demand_compare(self) -> DataFrame:
-        return forecast.demand_compare(self.capacity_plan)
+        return forecast.demand_compare(self.day_totals, self.cfg)
 
     # Parts
 
@@ -149,18 +153,26 @@ class BackwardPlan:
     def po_table(self) -> DataFrame:
         return summary.po_table(self.po_summary, self.cfg)
 
+    @cached_property
+    def outlook_counts(self) -> DataFrame:
+        return summary.outlook_counts(self.part_outlook)
+
+    @cached_property
+    def need_totals(self) -> DataFrame:
+        return summary.need_totals(self.part_demand, self.cfg)
+
     @cached_property
     def kpis(self) -> DataFrame:
-        return summary.kpis(self.capacity_factor, self.products, self.part_outlook)
+        return summary.kpis(self.capacity_factor, self.day_totals, self.outlook_counts)
 
     @cached_property
     def plan_totals(self) -> DataFrame:
-        return summary.plan_totals(self.part_demand, self.po_summary, self.cfg)
+        return summary.plan_totals(self.need_totals, self.outlook_counts, self.cfg)
 
     @cached_property
     def snapshot(self) -> DataFrame:
         return summary.snapshot(
-            self.kpis, self.plan_totals, self.risk_parts, self.demand_compare, self.po_chart, self.po_table, self.cfg
+            self.capacity_factor, self.day_totals, self.need_totals, self.outlook_counts, self.part_outlook, self.cfg
         )
 
     @cached_property

@@ -61,9 +61,13 @@ class ForwardPlan:
     def capacity_plan(self) -> DataFrame:
         return forecast.capacity_plan_adjusted(self.products, self.cfg)
 
+    @cached_property
+    def day_totals(self) -> DataFrame:
+        return forecast.day_totals(self.products, self.cfg)
+
     @cached_property
     def demand_compare(self) -> DataFrame:
-        return forecast.demand_compare_adjusted(self.capacity_plan)
+        return forecast.demand_compare_adjusted(self.day_totals, self.cfg)
 
     @cached_property
     def bom(self) -> DataFrame:
@@ -111,18 +115,22 @@ class ForwardPlan:
     def po_table(self) -> DataFrame:
         return summary.po_table_feedback(self.po_summary, self.cfg)
 
+    @cached_property
+    def outlook_counts(self) -> DataFrame:
+        return summary.outlook_counts_feedback(self.part_outlook)
+
     @cached_property
     def kpis(self) -> DataFrame:
-        return summary.kpis_feedback(self.capacity_factor, self.products, self.part_outlook)
+        return summary.kpis_feedback(self.capacity_factor, self.day_totals, self.outlook_counts)
 
     @cached_property
     def plan_totals(self) -> DataFrame:
-        return summary.plan_totals_feedback(self.po_summary, self.cfg)
+        return summary.plan_totals_feedback(self.outlook_counts, self.cfg)
 
     @cached_property
     def snapshot(self) -> DataFrame:
-        return summary.snapshot(
-            self.kpis, self.plan_totals, self.risk_parts, self.demand_compare, self.po_chart, self.po_table, self.cfg
+        return summary.snapshot_feedback(
+            self.capacity_factor, self.day_totals, self.outlook_counts, self.part_outlook, self.cfg
         )
 
     @cached_property

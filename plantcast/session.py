@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Order lines that match no order of the look-back window are dropped before the shuffle.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # No Python call site is recorded for every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,25 +29,31 @@ SPLIT_COLUMN = {
 }
 
 
-@dataclass(frozen=True)
 class Sources:
-    """The seven logical input tables."""
+    """The seven logical input tables, each read when it is first used."""
 
-    orders: DataFrame
-    order_items: DataFrame
-    bom_header: DataFrame
-    bom_detail: DataFrame
-    parts: DataFrame
-    purchase: DataFrame
-    machine_data: DataFrame
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+        missing = SCHEMAS.keys() - tables.keys()
+        if missing or tables.keys() - SCHEMAS.keys():
+            raise TypeError(f"expected the tables {', '.join(SCHEMAS)}")
+        self._tables = tables
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        table = self._tables[name]
+        if not isinstance(table, DataFrame):
+            table = self._tables[name] = table()
+        return table
+
+    def replaced(self, **tables: DataFrame | Callable[[], DataFrame]) -> Sources:
+        """The same inputs with some tables exchanged."""
+        return Sources(**{**self._tables, **tables})
 
 
 def from_parquet(spark: SparkSession, root: str) -> Sources:
     """Read ``root/<table>``; partition columns of the stored layout are picked up."""
-    return Sources(**{name: spark.read.parquet(f"{root}/{name}") for name in SCHEMAS})
+    return Sources(**{name: partial(spark.read.parquet, f"{root}/{name}") for name in SCHEMAS})
 
 
 def hash_slices(column: str, slices: int) -> list[str]:
@@ -100,8 +107,8 @@ def from_jdbc(
     slices: int = 64,
 ) -> Sources:
     """Order tables from one database, materials and telemetry from another."""
-    shop = {
-        t: jdbc_table(spark, orders_url, t, orders_properties, slices) for t in ("orders", "order_items")
-    }
-    erp = {t: jdbc_table(spark, erp_url, t, erp_properties, slices) for t in SCHEMAS if t not in shop}
-    return Sources(**shop, **erp)
+    shop = ("orders", "order_items")
+    return Sources(
+        **{t: partial(jdbc_table, spark, orders_url, t, orders_properties, slices) for t in shop},
+        **{t: partial(jdbc_table, spark, erp_url, t, erp_properties, slices) for t in SCHEMAS if t not in shop},
+    )

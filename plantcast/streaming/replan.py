@@ -52,7 +52,7 @@ class Replanner:
         if self.clock is not None:
             cfg = replace(cfg, as_of=self.clock(), telemetry_as_of=None)
         readings = spark.read.schema(STORED_SCHEMA).parquet(self.readings_path)
-        plan = self.plan(replace(self.sources, machine_data=readings), cfg)
+        plan = self.plan(self.sources.replaced(machine_data=readings), cfg)
         run = f"{self.output_path}/run={batch_id}"
         plan.stage(f"{run}/staged")
         write_tables({name: getattr(plan, name) for name in self.tables}, run)

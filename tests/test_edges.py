@@ -10,7 +10,7 @@ from seed import AS_OF, CFG, day, seed, sources, table
 from plantcast import BackwardPlan, ForwardPlan
 from plantcast.functions.days import weekday_counts
 from plantcast.functions.health import penalty
-from plantcast.functions.values import half_even, leading_integer, number, whole
+from plantcast.functions.values import half_even, leading_integer, number, whole_sql
 from plantcast.operators import checks, demand, labels, materials, telemetry
 from plantcast.sources.legacy import adapt_tables
 
@@ -25,8 +25,8 @@ def values(df, column):
 
 def test_rounding_is_half_even(spark):
     df = spark.createDataFrame([(v,) for v in (0.5, 1.5, 2.5, 3.5, 7.5, -0.5, -1.5)], "v double")
-    assert values(df.select(whole(F.col("v")).alias("v")), "v") == [0, 2, 2, 4, 8, 0, -2]
-    assert values(df.select(half_even(F.lit(2.675), 2).alias("v")), "v")[0] == 2.68
+    assert values(df.select(F.expr(whole_sql("v")).alias("v")), "v") == [0, 2, 2, 4, 8, 0, -2]
+    assert values(df.select(half_even("2.675D", 2).alias("v")), "v")[0] == 2.68
 
 
 def test_product_codes(spark):
@@ -109,7 +109,7 @@ def test_profile_equals_means_over_the_grid(spark, lookback):
 
 
 def test_no_telemetry_means_full_capacity(spark):
-    src = replace(seed(spark), machine_data=table(spark, "machine_data", []))
+    src = seed(spark).replaced(machine_data=table(spark, "machine_data", []))
     plan = BackwardPlan(src, CFG)
     assert tuple(plan.capacity_factor.first()) == (1.0, 1.0, 1.0)
     assert plan.machine_series.count() == 0
@@ -148,8 +148,8 @@ def test_latest_readings_are_global(spark):
 
 def test_penalty_range(spark):
     df = spark.createDataFrame([(70.0,), (75.0,), (85.0,), (95.0,), (120.0,)], "t double")
-    assert values(df.select(penalty(F.col("t"), 75.0, 95.0).alias("p")), "p") == [0.0, 0.0, 0.5, 1.0, 1.0]
-    assert set(values(df.select(penalty(F.col("t"), 95.0, 75.0).alias("p")), "p")) == {0.0}
+    assert values(df.select(F.expr(penalty("t", 75.0, 95.0)).alias("p")), "p") == [0.0, 0.0, 0.5, 1.0, 1.0]
+    assert set(values(df.select(F.expr(penalty("t", 95.0, 75.0)).alias("p")), "p")) == {0.0}
 
 
 def test_health_stays_in_range_and_falls_with_heat(spark):
@@ -254,7 +254,7 @@ def test_empty_inputs_give_zero_figures(spark):
 
 
 def test_empty_purchases(spark):
-    src = replace(seed(spark), purchase=table(spark, "purchase", []))
+    src = seed(spark).replaced(purchase=table(spark, "purchase", []))
     assert {r.incoming_qty for r in BackwardPlan(src, CFG).mrp_plan.collect()} == {0.0}
 
 
@@ -277,7 +277,7 @@ def test_older_table_names(spark):
             {"part_no": "圖號", "delivery_date": "交貨日期", "order_qty": "叫貨數量", "status": "到貨狀態"}
         ).withColumn("到貨狀態", F.when(F.col("到貨狀態") == "pending", "未到貨").otherwise("已到貨")),
     }
-    adapted = replace(src, **adapt_tables(old))
+    adapted = src.replaced(**adapt_tables(old))
     assert sorted(ForwardPlan(adapted, CFG).po_summary.collect()) == sorted(ForwardPlan(src, CFG).po_summary.collect())
 
 

@@ -113,9 +113,12 @@ def test_snapshot_document(backward):
     assert doc["updated_at"] == "2024-01-31 10:00:00"
     assert doc["kpi"]["total_po_qty"] == 1257
     assert [p[-1] for p in doc["risk_parts"]] == list("DBACE")
-    assert [d["gap_qty"] for d in doc["charts"]["compare"]] == [2, 2, 1, 1, 2, 2, 2]
+    assert doc["charts"]["compare"]["gap"] == [2, 2, 1, 1, 2, 2, 2]
+    assert doc["charts"]["compare"]["x"][0] == "2024-02-01"
     assert doc["charts"]["po"]["values"] == [371, 324, 281, 161, 120]
     assert doc["summary"]["po_count"] == len(doc["po_table"]) == 5
+    table = [r.asDict() for r in sorted(backward.po_table.drop("rank").collect(), key=lambda r: -r.total_recommended_qty)]
+    assert doc["po_table"] == table
 
 
 def test_series_is_ordered_and_rounded(backward):
