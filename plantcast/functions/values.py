@@ -43,10 +43,14 @@ def leading_integer(c: str) -> Column:
     return F.expr(f"CASE WHEN {digits} <> '' THEN try_cast({digits} AS bigint) WHEN {c} IS NOT NULL THEN 0L END")
 
 
-def half_even(c: str, digits: int = 0) -> Column:
+def half_even_sql(c: str, digits: int = 0) -> str:
     """Round a double with ties to the even neighbour, by scaling as numpy does."""
     scale = literal(10**digits)
-    return F.expr(f"rint({c})" if digits == 0 else f"rint({c} * {scale}) / {scale}")
+    return f"rint({c})" if digits == 0 else f"rint({c} * {scale}) / {scale}"
+
+
+def half_even(c: str, digits: int = 0) -> Column:
+    return F.expr(half_even_sql(c, digits))
 
 
 def whole_sql(c: str) -> str:
@@ -54,6 +58,6 @@ def whole_sql(c: str) -> str:
     return f"CAST(rint({c}) AS bigint)"
 
 
-def truncated(c: str) -> Column:
+def truncated_sql(c: str) -> str:
     """Total cut to a whole number towards zero; nothing to add up counts as 0."""
-    return F.expr(f"CAST(coalesce({c}, 0) AS bigint)")
+    return f"CAST(coalesce({c}, 0) AS bigint)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from plantcast.config import PlanConfig
-from plantcast.functions.days import filled, forecast_days, per_day
+from plantcast.functions.days import filled, per_day
 
 
 def stock_days(parts: DataFrame, demand: DataFrame, incoming: DataFrame, cfg: PlanConfig) -> DataFrame:
@@ -71,41 +71,40 @@ def mrp_plan(projection: DataFrame, cfg: PlanConfig) -> DataFrame:
 def mrp_feedback(days: DataFrame, cfg: PlanConfig) -> DataFrame:
     """Orders placed on the day of shortage arrive a lead time later and count as stock.
 
-    The order size depends on earlier orders, so no running sum gives it; each part's
-    array of days is folded in place. With lead time 0 an order never lands, and orders
-    due after the last day do not land either.
+    The order size depends on earlier orders, so no running sum gives it; each part's days
+    are folded into the array of its day-end stocks. An order is what a day-end stock lacks
+    to the safety stock, so past orders follow from that array. With lead time 0 an order
+    never lands, and orders due after the last day do not land either.
     """
-    rows = (
-        "array<struct<forecast_date:date,part_demand:double,incoming_qty:double,arrival:double,"
-        "end_available:double,po:double>>"
+    lead = cfg.lead_time_days or cfg.forecast_days
+    # Null before the first arrival, which greatest() skips.
+    arrival = f"greatest(safety_qty - get(ends, i - {lead}), 0.0D)"
+    ends = (
+        f"aggregate(sequence(0, {cfg.forecast_days - 1}), CAST(array() AS array<double>), (ends, i) -> concat(ends, "
+        f"array(coalesce(get(ends, i - 1), stock_qty) + get(incoming, i) + {arrival} - get(part_demand, i))))"
     )
-    arrival = f"coalesce(get(state.done, size(state.done) - {cfg.lead_time_days}).po, 0.0D)"
-    end = f"state.stock + day.incoming + {arrival} - day.part_demand"
-    entry = (
-        "named_struct('forecast_date', day.forecast_date, 'part_demand', day.part_demand, "
-        f"'incoming_qty', day.incoming, 'arrival', {arrival}, 'end_available', {end}, "
-        f"'po', greatest(safety_qty - ({end}), 0.0D))"
-    )
-    steps = (
-        f"transform({forecast_days(cfg)}, (d, i) -> named_struct('forecast_date', d, "
-        "'part_demand', get(part_demand, i), 'incoming', get(incoming, i)))"
-    )
-    folded = (
-        f"aggregate({steps}, "
-        f"named_struct('stock', stock_qty, 'done', CAST(array() AS {rows})), "
-        f"(state, day) -> named_struct('stock', {end}, 'done', concat(state.done, array({entry})))).done"
+    folded = days.selectExpr("*", f"{ends} AS ends").selectExpr("*", f"transform(ends, (e, i) -> {arrival}) AS arrivals")
+    plan = per_day(
+        folded,
+        cfg,
+        ["part_no", "stock_qty", "safety_qty"],
+        part_demand="part_demand",
+        incoming_qty="incoming",
+        po_arrival_qty_today="arrivals",
+        end_available="ends",
     )
-    return days.selectExpr("part_no", "stock_qty", "safety_qty", f"inline({folded})").selectExpr(
+    short = "safety_qty - end_available > 0"
+    return plan.selectExpr(
         "forecast_date",
         "part_no",
         "part_demand",
         "incoming_qty",
-        "arrival AS po_arrival_qty_today",
+        "po_arrival_qty_today",
         "stock_qty",
         "safety_qty",
         "end_available + part_demand AS start_available",
         "end_available",
         "end_available < safety_qty AS shortage",
-        "po AS recommended_po_qty",
-        f"CASE WHEN po > 0 THEN date_add(forecast_date, {cfg.lead_time_days}) END AS po_eta_date",
+        "greatest(safety_qty - end_available, 0.0D) AS recommended_po_qty",
+        f"CASE WHEN {short} THEN date_add(forecast_date, {cfg.lead_time_days}) END AS po_eta_date",
     )

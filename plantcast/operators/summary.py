@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plantcast.config import PlanConfig
-from plantcast.functions.values import half_even, truncated
+from plantcast.functions.values import half_even, half_even_sql, truncated_sql
 
 AT_RISK = "days_below_safety > 0 OR days_below_zero > 0"
 HAS_ORDER = "first_shortage_date IS NOT NULL"
@@ -150,19 +150,21 @@ def _row(df: DataFrame) -> Column:
 
 def outlook_counts(outlook: DataFrame) -> DataFrame:
     """One row: parts at risk, proposed quantity, parts that run out, parts with a proposal."""
-    return outlook.agg(
-        F.expr(f"count_if({AT_RISK}) AS risk_count"),
-        truncated("sum(total_recommended_qty)").alias("total_po_qty"),
-        F.expr("count_if(days_below_zero > 0) AS days_below_zero_parts"),
-        F.expr(f"count_if({HAS_ORDER}) AS po_count"),
+    return _aggregate(
+        outlook,
+        f"count_if({AT_RISK}) AS risk_count",
+        f"{truncated_sql('sum(total_recommended_qty)')} AS total_po_qty",
+        "count_if(days_below_zero > 0) AS days_below_zero_parts",
+        f"count_if({HAS_ORDER}) AS po_count",
     )
 
 
 def outlook_counts_feedback(outlook: DataFrame) -> DataFrame:
-    return outlook.agg(
-        F.expr("count_if(shortage) AS risk_count"),
-        truncated("sum(total_recommended_qty)").alias("total_po_qty"),
-        F.expr(f"count_if({HAS_ORDER_FEEDBACK}) AS po_count"),
+    return _aggregate(
+        outlook,
+        "count_if(shortage) AS risk_count",
+        f"{truncated_sql('sum(total_recommended_qty)')} AS total_po_qty",
+        f"count_if({HAS_ORDER_FEEDBACK}) AS po_count",
     )
 
 
@@ -182,47 +184,72 @@ def _sum(array: str) -> str:
     return f"aggregate({array}, 0L, (total, qty) -> total + qty)"
 
 
+# Reported figures by name, over the counts with ``health``, ``days`` and ``need`` beside them.
+
+KPIS = {
+    "avg_health": half_even_sql("health.avg_health", 3),
+    "min_health": half_even_sql("health.min_health", 3),
+    "capacity_factor": half_even_sql("health.capacity_factor", 3),
+    "total_forecast_demand": _sum("days.demand"),
+    "total_expected_output": _sum("days.output"),
+    "total_gap_qty": _sum("days.gap"),
+    "risk_count": "risk_count",
+    "total_po_qty": "total_po_qty",
+    "days_below_zero_parts": "days_below_zero_parts",
+}
+KPIS_FEEDBACK = {
+    "avg_health": half_even_sql("health.avg_health", 2),
+    "capacity_factor": half_even_sql("health.capacity_factor", 2),
+    "total_original_qty": _sum("days.demand"),
+    "total_forecast_qty": _sum("days.output"),
+    "risk_count": "risk_count",
+    "total_po_qty": "total_po_qty",
+}
+
+
+def _totals(cfg: PlanConfig) -> dict[str, str]:
+    return {
+        "lookback_days": str(cfg.lookback_days),
+        "forecast_days": str(cfg.forecast_days),
+        "po_count": "po_count",
+        "total_demand_part_qty": half_even_sql("need.total_demand_part_qty", 2),
+        "total_output_part_qty": half_even_sql("need.total_output_part_qty", 2),
+    }
+
+
+def _totals_feedback(cfg: PlanConfig) -> dict[str, str]:
+    return {"lookback_days": str(cfg.lookback_days), "forecast_days": str(cfg.forecast_days), "po_count": "po_count"}
+
+
+def _columns(figures: dict[str, str]) -> list[str]:
+    return [f"{sql} AS {name}" for name, sql in figures.items()]
+
+
+def _struct(figures: dict[str, str]) -> str:
+    return f"named_struct({', '.join(f"'{name}', {sql}" for name, sql in figures.items())})"
+
+
+def _beside(counts: DataFrame, **rows: DataFrame) -> DataFrame:
+    """Other one-row tables as struct columns beside the counts."""
+    return counts.withColumns({name: _row(df) for name, df in rows.items()})
+
+
 def kpis(factor: DataFrame, totals: DataFrame, counts: DataFrame) -> DataFrame:
     """One row of key figures from three one-row tables."""
-    full = counts.withColumn("health", _row(factor)).withColumn("days", _row(totals))
-    return full.select(
-        half_even("health.avg_health", 3).alias("avg_health"),
-        half_even("health.min_health", 3).alias("min_health"),
-        half_even("health.capacity_factor", 3).alias("capacity_factor"),
-        F.expr(f"{_sum('days.demand')} AS total_forecast_demand"),
-        F.expr(f"{_sum('days.output')} AS total_expected_output"),
-        F.expr(f"{_sum('days.gap')} AS total_gap_qty"),
-        "risk_count",
-        "total_po_qty",
-        "days_below_zero_parts",
-    )
+    return _beside(counts, health=factor, days=totals).selectExpr(*_columns(KPIS))
 
 
 def kpis_feedback(factor: DataFrame, totals: DataFrame, counts: DataFrame) -> DataFrame:
-    full = counts.withColumn("health", _row(factor)).withColumn("days", _row(totals))
-    return full.select(
-        half_even("health.avg_health", 2).alias("avg_health"),
-        half_even("health.capacity_factor", 2).alias("capacity_factor"),
-        F.expr(f"{_sum('days.demand')} AS total_original_qty"),
-        F.expr(f"{_sum('days.output')} AS total_forecast_qty"),
-        "risk_count",
-        "total_po_qty",
-    )
+    return _beside(counts, health=factor, days=totals).selectExpr(*_columns(KPIS_FEEDBACK))
 
 
 def plan_totals(need: DataFrame, counts: DataFrame, cfg: PlanConfig) -> DataFrame:
     """One row: parameters, number of proposals, part quantity for demand and for output."""
-    return counts.withColumn("need", _row(need)).select(
-        F.lit(cfg.lookback_days).alias("lookback_days"),
-        F.lit(cfg.forecast_days).alias("forecast_days"),
-        "po_count",
-        half_even("need.total_demand_part_qty", 2).alias("total_demand_part_qty"),
-        half_even("need.total_output_part_qty", 2).alias("total_output_part_qty"),
-    )
+    return _beside(counts, need=need).selectExpr(*_columns(_totals(cfg)))
 
 
 def plan_totals_feedback(counts: DataFrame, cfg: PlanConfig) -> DataFrame:
-    return counts.selectExpr(f"{cfg.lookback_days} AS lookback_days", f"{cfg.forecast_days} AS forecast_days", "po_count")
+    return counts.selectExpr(*_columns(_totals_feedback(cfg)))
 
 
 def _ranked_lists(
@@ -249,17 +276,15 @@ def _ranked_lists(
     )
 
 
-def _document(kpi: DataFrame, summary: DataFrame, series: str, totals: DataFrame, lists: DataFrame, cfg: PlanConfig) -> DataFrame:
-    """Snapshot from one-row tables; the chart shows the head of the purchase table."""
-    one = kpi.select(F.struct("*").alias("kpi")).withColumn("summary", _row(summary))
-    one = one.withColumn("days", _row(totals)).withColumn("lists", _row(lists))
+def _document(one: DataFrame, kpi: dict[str, str], summary: dict[str, str], series: str, cfg: PlanConfig) -> DataFrame:
+    """Snapshot from one row of figures; the chart shows the head of the purchase table."""
     dates = ", ".join(f"'{d.isoformat()}'" for d in cfg.forecast_dates)
     shown = f"slice(lists.po, 1, {cfg.chart_limit})"
     return one.selectExpr(
         f"'{cfg.as_of:%Y-%m-%d %H:%M:%S}' AS updated_at",
-        "kpi",
+        f"{_struct(kpi)} AS kpi",
         "lists.risk_parts AS risk_parts",
-        "summary",
+        f"{_struct(summary)} AS summary",
         f"named_struct('compare', named_struct('x', array({dates}), {series}), 'po', "
         f"named_struct('labels', {shown}.part_no, 'values', {shown}.total_recommended_qty)) AS charts",
         f"slice(lists.po, 1, {cfg.table_limit}) AS po_table",
@@ -274,31 +299,34 @@ def snapshot(
     The lists are limited by the configuration (top-k reports, forecast days). The machine
     series grows with the readings and is written as a table of its own beside it.
     """
-    entry = (
-        "named_struct('part_no', part_no, 'total_recommended_qty', rint(total_recommended_qty * 100) / 100, "
-        "'first_shortage_date', date_format(first_shortage_date, 'yyyy-MM-dd'), "
-        "'first_suggested_order_date', date_format(first_suggested_order_date, 'yyyy-MM-dd'), "
-        "'first_required_eta', date_format(first_required_eta, 'yyyy-MM-dd'), "
-        "'max_shortage_qty', rint(ordered_max_shortage_qty * 100) / 100, "
-        "'days_below_safety', days_below_safety, 'days_below_zero', days_below_zero, "
-        "'min_available', rint(min_available * 100) / 100)"
-    )
+    entry = {
+        "part_no": "part_no",
+        "total_recommended_qty": half_even_sql("total_recommended_qty", 2),
+        "first_shortage_date": "date_format(first_shortage_date, 'yyyy-MM-dd')",
+        "first_suggested_order_date": "date_format(first_suggested_order_date, 'yyyy-MM-dd')",
+        "first_required_eta": "date_format(first_required_eta, 'yyyy-MM-dd')",
+        "max_shortage_qty": half_even_sql("ordered_max_shortage_qty", 2),
+        "days_below_safety": "days_below_safety",
+        "days_below_zero": "days_below_zero",
+        "min_available": half_even_sql("min_available", 2),
+    }
     worst = ["-days_below_zero", "-days_below_safety", "-max_shortage_qty"]
-    lists = _ranked_lists(outlook, AT_RISK, HAS_ORDER, worst, entry, cfg)
+    lists = _ranked_lists(outlook, AT_RISK, HAS_ORDER, worst, _struct(entry), cfg)
+    one = _beside(counts, health=factor, days=totals, need=need, lists=lists)
     series = "'demand', days.demand, 'output', days.output, 'gap', days.gap"
-    return _document(kpis(factor, totals, counts), plan_totals(need, counts, cfg), series, totals, lists, cfg)
+    return _document(one, KPIS, _totals(cfg), series, cfg)
 
 
 def snapshot_feedback(
     factor: DataFrame, totals: DataFrame, counts: DataFrame, outlook: DataFrame, cfg: PlanConfig
 ) -> DataFrame:
-    entry = (
-        "named_struct('part_no', part_no, 'total_recommended_qty', total_recommended_qty, "
-        "'first_order_date', date_format(first_order_date, 'yyyy-MM-dd'), "
-        "'first_eta', date_format(first_eta, 'yyyy-MM-dd'))"
-    )
-    lists = _ranked_lists(outlook, "shortage", HAS_ORDER_FEEDBACK, [], entry, cfg)
+    entry = {
+        "part_no": "part_no",
+        "total_recommended_qty": "total_recommended_qty",
+        "first_order_date": "date_format(first_order_date, 'yyyy-MM-dd')",
+        "first_eta": "date_format(first_eta, 'yyyy-MM-dd')",
+    }
+    lists = _ranked_lists(outlook, "shortage", HAS_ORDER_FEEDBACK, [], _struct(entry), cfg)
+    one = _beside(counts, health=factor, days=totals, lists=lists)
     series = "'original', days.demand, 'adjusted', days.output"
-    return _document(
-        kpis_feedback(factor, totals, counts), plan_totals_feedback(counts, cfg), series, totals, lists, cfg
-    )
+    return _document(one, KPIS_FEEDBACK, _totals_feedback(cfg), series, cfg)

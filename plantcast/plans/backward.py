@@ -15,6 +15,17 @@ from plantcast.sources.tables import Sources
 class BackwardPlan:
     """Every table of the plan as a lazy DataFrame; only what is used is built."""
 
+    REPORTS = (
+        "snapshot",
+        "capacity_plan",
+        "demand_compare",
+        "mrp_plan",
+        "part_risk_summary",
+        "po_summary",
+        "machine_health",
+        "machine_series",
+    )
+
     def __init__(self, sources: Sources, cfg: PlanConfig) -> None:
         self.sources = sources
         self.cfg = cfg

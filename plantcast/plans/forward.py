@@ -15,6 +15,8 @@ from plantcast.sources.tables import Sources
 class ForwardPlan:
     """Every table of the plan as a lazy DataFrame; only what is used is built."""
 
+    REPORTS = ("snapshot", "capacity_plan", "demand_compare", "mrp_plan", "po_summary", "latest_series")
+
     def __init__(self, sources: Sources, cfg: PlanConfig) -> None:
         self.sources = sources
         self.cfg = cfg

@@ -133,6 +133,12 @@ def test_projection_inherits_the_part_partitioning(spark, settings):
     assert physical(plan).count("Exchange") == 1
 
 
+def test_snapshot_lists_are_cut_in_every_task(backward):
+    """Each task keeps the head of both lists before the lists are gathered."""
+    text = physical(backward.snapshot)
+    assert "WindowGroupLimit" in text and "Partial" in text
+
+
 def test_sources_read_only_what_is_used(spark):
     read = []
 

@@ -5,10 +5,12 @@ from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from seed import AS_OF, CFG, seed, table
+from seed import AS_OF, CFG, seed, sources, table
 
-from plantcast import BackwardPlan
+from plantcast import BackwardPlan, ForwardPlan
 from plantcast.operators import demand, telemetry
+from plantcast.operators.checks import MissingInput
+from plantcast.plans.publish import publish
 from plantcast.sources import tables
 from plantcast.sources.layout import write_items_by_day
 from plantcast.sources.store import append_readings, work_folder, write_tables
@@ -71,6 +73,26 @@ def test_plan_tables_are_written(spark, tmp_path):
     assert doc.kpi.total_po_qty == 1257 and doc.charts.compare.demand == [13, 13, 6, 6, 8, 10, 13]
 
 
+@pytest.mark.parametrize("variant", [BackwardPlan, ForwardPlan])
+def test_published_plan(spark, tmp_path, variant):
+    publish(variant(seed(spark), CFG), str(tmp_path))
+    expected = variant(seed(spark), CFG)
+    for name in variant.REPORTS:
+        if name == "snapshot":
+            doc = spark.read.json(f"{tmp_path}/snapshot").first()
+            assert doc.kpi.total_po_qty == expected.kpis.first().total_po_qty
+        else:
+            got = spark.read.parquet(f"{tmp_path}/{name}")
+            assert got.columns == getattr(expected, name).columns
+            assert got.count() == getattr(expected, name).count() > 0
+
+
+def test_no_plan_without_inputs(spark, tmp_path):
+    with pytest.raises(MissingInput):
+        publish(BackwardPlan(sources(spark), CFG), str(tmp_path))
+    assert os.listdir(tmp_path) == []
+
+
 def test_stored_inputs_give_the_same_plan(spark, tmp_path):
     src = seed(spark)
     for name in tables.SCHEMAS:
