@@ -17,15 +17,22 @@ def score_stream(readings: DataFrame, cfg: PlanConfig) -> DataFrame:
 def rolling_health(readings: DataFrame, cfg: PlanConfig, slide: str = "1 hour") -> DataFrame:
     """Mean health per machine over sliding windows of ``telemetry_hours``.
 
-    Readings later than the retention time are dropped, and windows leave the state when
-    the watermark has passed them. Window ends fall on multiples of ``slide``.
+    Readings are first summed per machine and slide, and the windows are built from those
+    sums: a reading is not copied into every window it belongs to. A slide closes when the
+    watermark, which trails by the retention time, passes its end; later readings of it are
+    dropped. Window ends fall on multiples of ``slide``.
     """
     scored = reading_health(readings, cfg).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return (
-        scored.filter(F.col("machine_id").isNotNull())
+    slots = (
+        scored.filter("machine_id IS NOT NULL")
         .withWatermark("created_at", f"{cfg.retention_minutes} minutes")
-        .groupBy("machine_id", F.window("created_at", f"{cfg.telemetry_hours} hours", slide).alias("span"))
-        .agg(F.avg("health_score").alias("machine_health"), F.count("*").alias("readings"))
+        .groupBy("machine_id", F.window("created_at", slide).alias("slot"))
+        .agg(F.expr("sum(health_score) AS health"), F.expr("count(*) AS readings"))
+    )
+    span = F.window("slot", f"{cfg.telemetry_hours} hours", slide).alias("span")
+    return (
+        slots.groupBy("machine_id", span)
+        .agg(F.expr("sum(health) / sum(readings) AS machine_health"), F.expr("sum(readings) AS readings"))
         .select(
             "machine_id",
             F.col("span.start").cast("timestamp_ntz").alias("window_start"),
