@@ -1,6 +1,7 @@
 """Stored tables: readings, layout by day, plan outputs, JDBC slices."""
 
 import os
+from dataclasses import replace
 from datetime import timedelta
 
 import pytest
@@ -37,6 +38,20 @@ def test_appended_readings_have_the_stored_types(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(reading_date" in recent._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("wanted,days", [(1, 1), (2, 1), (3, 2), (5, 3), (50, 4)])
+def test_latest_readings_open_the_newest_days_only(spark, tmp_path, wanted, days):
+    """Two readings on each of four days."""
+    path = str(tmp_path / "readings")
+    append_readings(readings(spark, *[60 * 24 * d + m for d in range(4) for m in (0, 7)]), path)
+    cfg = replace(CFG, latest_readings=wanted)
+    latest = telemetry.latest_readings(spark.read.parquet(path), cfg)
+    expected = telemetry.latest_readings(spark.read.parquet(path).drop("reading_date"), cfg)
+    assert latest.collect() == expected.collect()
+    opened = telemetry._newest_days(spark.read.parquet(path), wanted)
+    assert opened.select("reading_date").distinct().count() == days
+    assert "PartitionFilters: [isnotnull(reading_date" in opened._jdf.queryExecution().executedPlan().toString()
+
+
 def test_replayed_batch_is_stored_once(spark, tmp_path):
     path = str(tmp_path / "readings")
     append_readings(readings(spark, 1, 2), path, batch_id=0)
