@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Order lines that match no order of the look-back window are dropped before the shuffle.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Streaming state is kept on disk beside the heap, and checkpoints write its changes only.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state."
+    "RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # No Python call site is recorded for every column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
