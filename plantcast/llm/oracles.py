@@ -48,5 +48,39 @@ FROM heads
 """
 
 
+OP10 = """
+WITH rows AS (
+  SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+), every AS (
+  SELECT doc_id, text, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM rows
+), occurrences AS (
+  SELECT * FROM every WHERE length(line) >= 40
+), lines AS (
+  SELECT line, length(line) AS n, min({doc_id: doc_id, pos: pos}) AS first FROM occurrences GROUP BY line
+), halves AS (
+  SELECT line, n, first, 0 AS half, n AS own, left(line, n // 2) AS part FROM lines
+  UNION ALL SELECT line, n, first, 1, n, substr(line, n // 2 + 1) FROM lines
+  UNION ALL SELECT line, n, first, 0, n - 1, left(line, (n - 1) // 2) FROM lines
+  UNION ALL SELECT line, n, first, 1, n - 1, substr(line, (n - 1) // 2 + 2) FROM lines
+), near AS (
+  SELECT DISTINCT a.line AS a, b.line AS b, a.first AS a_first, b.first AS b_first
+  FROM halves a JOIN halves b ON a.half = b.half AND a.own = b.own AND a.part = b.part AND a.line <> b.line
+  WHERE b.own = b.n AND levenshtein(a.line, b.line) <= 1
+), gone AS (
+  SELECT a AS line FROM near WHERE b_first < a_first UNION SELECT b FROM near WHERE a_first < b_first
+), judged AS (
+  SELECT e.doc_id, e.text, e.line, e.pos,
+    length(e.line) < 40 OR (l.first = {doc_id: e.doc_id, pos: e.pos} AND g.line IS NULL) AS kept
+  FROM every e LEFT JOIN lines l ON e.line = l.line LEFT JOIN gone g ON e.line = g.line
+), rebuilt AS (
+  SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (NOT kept) AS dropped_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '') AS reduced
+  FROM judged GROUP BY doc_id, text
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(dropped_lines, 0) AS dropped_lines, r.reduced AS text
+FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id AND d.text = r.text
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2, "op9_warc_revisit": OP9}
+    return {"op2_chat_format": OP2, "op9_warc_revisit": OP9, "op10_line_dedup": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantcast.llm import chat, warc
+from plantcast.llm import chat, lines, mixing, warc
 from plantcast.llm.common import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,14 +25,27 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(examples)
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
+
+
 def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "warc")
     warc.write_archives(warc.resolve_revisits(table(spark, sf_dir, "pages")), folder)
     return warc.read_archives(spark, folder).drop("url")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(documents).select("doc_id", "n_lines", "dropped_lines", "text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_chat_format": op2_chat_format,
+        "op6_mix_sources": op6_mix_sources,
         "op9_warc_revisit": op9_warc_revisit,
+        "op10_line_dedup": op10_line_dedup,
     }
