@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantcast.llm.common import drop_folder, staged, work_folder
+from plantcast.llm.common import drop_folder, scan_tasks, staged, work_folder
 
 BROADCAST_ROWS = 200_000  # rows of three longs, about 5 MB
 LINE = ["h1", "h2"]
@@ -95,10 +95,9 @@ def within_edits(a: Column, b: Column, threshold: int) -> Column:
     width = 2 * threshold + 1
     full = (1 << width) - 1
     bottom = 1 << (width - 1)
-    left, right = F.split(a, ""), F.split(b, "")
     high = sum(1 << (width - 1 - k) for k in range(threshold + 1))
 
-    def step(state: Column, j: Column) -> Column:
+    def step(state: Column, j: Column, left: Column, right: Column) -> Column:
         char = F.get(right, j)
         match = reduce(
             lambda x, y: x.bitwiseOR(y),
@@ -121,9 +120,9 @@ def within_edits(a: Column, b: Column, threshold: int) -> Column:
             slid.bitwiseAND(across_up).cast("int").alias("down"),
         )
 
-    # Names bind once per step: the inner transform keeps Spark from repeating the match bits.
-    def column(state: Column, j: Column) -> Column:
-        return F.get(F.transform(F.array(step(state, j)), advance), F.lit(0))
+    def once(value: Column, use) -> Column:
+        """Apply ``use`` to a value that is computed once, not at each mention."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
 
     start = F.struct(F.lit(threshold).alias("score"), F.lit(high).alias("up"), F.lit(0).alias("down"))
     spare = F.length(b) + threshold - F.length(a)  # rows of the band below the last one of a
@@ -135,7 +134,12 @@ def within_edits(a: Column, b: Column, threshold: int) -> Column:
         return s["score"] - F.bit_count(s["up"].bitwiseAND(low)) + F.bit_count(s["down"].bitwiseAND(low))
 
     steps = F.sequence(F.lit(0), F.length(b) - 1)
-    distance = F.when(F.length(b) == 0, F.length(a)).otherwise(F.aggregate(steps, start, column, finish))
+
+    def walk(chars: Column) -> Column:
+        return F.aggregate(steps, start, lambda s, j: once(step(s, j, chars["left"], chars["right"]), advance), finish)
+
+    characters = F.struct(F.split(a, "").alias("left"), F.split(b, "").alias("right"))
+    distance = F.when(F.length(b) == 0, F.length(a)).otherwise(once(characters, walk))
     return (F.abs(F.length(a) - F.length(b)) <= threshold) & (distance <= threshold)
 
 
@@ -204,6 +208,7 @@ def near_lines(
     return (
         pairs.join(side["x"], "x")
         .join(side["y"], "y")
+        .repartition(scan_tasks(documents), "x", "y")
         .filter(within_edits(F.col("x_line"), F.col("y_line"), threshold))
         .select("x", "y")
     )
@@ -251,12 +256,14 @@ def dedup_lines(
     for name in ("hot", "hot_lines", "hot_texts", "pairs", "ids", "texts", "lines", "near", "partners", "decided"):
         drop_folder(spark, f"{folder}/{name}")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone_lines", i))
-    columns = [c for c in documents.columns if c not in ("text", "n_lines", "dropped_lines")]
-    return documents.join(
-        dropped, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")), "left"
-    ).select(
-        *[documents[c] for c in columns],
-        F.when(F.col("gone_lines").isNull(), documents["text"]).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.coalesce(F.size(F.split(documents["text"], "\n")), F.lit(0)).cast("long").alias("n_lines"),
+    columns = [c for c in documents.columns if c not in ("n_lines", "dropped_lines")]
+    # The hash is a column of its own, so that the join's sort does not compute it at every comparison.
+    others = F.struct(*[c for c in columns if c != "text"]).alias("document")
+    hashed = documents.select(others, "text", F.xxhash64("text").alias("th"), "doc_id")
+    found = hashed.join(dropped, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
+    reduced = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return found.select(
+        *[(reduced if c == "text" else F.col("document")[c]).alias(c) for c in columns],
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("gone_lines").isNull(), 0).otherwise(F.size("gone_lines")).cast("long").alias("dropped_lines"),
     )
