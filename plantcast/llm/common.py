@@ -87,15 +87,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash every word of the texts; a word is a run of bytes with ``word_byte``, A-Z as a-z.
-
-    Returns the 64-bit hashes in order and, per text, the position of its first word (one more
-    than texts).
-    """
+def word_spans(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes with ``word_byte``; runs do not cross texts."""
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = word_byte[raw]
     begin = np.zeros(n + 1, bool)
     begin[offsets] = True
@@ -106,12 +102,27 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) ->
     after = np.empty(n, bool)
     after[-1] = False
     after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | begin[1:])) + 1
+    return starts, np.flatnonzero(inside & (~after | begin[1:])) + 1
+
+
+def span_hashes(raw: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], values: np.ndarray | None = None) -> list:
+    """64-bit hashes of lists of byte spans, A-Z as a-z; ``values`` can count other bytes as equal too."""
+    n = len(raw)
+    values = _BYTE if values is None else values
     power, inverse = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * power[:n], out=sums[1:])
-    hashes = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets)
+    np.cumsum(values[raw] * power[:n], out=sums[1:])
+    return [_mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)) for s, e in spans]
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash every word of the texts; a word is a run of bytes with ``word_byte``, A-Z as a-z.
+
+    Returns the 64-bit hashes in order and, per text, the position of its first word (one more
+    than texts).
+    """
+    starts, ends = word_spans(raw, offsets, word_byte)
+    return span_hashes(raw, [(starts, ends)])[0], np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -134,6 +145,11 @@ def shingle_set(words: np.ndarray, width: int, shingles: np.ndarray | None = Non
     return np.unique(shingle_hashes(words, width) if shingles is None else shingles)
 
 
+def broadcast_if_few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Broadcast hint after a count; a larger table is left to a shuffled join. For narrow rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def components(nodes: DataFrame, edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
     """(id, component_id): the smallest id reachable over ``edges`` (a, b); nodes without a link keep their own.
 

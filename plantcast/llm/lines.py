@@ -23,9 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantcast.llm.common import drop_folder, scan_tasks, staged, work_folder
+from plantcast.llm.common import broadcast_if_few, drop_folder, scan_tasks, staged, work_folder
 
-BROADCAST_ROWS = 200_000  # rows of three longs, about 5 MB
 LINE = ["h1", "h2"]
 
 
@@ -143,11 +142,6 @@ def within_edits(a: Column, b: Column, threshold: int) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= threshold) & (distance <= threshold)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast hint after a count; larger tables are left to a shuffled join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _joined(index: DataFrame, probe: DataFrame) -> DataFrame:
     """Pairs (x, y) of lines that share a key, each pair once."""
     a = index.select("key", F.struct(*LINE).alias("x"))
@@ -184,11 +178,11 @@ def near_lines(
     else:
         is_hot = False
     if is_hot:
-        small_hot = _small(hot)
+        small_hot = broadcast_if_few(hot)
         hot_ids = index.join(small_hot, "key", "left_semi").select(*LINE)
         hot_ids = hot_ids.union(probe.join(small_hot, "key", "left_semi").select(*LINE)).distinct()
         hot_ids = staged(hot_ids, f"{folder}/hot_lines")
-        texts = _occurrences(documents, min_chars).join(_small(hot_ids), LINE, "left_semi")
+        texts = _occurrences(documents, min_chars).join(broadcast_if_few(hot_ids), LINE, "left_semi")
         texts = texts.groupBy(*LINE).agg(F.first("line").alias("line"))
         line = F.col("line")
         finer, finer_probe = _keyed(
@@ -202,7 +196,7 @@ def near_lines(
         pairs = _joined(index, probe).distinct()
     pairs = staged(pairs, f"{folder}/pairs")
     ids = pairs.select("x.*").union(pairs.select("y.*")).distinct()
-    texts = _occurrences(documents, min_chars).join(_small(staged(ids, f"{folder}/ids")), LINE, "left_semi")
+    texts = _occurrences(documents, min_chars).join(broadcast_if_few(staged(ids, f"{folder}/ids")), LINE, "left_semi")
     texts = staged(texts.groupBy(*LINE).agg(F.first("line").alias("line")), f"{folder}/texts")
     side = {s: texts.select(F.struct(*LINE).alias(s), F.col("line").alias(f"{s}_line")) for s in "xy"}
     return (
@@ -247,7 +241,7 @@ def dedup_lines(
     at = F.struct("doc_id", "th", "pos")
     dropped = (
         occurrences.select("doc_id", "th", "pos", *LINE)
-        .join(_small(decided), LINE)
+        .join(broadcast_if_few(decided), LINE)
         .filter(F.col("gone") | (F.col("first") != at))
         .groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t"))
         .agg(F.collect_set("pos").alias("gone_lines"))

@@ -23,12 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantcast.llm.common import drop_folder, staged, work_folder
+from plantcast.llm.common import broadcast_if_few, drop_folder, staged, work_folder
 
 WEIGHTS = (3, 1, 2)
 GRID = float(1 << 16)  # sums are taken over whole multiples of 1 / GRID words
 SLICE_ROWS = 4096
-BROADCAST_ROWS = 200_000  # narrow rows, under 20 MB
 SOURCE = ["no_source", "source_key"]
 
 
@@ -98,7 +97,7 @@ def multipliers(counts: DataFrame, targets: DataFrame, folder: str, limit: int,
         if not state.filter("NOT done").limit(1).count():
             break
         words = F.col("n") * F.col("size")
-        tilted = counts.join(F.broadcast(state) if _few(state) else state, SOURCE).filter("NOT done")
+        tilted = counts.join(broadcast_if_few(state), SOURCE).filter("NOT done")
         slope = F.when(F.col("rate") < limit, words * F.col("rate") * F.col("size") / F.col("mean")).otherwise(0.0)
         sums = (
             tilted.withColumn("rate", _rate(limit))
@@ -124,10 +123,6 @@ def multipliers(counts: DataFrame, targets: DataFrame, folder: str, limit: int,
     return state
 
 
-def _few(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
 def group_copies(counts: DataFrame, state: DataFrame, limit: int) -> DataFrame:
     """Copies of every (source, size): running sums rounded, then the rest on the shortest sizes."""
     long_first = Window.partitionBy(*SOURCE).orderBy(F.desc("size"))
@@ -166,7 +161,7 @@ def mix_sources(documents: DataFrame, share: float = 1.5, limit: int = 2) -> Dat
     # The documents of a group that get one copy more: those of the smallest draws of each slice.
     key = [*SOURCE, "size"]
     split = groups.filter("extra > 0").select(*key, "n", "extra", "slices")
-    drawn = slim.join(F.broadcast(split) if _few(split) else split, key).withColumn("slice", F.pmod("draw", "slices"))
+    drawn = slim.join(broadcast_if_few(split), key).withColumn("slice", F.pmod("draw", "slices"))
     per_slice = drawn.groupBy(*key, "slice", "n", "extra").agg(F.count("*").alias("rows"))
     upto = F.sum("rows").over(Window.partitionBy(*key).orderBy("slice"))
     per_slice = per_slice.withColumn("upto", upto).withColumn(
@@ -187,10 +182,10 @@ def mix_sources(documents: DataFrame, share: float = 1.5, limit: int = 2) -> Dat
     sources = targets.select(*SOURCE, "source_size", "target")
     rows = _keyed(documents.select(*columns))
     plain = groups.select(*key, F.col("slices").alias("cut"))
-    cut = rows.join(F.broadcast(plain) if _few(plain) else plain, key).withColumn("slice", F.pmod("draw", "cut"))
-    picked = cut.join(F.broadcast(chosen) if _few(chosen) else chosen, [*key, "slice"])
+    cut = rows.join(broadcast_if_few(plain), key).withColumn("slice", F.pmod("draw", "cut"))
+    picked = cut.join(broadcast_if_few(chosen), [*key, "slice"])
     copies = F.col("each") + F.when(F.col("draw") <= F.col("upto_draw"), 1).otherwise(0)
-    mixed = picked.withColumn("copies", copies.cast("long")).join(F.broadcast(sources) if _few(sources) else sources, SOURCE)
+    mixed = picked.withColumn("copies", copies.cast("long")).join(broadcast_if_few(sources), SOURCE)
     for name in ("slim", "counts"):
         drop_folder(spark, f"{folder}/{name}")
     return mixed.select(*columns, "size", "source_size", "target", "copies")

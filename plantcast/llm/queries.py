@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantcast.llm import chat, lines, mixing, warc
+from plantcast.llm import chat, language, lines, mixing, pii, warc
 from plantcast.llm.common import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,19 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(examples)
 
 
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise_documents(documents, key=b"change me in production")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = language.learn(documents.filter(fold != 0).select("text", "lang"))
+    held_out = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
+    return language.identify(documents, model).select("doc_id", held_out, "lang_pred", "score", "ambiguous")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
@@ -45,6 +58,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_chat_format": op2_chat_format,
+        "op3_pii_pseudonyms": op3_pii_pseudonyms,
+        "op5_language_id": op5_language_id,
         "op6_mix_sources": op6_mix_sources,
         "op9_warc_revisit": op9_warc_revisit,
         "op10_line_dedup": op10_line_dedup,
