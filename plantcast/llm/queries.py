@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantcast.llm import chat, language, lines, mixing, pii, warc
+from plantcast.llm import chat, contamination, language, lines, mixing, pii, toxicity, warc
 from plantcast.llm.common import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -44,6 +48,15 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    labels = table(spark, sf_dir, "labels").filter(fold != 2).select("doc_id", "toxic")
+    scored = toxicity.Model(documents, labels).score(documents, ["doc_id"])
+    held_out = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "warc")
     warc.write_archives(warc.resolve_revisits(table(spark, sf_dir, "pages")), folder)
@@ -57,10 +70,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_chat_format": op2_chat_format,
         "op3_pii_pseudonyms": op3_pii_pseudonyms,
         "op5_language_id": op5_language_id,
         "op6_mix_sources": op6_mix_sources,
+        "op8_toxicity": op8_toxicity,
         "op9_warc_revisit": op9_warc_revisit,
         "op10_line_dedup": op10_line_dedup,
     }
