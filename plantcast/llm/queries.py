@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantcast.llm import chat, contamination, language, lines, mixing, pii, toxicity, warc
+from plantcast.llm import chat, contamination, jaccard, language, lines, mixing, pii, toxicity, vectors, warc
 from plantcast.llm.common import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise_documents(documents, key=b"change me in production")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -48,6 +52,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_documents(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -73,8 +81,10 @@ def queries() -> dict[str, Query]:
         "op1_decontaminate": op1_decontaminate,
         "op2_chat_format": op2_chat_format,
         "op3_pii_pseudonyms": op3_pii_pseudonyms,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_language_id": op5_language_id,
         "op6_mix_sources": op6_mix_sources,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_toxicity": op8_toxicity,
         "op9_warc_revisit": op9_warc_revisit,
         "op10_line_dedup": op10_line_dedup,
