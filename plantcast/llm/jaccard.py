@@ -201,26 +201,50 @@ def tree_pairs(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
         .select("key", F.least(block, "other").alias("i"), F.greatest(block, "other").alias("j"), "rep", "label", "n_shingles", "counts")
     )
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(tile: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(tile)
-            rep, label, n = (np.array(table.column(k).to_pylist(), np.int64) for k in (3, 4, 5))
-            i, j = RTree(Points(table.column(6).to_pylist()), n).pairs(num, den, label)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["a", "b"])
+    def found(rep: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        key, tile, size = None, [], 0
+    def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        """Tables that end where a tile ends, with the bounds of their tiles."""
+        rest = None
         for batch in batches:
-            keys = np.stack([np.array(batch.column(k).to_pylist(), np.int64) for k in range(3)], 1)
-            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if key is None or tuple(keys[lo]) != key:
-                    if size > 1:
-                        yield result(tile)
-                    key, tile, size = tuple(keys[lo]), [], 0
-                tile.append(batch.slice(lo, hi - lo))
-                size += hi - lo
-        if size > 1:
-            yield result(tile)
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            keys = np.stack([table.column(k).to_numpy() for k in range(3)], 1)
+            bounds = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1])
+            yield table.slice(0, bounds[-1]), bounds
+            rest = table.slice(bounds[-1])
+        if rest is not None:
+            yield rest, np.array([0, len(rest)])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_tiles(batches):
+            rep, label, n = (table.column(k).to_numpy() for k in (3, 4, 5))
+            sizes = np.diff(bounds)
+            tile = np.repeat(np.arange(len(sizes)), sizes)
+            # A tile of one leaf: its pairs, each pair of the table once.
+            pairs = [np.zeros((2, 0), np.int64)]
+            for step in range(1, FANOUT):
+                i = np.flatnonzero((tile[step:] == tile[:-step]) & (sizes[tile[step:]] <= FANOUT))
+                j = i + step
+                keep = (label[i] != label[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+                pairs.append(np.stack([i[keep], j[keep]]))
+            i, j = np.concatenate(pairs, 1)
+            if len(i):
+                ids = np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1)
+                once = np.unique(ids, axis=0, return_index=True)[1]
+                i, j = i[once], j[once]
+                used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                points = Points(table.column(6).take(pa.array(used)).to_pylist())
+                bound = overlap_bound(points, at[: len(i)], points, at[len(i) :])
+                keep = can_link(bound, n[i], n[j], num, den)
+                yield found(rep, i[keep], j[keep])
+            for k in np.flatnonzero(sizes > FANOUT).tolist():
+                rows = slice(int(bounds[k]), int(bounds[k + 1]))
+                if (label[rows] == label[rows][0]).all():
+                    continue
+                blobs = table.column(6).slice(rows.start, rows.stop - rows.start).to_pylist()
+                yield found(rep[rows], *RTree(Points(blobs), n[rows]).pairs(num, den, label[rows]))
 
     dealt = tiled.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(search, "a long, b long").distinct()
