@@ -4,7 +4,7 @@ A document is the set of its distinct ``width``-word shingles, as 64-bit hashes;
 ``[^\x20\x09-\x0D]+`` with A-Z lower-cased. Documents of equal sets are one class. Two classes link
 when den * intersection >= num * union. Such sets share one of their n - ceil(num n / den) + 1 least
 hashes, which bring them together in buckets. Each set also has a count vector: its hashes dealt
-into groups (about half as many as the set is large, a power of two). The sum of the coordinates'
+into groups (an eighth to a quarter as many as the set is large, a power of two). The sum of the coordinates'
 minima bounds the intersection. Within buckets, points are packed into R-trees whose nodes hold the
 maxima of their coordinates and the range of sizes; pairs that the bound lets through are verified on
 the texts.
@@ -59,9 +59,13 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def group_counts(shingles: np.ndarray) -> np.ndarray:
-    """Counts by group; the number of groups is a power of two, at least 8."""
-    groups = 1 << max(3, len(shingles).bit_length() - 2)
-    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u4")
+    """Counts by group in one byte each; a power of two groups, at least 8 and as many as that takes."""
+    groups = 1 << max(3, len(shingles).bit_length() - 3)
+    while True:
+        counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
 
 
 def document_sets(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -95,16 +99,16 @@ class Points:
     """Count vectors of different lengths, by row."""
 
     def __init__(self, blobs: list[bytes]) -> None:
-        self.groups = np.array([len(b) // 4 for b in blobs], np.int64)
+        self.groups = np.array([len(b) for b in blobs], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.groups)])
-        self.flat = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)
+        self.flat = np.frombuffer(b"".join(blobs), np.uint8)
 
     def folded(self, rows: np.ndarray, groups: int) -> np.ndarray:
         """Matrix of the rows' counts, groups beyond ``groups`` added to those of equal low bits."""
         out = np.zeros((len(rows), groups), np.int64)
         for g in np.unique(self.groups[rows]).tolist():
             mine = np.flatnonzero(self.groups[rows] == g)
-            full = self.flat[self.starts[rows[mine]][:, None] + np.arange(g)]
+            full = self.flat[self.starts[rows[mine]][:, None] + np.arange(g)].astype(np.int64)
             out[mine] = full.reshape(len(mine), g // groups, groups).sum(1)
         return out
 
