@@ -162,7 +162,8 @@ class RTree:
                 fits &= (den * np.minimum(self.ordered[q], size) >= num * np.maximum(self.ordered[q], size))
                 q, node = q[fits], node[fits]
                 bound = np.minimum(self.counts[q], most[node]).sum(1)
-                fits = can_link(bound, self.ordered[q], np.maximum(least[node], 0), num, den)
+                best = np.clip(np.minimum(bound, self.ordered[q]), least[node], greatest[node])  # of the node's sizes
+                fits = can_link(bound, self.ordered[q], best, num, den)
                 q, node = np.repeat(q[fits], FANOUT), (node[fits][:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 inside = node < (len(self.levels[depth - 1][0]) if depth else total)
                 q, node = q[inside], node[inside]

@@ -81,7 +81,7 @@ def _rate(limit: int) -> Column:
 def multipliers(counts: DataFrame, targets: DataFrame, folder: str, limit: int, rounds: int = 80) -> DataFrame:
     """``targets`` with mean, full and the multiplier of each source."""
     mean = F.greatest(F.col("source_size") / F.col("documents"), F.lit(1e-9))
-    ratio = F.col("target") / F.col("source_size")
+    ratio = F.try_divide("target", "source_size")
     state = targets.withColumns({"mean": mean, "full": F.coalesce(ratio >= limit * (1 - 1e-12), F.lit(True))})
     state = state.withColumns(
         {
