@@ -2,7 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+import duckdb_checks
+from __spark_entry__ import _planning_queries, entry
 from check import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -14,10 +15,10 @@ def db():
 
 
 def test_every_query_has_a_statement():
-    assert queries().keys() == oracle_sql().keys()
+    assert _planning_queries().keys() == duckdb_checks.oracle().keys()
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(_planning_queries()))
 def test_query(spark, db, name):
     assert differences(spark, db, SF, name) == []
 
