@@ -255,24 +255,18 @@ def plan_totals_feedback(counts: DataFrame, cfg: PlanConfig) -> DataFrame:
 def _ranked_lists(
     outlook: DataFrame, at_risk: str, has_order: str, risk_order: list[str], entry: str, cfg: PlanConfig
 ) -> DataFrame:
-    """One row with the risk list and the purchase list of a snapshot, in one pass over the parts.
+    """One row with the risk list and the purchase list of a snapshot.
 
-    The filter on the rank makes Spark keep only the first rows of each list in every task
-    before the shuffle, so a list never gathers more than that.
+    Each list is the head of its own sort, so every task keeps only that many rows whatever the limits are.
     """
-    lists = f"array_compact(array(CASE WHEN {at_risk} THEN 'risk' END, CASE WHEN {has_order} THEN 'po' END))"
-    tagged = outlook.selectExpr("*", f"explode({lists}) AS list")
-    keys = [f"CASE WHEN list = 'risk' THEN {k} END" for k in risk_order]
-    order = ", ".join([*keys, "CASE WHEN list = 'po' THEN -total_recommended_qty END", "part_no"])
-    most = max(cfg.risk_limit, cfg.table_limit, cfg.chart_limit)
-    ranked = tagged.selectExpr("*", f"row_number() OVER (PARTITION BY list ORDER BY {order}) AS rank").filter(
-        f"rank <= {most}"
-    )
-    return _aggregate(
-        ranked,
-        f"array_sort(collect_list(CASE WHEN list = 'risk' AND rank <= {cfg.risk_limit} "
-        "THEN named_struct('rank', rank, 'part_no', part_no) END)).part_no AS risk_parts",
-        f"array_sort(collect_list(CASE WHEN list = 'po' THEN named_struct('rank', rank, 'row', {entry}) END)).row AS po",
+    risk = outlook.filter(at_risk).orderBy(*[F.expr(k) for k in risk_order], "part_no").limit(cfg.risk_limit)
+    orders = outlook.filter(has_order).orderBy(F.expr("-total_recommended_qty"), "part_no")
+    orders = orders.limit(max(cfg.table_limit, cfg.chart_limit))
+    fields = ", ".join([*(f"'k{n}', {key}" for n, key in enumerate(risk_order)), "'part_no', part_no"])
+    risk_list = _aggregate(risk, f"array_sort(collect_list(named_struct({fields}))).part_no AS risk_parts")
+    po_row = f"named_struct('k', -total_recommended_qty, 'part_no', part_no, 'row', {entry})"
+    return _beside(_aggregate(orders, f"array_sort(collect_list({po_row})).row AS po"), risk=risk_list).selectExpr(
+        "risk.risk_parts AS risk_parts", "po"
     )
 
 

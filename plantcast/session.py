@@ -11,7 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Order lines that match no order of the look-back window are dropped before the shuffle.
+    # Where Spark's size limits allow it, order lines without an order in the look-back window are
+    # dropped before the shuffle. Plans do not rely on it: the day layout prunes them at the scan.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     # Streaming state is kept on disk beside the heap, and checkpoints write its changes only.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state."

@@ -30,12 +30,16 @@ def staged(df: DataFrame, folder: str) -> DataFrame:
 
 
 def stored_readings(readings: DataFrame) -> DataFrame:
-    """Readings in the stored types, with the day they are partitioned by."""
+    """Readings in the stored types, with the day they are partitioned by.
+
+    A value that the type cannot hold (NaN, out of range, unreadable) is stored as null, which
+    ``clean_readings`` replaces by the default, so one bad reading does not stop a stream.
+    """
     return readings.select(
         "machine_id",
-        F.col("temperature").cast("decimal(6,2)").alias("temperature"),
-        F.col("vibration").cast("decimal(8,4)").alias("vibration"),
-        F.col("rpm").cast("int").alias("rpm"),
+        F.col("temperature").try_cast("decimal(6,2)").alias("temperature"),
+        F.col("vibration").try_cast("decimal(8,4)").alias("vibration"),
+        F.col("rpm").try_cast("int").alias("rpm"),
         F.col("created_at").cast("timestamp_ntz").alias("created_at"),
         F.to_date("created_at").alias("reading_date"),
     )

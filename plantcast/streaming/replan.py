@@ -33,7 +33,7 @@ class Replanner:
         cfg: PlanConfig,
         readings_path: str,
         output_path: str,
-        tables: Sequence[str] = ("kpis", "capacity_plan", "mrp_plan", "po_summary", "machine_series"),
+        tables: Sequence[str] | None = None,
         clock: Callable[[], datetime] | None = None,
         plan: type = BackwardPlan,
     ) -> None:
@@ -41,7 +41,7 @@ class Replanner:
         self.cfg = cfg
         self.readings_path = readings_path
         self.output_path = output_path
-        self.tables = tables
+        self.tables = plan.REPORTS if tables is None else tables
         self.clock = clock
         self.plan = plan
 

@@ -134,9 +134,10 @@ def test_projection_inherits_the_part_partitioning(spark, settings):
 
 
 def test_snapshot_lists_are_cut_in_every_task(backward):
-    """Each task keeps the head of both lists before the lists are gathered."""
-    text = physical(backward.snapshot)
-    assert "WindowGroupLimit" in text and "Partial" in text
+    """Each task keeps the head of both lists, also beyond the limit up to which Spark cuts windows."""
+    cfg = replace(backward.cfg, risk_limit=2000)
+    text = physical(BackwardPlan(backward.sources, cfg).snapshot)
+    assert "TakeOrderedAndProject(limit=2000" in text and "ROW_NUMBER" not in text.upper()
 
 
 def test_sources_read_only_what_is_used(spark):

@@ -179,3 +179,13 @@ def test_seed_tables_load(spark):
     assert src.order_items.agg(F.count("*"), F.sum("quantity")).first()[0] == 60
     with pytest.raises(AttributeError):
         _ = src.bom
+
+
+def test_unusable_values_are_stored_as_null(spark, tmp_path):
+    bad = spark.sql(
+        "SELECT 'M-1' AS machine_id, 12000.0D AS temperature, double('nan') AS vibration, double('nan') AS rpm, "
+        "timestamp_ntz'2024-01-31 09:00:00' AS created_at"
+    )
+    append_readings(bad, str(tmp_path / "bad"), batch_id=0)
+    row = spark.read.parquet(str(tmp_path / "bad")).first()
+    assert (row["temperature"], row["vibration"], row["rpm"]) == (None, None, None)
