@@ -105,11 +105,13 @@ class Points:
 
     def folded(self, rows: np.ndarray, groups: int) -> np.ndarray:
         """Matrix of the rows' counts, groups beyond ``groups`` added to those of equal low bits."""
-        out = np.zeros((len(rows), groups), np.int64)
+        out = np.zeros((len(rows), groups), np.int32)
         for g in np.unique(self.groups[rows]).tolist():
             mine = np.flatnonzero(self.groups[rows] == g)
-            full = self.flat[self.starts[rows[mine]][:, None] + np.arange(g)].astype(np.int64)
-            out[mine] = full.reshape(len(mine), g // groups, groups).sum(1)
+            for low in range(0, len(mine), max(1, (1 << 20) // g)):
+                part = mine[low : low + max(1, (1 << 20) // g)]
+                full = self.flat[self.starts[rows[part]][:, None] + np.arange(g)]
+                out[part] = full.reshape(len(part), g // groups, groups).sum(1, dtype=np.int32)
         return out
 
 
@@ -121,7 +123,17 @@ def overlap_bound(a: Points, i: np.ndarray, b: Points, j: np.ndarray) -> np.ndar
         mine = np.flatnonzero(common == g)
         for low in range(0, len(mine), max(1, (1 << 20) // g)):
             part = mine[low : low + max(1, (1 << 20) // g)]
-            out[part] = np.minimum(a.folded(i[part], g), b.folded(j[part], g)).sum(1)
+            out[part] = np.minimum(a.folded(i[part], g), b.folded(j[part], g)).sum(1, dtype=np.int64)
+    return out
+
+
+def minima_sums(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sums of the minima of rows a[i] and b[j], a bounded part of them at a time."""
+    out = np.zeros(len(i), np.int64)
+    step = max(1, (1 << 20) // a.shape[1])
+    for low in range(0, len(i), step):
+        part = slice(low, low + step)
+        out[part] = np.minimum(a[i[part]], b[j[part]]).sum(1, dtype=np.int64)
     return out
 
 
@@ -161,7 +173,7 @@ class RTree:
                 fits = (node + 1) * FANOUT ** (depth + 1) > q + 1
                 fits &= (den * np.minimum(self.ordered[q], size) >= num * np.maximum(self.ordered[q], size))
                 q, node = q[fits], node[fits]
-                bound = np.minimum(self.counts[q], most[node]).sum(1)
+                bound = minima_sums(self.counts, q, most, node)
                 best = np.clip(np.minimum(bound, self.ordered[q]), least[node], greatest[node])  # of the node's sizes
                 fits = can_link(bound, self.ordered[q], best, num, den)
                 q, node = np.repeat(q[fits], FANOUT), (node[fits][:, None] * FANOUT + np.arange(FANOUT)).ravel()
@@ -169,7 +181,7 @@ class RTree:
                 q, node = q[inside], node[inside]
             keep = (node > q) & (label[q] != label[node])
             q, node = q[keep], node[keep]
-            bound = np.minimum(self.counts[q], self.counts[node]).sum(1)
+            bound = minima_sums(self.counts, q, self.counts, node)
             keep = can_link(bound, self.ordered[q], self.ordered[node], num, den)
             i, j = self.order[q[keep]], self.order[node[keep]]
             bound = overlap_bound(self.points, i, self.points, j)
