@@ -6,22 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_items_by_day(orders: DataFrame, items: DataFrame, path: str, files_per_day: int = 1) -> None:
+def write_items_by_day(orders: DataFrame, items: DataFrame, path: str) -> None:
     """Store order items under the day of their order.
 
     Items carry no date of their own, so without this every plan scans all of them. The
-    lines of one day are spread over ``files_per_day`` tasks by order, and a plan then
-    reads only the folders of its window (see ``operators.demand.order_lines``).
+    lines are dealt by day, a day beyond the advisory partition size to several tasks, and a plan
+    then reads only the folders of its window (see ``operators.demand.order_lines``). Only the
+    days that the given items touch are replaced.
     """
     days = orders.select(F.col("id").alias("order_id"), F.to_date("created_at").alias("order_date"))
-    slot = F.pmod(F.xxhash64("order_id", "product_id"), F.lit(files_per_day))
     (
         items.drop("order_date")
         .join(days, "order_id")
-        .withColumn("slot", slot)
-        .repartition("order_date", "slot")
-        .drop("slot")
+        .hint("rebalance", "order_date")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("order_date")
         .parquet(path)
     )

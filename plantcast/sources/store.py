@@ -58,6 +58,12 @@ def append_readings(readings: DataFrame, path: str, batch_id: int | None = None)
         rows.write.mode("overwrite").partitionBy("reading_date").parquet(f"{path}/batch_id={batch_id}")
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder whose tables are no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Write result tables below ``path``, documents with nested values as JSON."""
     for name, df in tables.items():

@@ -6,12 +6,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plantcast.config import PlanConfig
 from plantcast.plans.backward import BackwardPlan
-from plantcast.sources.store import append_readings, write_tables
+from plantcast.sources.store import append_readings, remove_folder, work_folder, write_tables
 from plantcast.sources.tables import Sources
 
 STORED_SCHEMA = (
@@ -20,11 +21,17 @@ STORED_SCHEMA = (
 )
 
 
+def last_run(spark: SparkSession, output_path: str) -> str:
+    """Folder of the newest run whose tables are all written."""
+    runs = spark.read.schema("run int").parquet(f"{output_path}/completed")
+    return f"{output_path}/run={runs.agg(F.max('run')).first()[0]}"
+
+
 class Replanner:
     """``foreachBatch`` handler: store the batch, then write the plan's tables anew.
 
-    Each run has its own folder ``run=<batch>``, so readers never see half a plan and a
-    repeated batch replaces its own output.
+    Each run has its own folder ``run=<batch>``, which a repeated batch replaces. Its entry in
+    ``completed`` is written last: readers that ask ``last_run`` never see half a plan.
     """
 
     def __init__(
@@ -54,8 +61,12 @@ class Replanner:
         readings = spark.read.schema(STORED_SCHEMA).parquet(self.readings_path)
         plan = self.plan(self.sources.replaced(machine_data=readings), cfg)
         run = f"{self.output_path}/run={batch_id}"
-        plan.stage(f"{run}/staged")
+        completed, staging = f"{self.output_path}/completed/run={batch_id}", work_folder(spark, "replan")
+        remove_folder(spark, completed)
+        plan.stage(staging)
         write_tables({name: getattr(plan, name) for name in self.tables}, run)
+        spark.range(1, numPartitions=1).write.mode("overwrite").parquet(completed)
+        remove_folder(spark, staging)
 
     def start(self, readings: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return (

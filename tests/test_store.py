@@ -70,7 +70,7 @@ def test_retained_readings_move_to_a_new_store(spark, tmp_path):
 def test_items_by_day_are_pruned(spark, tmp_path):
     src = seed(spark)
     path = str(tmp_path / "items")
-    write_items_by_day(src.orders, src.order_items, path, files_per_day=2)
+    write_items_by_day(src.orders, src.order_items, path)
     stored = spark.read.parquet(path)
     assert stored.count() == 60
     lines = demand.order_lines(src.orders, stored, CFG)

@@ -9,7 +9,7 @@ from seed import AS_OF, CFG, seed, table
 from plantcast import BackwardPlan
 from plantcast.operators import telemetry
 from plantcast.streaming.health import rolling_health, run_to_files, score_stream
-from plantcast.streaming.replan import Replanner
+from plantcast.streaming.replan import Replanner, last_run
 
 SCHEMA = "machine_id string, temperature double, vibration double, rpm double, created_at timestamp_ntz"
 NOON = datetime(2024, 1, 31, 12)
@@ -79,6 +79,7 @@ def test_replan_keeps_up_with_batches(spark, tmp_path):
         if name == "capacity_plan":  # the mean's last bit depends on the order of summation
             got, want = (df.withColumn("capacity_factor", F.round("capacity_factor", 12)) for df in (got, want))
         assert sorted(got.collect()) == sorted(want.collect()), name
+    assert last_run(spark, out) == f"{out}/run=1"
     first = spark.read.parquet(f"{out}/run=0/kpis").first()
     assert first.capacity_factor != expected.kpis.first().capacity_factor
 
