@@ -2,12 +2,16 @@ r"""Word-shingle Jaccard join with a count-vector R-tree.
 
 A document is the set of its distinct ``width``-word shingles, as 64-bit hashes; words are
 ``[^\x20\x09-\x0D]+`` with A-Z lower-cased. Documents of equal sets are one class. Two classes link
-when den * intersection >= num * union. Such sets share one of their n - ceil(num n / den) + 1 least
-hashes, which bring them together in buckets. Each set also has a count vector: its hashes dealt
+when den * intersection >= num * union. In any common order of the hashes, such sets share one of their
+first n - ceil(num n / den) + 1, which bring them together in buckets. The order puts the most common
+shingles last, so that a passage or line of many documents brings few of them together; it is otherwise by
+value. Which shingles count as common decides on the size of buckets only, never on the result, so their
+list can be bounded: those that more than ``COMMON`` documents have, the ``MOST_COMMON`` first of them. Each set also has a count vector: its hashes dealt
 into groups (an eighth to a quarter as many as the set is large, a power of two). The sum of the coordinates'
 minima bounds the intersection. Within buckets, points are packed into R-trees whose nodes hold the
-maxima of their coordinates and the range of sizes; pairs that the bound lets through are verified on
-the texts.
+maxima of their coordinates and the range of sizes. A set that meets another first at its k-th shingle
+shares no more than what is left from there, which bounds the intersection too. Pairs that the bounds let
+through are verified on the texts.
 
 Links inside a large group of near copies need not all be found to know its component: first every
 class is compared with two hubs of its buckets (the least id, and the least hash of an id), then only
@@ -45,6 +49,8 @@ from plantcast.llm.common import (
 TILE = 2048
 FANOUT = 16
 HUB_SPOKES = 512
+COMMON = 64
+MOST_COMMON = 100_000
 SET = ["n_shingles", "s1", "s2"]
 
 
@@ -68,7 +74,34 @@ def group_counts(shingles: np.ndarray) -> np.ndarray:
         groups *= 2
 
 
-def document_sets(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def prefix_length(n: int, num: int, den: int) -> int:
+    """Shingles of a set of ``n`` that it cannot all lack in common with a set it links to."""
+    return n - -(-num * n // den) + 1
+
+
+def common_shingles(documents: DataFrame, width: int, num: int, den: int) -> np.ndarray:
+    """Sorted shingles that come last in the order; counted over all documents, at thrice their prefix."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [s[: 3 * prefix_length(len(s), num, den)] for _, s in shingle_sets(batch.column(0), width)]
+            keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *heads]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    counts = documents.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    most = counts.filter(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key")
+    return np.sort(most.toArrow().column("key").to_numpy().view(np.uint64))
+
+
+def common_last(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A sorted set with its common shingles behind the others."""
+    if not len(common):
+        return shingles
+    late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+    return np.concatenate([shingles[~late], shingles[late]])
+
+
+def document_sets(documents: DataFrame, width: int, num: int, den: int, common: np.ndarray) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, keys, counts) of every document."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +112,8 @@ def document_sets(documents: DataFrame, width: int, num: int, den: int) -> DataF
                 size.append(n)
                 s1.append(int(np.bitwise_xor.reduce(s)) if n else 0)
                 s2.append(int((s * (s >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64)) if n else 0)
-                keys.append(s[: n - -(-num * n // den) + 1].view(np.int64) if n else np.zeros(0, np.int64))
+                first = common_last(s, common)[: prefix_length(n, num, den) if n else 0]
+                keys.append(first.view(np.int64))
                 counts.append(group_counts(s).tobytes() if n else b"")
             sums = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
@@ -145,35 +179,37 @@ def can_link(bound: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int
 class RTree:
     """Packed R-tree over one bucket's points, ordered by size and then by their fullest group."""
 
-    def __init__(self, points: Points, sizes: np.ndarray) -> None:
-        self.points, self.sizes = points, sizes
+    def __init__(self, points: Points, sizes: np.ndarray, left: np.ndarray) -> None:
+        """``left``: shingles of each set from the bucket's one on."""
+        self.points, self.sizes, self.left = points, sizes, left
         self.groups = int(points.groups.min())
         counts = points.folded(np.arange(len(sizes)), self.groups)
         self.order = np.lexsort([counts.argmax(1), sizes])
         self.counts, self.ordered = counts[self.order], sizes[self.order]
-        self.levels = []  # (maxima, least size, greatest size), leaves first
-        most, least, greatest = self.counts, self.ordered, self.ordered
+        self.levels = []  # (maxima, least size, greatest size, most left), leaves first
+        most, least, greatest, rest = self.counts, self.ordered, self.ordered, left[self.order]
         while len(most) > FANOUT or not self.levels:
             cuts = np.arange(0, len(most), FANOUT)
             most = np.maximum.reduceat(most, cuts)
             least, greatest = np.minimum.reduceat(least, cuts), np.maximum.reduceat(greatest, cuts)
-            self.levels.append((most, least, greatest))
+            rest = np.maximum.reduceat(rest, cuts)
+            self.levels.append((most, least, greatest, rest))
 
     def pairs(self, num: int, den: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows (i, j) of different labels whose bound lets them link, each pair once."""
         total, found = len(self.order), []
-        label = labels[self.order]
+        label, left = labels[self.order], self.left[self.order]
         for low in range(0, total, 256):
             query = np.arange(low, min(low + 256, total))
             top = len(self.levels[-1][0])
             q, node = np.repeat(query, top), np.tile(np.arange(top), len(query))
             for depth in range(len(self.levels) - 1, -1, -1):
-                most, least, greatest = self.levels[depth]
+                most, least, greatest, rest = self.levels[depth]
                 size = np.clip(self.ordered[q], least[node], greatest[node])
                 fits = (node + 1) * FANOUT ** (depth + 1) > q + 1
                 fits &= (den * np.minimum(self.ordered[q], size) >= num * np.maximum(self.ordered[q], size))
                 q, node = q[fits], node[fits]
-                bound = minima_sums(self.counts, q, most, node)
+                bound = np.minimum(minima_sums(self.counts, q, most, node), np.minimum(left[q], rest[node]))
                 best = np.clip(np.minimum(bound, self.ordered[q]), least[node], greatest[node])  # of the node's sizes
                 fits = can_link(bound, self.ordered[q], best, num, den)
                 q, node = np.repeat(q[fits], FANOUT), (node[fits][:, None] * FANOUT + np.arange(FANOUT)).ravel()
@@ -181,7 +217,7 @@ class RTree:
                 q, node = q[inside], node[inside]
             keep = (node > q) & (label[q] != label[node])
             q, node = q[keep], node[keep]
-            bound = minima_sums(self.counts, q, self.counts, node)
+            bound = np.minimum(minima_sums(self.counts, q, self.counts, node), np.minimum(left[q], left[node]))
             keep = can_link(bound, self.ordered[q], self.ordered[node], num, den)
             i, j = self.order[q[keep]], self.order[node[keep]]
             bound = overlap_bound(self.points, i, self.points, j)
@@ -208,14 +244,14 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame, num: int, den: int) -> Da
 
 
 def tree_pairs(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
-    """Pairs (a, b) from R-trees over the tiles of (key, rep, label, n_shingles, counts)."""
+    """Pairs (a, b) from R-trees over the tiles of (key, pos, rep, label, n_shingles, counts)."""
     block = F.pmod(F.xxhash64("rep"), "blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     counts = rows.groupBy("key").agg(F.ceil(F.count("*") / (TILE / 2)).cast("int").alias("blocks"))
     tiled = (
         rows.join(counts, "key")
         .withColumn("other", other)
-        .select("key", F.least(block, "other").alias("i"), F.greatest(block, "other").alias("j"), "rep", "label", "n_shingles", "counts")
+        .select("key", F.least(block, "other").alias("i"), F.greatest(block, "other").alias("j"), "rep", "label", "n_shingles", "counts", "pos")
     )
 
     def found(rep: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
@@ -237,6 +273,7 @@ def tree_pairs(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_tiles(batches):
             rep, label, n = (table.column(k).to_numpy() for k in (3, 4, 5))
+            left = n - table.column(7).to_numpy()
             sizes = np.diff(bounds)
             tile = np.repeat(np.arange(len(sizes)), sizes)
             # A tile of one leaf: its pairs, each pair of the table once.
@@ -244,7 +281,7 @@ def tree_pairs(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
             for step in range(1, FANOUT):
                 i = np.flatnonzero((tile[step:] == tile[:-step]) & (sizes[tile[step:]] <= FANOUT))
                 j = i + step
-                keep = (label[i] != label[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+                keep = (label[i] != label[j]) & can_link(np.minimum(left[i], left[j]), n[i], n[j], num, den)
                 pairs.append(np.stack([i[keep], j[keep]]))
             i, j = np.concatenate(pairs, 1)
             if len(i):
@@ -261,7 +298,7 @@ def tree_pairs(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
                 if (label[rows] == label[rows][0]).all():
                     continue
                 blobs = table.column(6).slice(rows.start, rows.stop - rows.start).to_pylist()
-                yield found(rep[rows], *RTree(Points(blobs), n[rows]).pairs(num, den, label[rows]))
+                yield found(rep[rows], *RTree(Points(blobs), n[rows], left[rows]).pairs(num, den, label[rows]))
 
     dealt = tiled.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(search, "a long, b long").distinct()
@@ -306,7 +343,8 @@ def near_documents(documents: DataFrame, width: int = 4, num: int = 85, den: int
     """(doc_id, n_shingles, component_id) of every row."""
     spark, tasks = documents.sparkSession, scan_tasks(documents)
     folder = work_folder(spark, "jaccard")
-    sets = staged(document_sets(documents, width, num, den), f"{folder}/sets")
+    common = common_shingles(documents, width, num, den)
+    sets = staged(document_sets(documents, width, num, den, common), f"{folder}/sets")
     slim = staged(sets.select("doc_id", *SET), f"{folder}/slim")
     reps = (
         sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -317,7 +355,7 @@ def near_documents(documents: DataFrame, width: int = 4, num: int = 85, den: int
     drop_folder(spark, f"{folder}/sets")
     points = reps.select("rep", "n_shingles", "counts")
 
-    postings = reps.select(F.explode("keys").alias("key"), "rep", "n_shingles")
+    postings = reps.select(F.posexplode("keys").alias("pos", "key"), "rep", "n_shingles")
     hubs = postings.groupBy("key").agg(
         F.min("rep").alias("low"), F.min(F.xxhash64("rep")).alias("draw"), F.count("*").alias("n")
     )
@@ -335,7 +373,7 @@ def near_documents(documents: DataFrame, width: int = 4, num: int = 85, den: int
     # Rows of buckets with more than one component whose size has a neighbour that can link.
     by_size = Window.partitionBy("key").orderBy("n_shingles", "rep")
     whole = Window.partitionBy("key")
-    labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep").select("key", "rep", "n_shingles", F.col("component_id").alias("label"))
+    labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep").select("key", "pos", "rep", "n_shingles", F.col("component_id").alias("label"))
     open_rows = (
         labelled.withColumns({
             "prev": F.lag("n_shingles").over(by_size), "next": F.lead("n_shingles").over(by_size),
@@ -343,7 +381,7 @@ def near_documents(documents: DataFrame, width: int = 4, num: int = 85, den: int
         })
         .filter("low <> high")
         .filter((F.col("prev") * den >= F.col("n_shingles") * num) | (F.col("n_shingles") * den >= F.col("next") * num))
-        .select("key", "rep", "label")
+        .select("key", "pos", "rep", "label")
     )
     open_rows = staged(open_rows, f"{folder}/open")
     drop_folder(spark, f"{folder}/members")

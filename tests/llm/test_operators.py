@@ -167,6 +167,29 @@ def test_jaccard(spark, odd, empty):
     assert jaccard.near_documents(empty).count() == 0
 
 
+def test_jaccard_with_common_passages(spark, monkeypatch):
+    """Shingles of passages that many documents share come last in the order; the links stay."""
+    rng = random.Random(21)
+    passages, texts = [sentence(rng, 25), sentence(rng, 12)], {}
+    for k in range(60):
+        words = texts[rng.randrange(k)].split() if k and rng.random() < 0.4 else sentence(rng, rng.randint(5, 90)).split()
+        words[rng.randrange(len(words))] = "Edit" + str(k)
+        texts[k] = " ".join([*words, passages[k % 2]]) if rng.random() < 0.7 else " ".join(words)
+    texts |= {60: passages[0], 61: passages[0] + " end", 62: passages[1]}
+    documents = spark.createDataFrame([(k, t, "", "", 0) for k, t in texts.items()], DOC)
+    sets = {}
+    for k, t in texts.items():
+        w = t.lower().split()
+        sets[k] = frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3))
+    want = brute_components(sets)
+    for common, most in ((2, 100_000), (2, 9), (64, 100_000)):
+        monkeypatch.setattr(jaccard, "COMMON", common)
+        monkeypatch.setattr(jaccard, "MOST_COMMON", most)
+        assert len(jaccard.common_shingles(documents, 4, 85, 100)) == {9: 9}.get(most, 0) or common == 2
+        got = jaccard.near_documents(documents).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_rtree_finds_all_bounded_pairs():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in rng.integers(20, 60, 60)]
@@ -175,7 +198,7 @@ def test_rtree_finds_all_bounded_pairs():
     i, j = np.triu_indices(len(sets), 1)
     keep = jaccard.can_link(jaccard.overlap_bound(points, i, points, j), n[i], n[j], 85, 100)
     want = set(zip(i[keep].tolist(), j[keep].tolist()))
-    a, b = jaccard.RTree(points, n).pairs(85, 100, np.arange(len(sets)))
+    a, b = jaccard.RTree(points, n, n).pairs(85, 100, np.arange(len(sets)))
     assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} == want
     assert all((k, k + 60) in want for k in range(60))
 
