@@ -275,6 +275,21 @@ _ZH = {
     "本日下單預計到貨日": "po_eta_date",
 }
 
+_TOTALS_FB = (
+    "CAST(30 AS INTEGER) AS lookback_days, CAST(7 AS INTEGER) AS forecast_days, (SELECT count(*) FROM po_fb) AS po_count"
+)
+
+
+def _listed(column: str, table: str, name: str, limit: int | None = None, order: str = "rank") -> str:
+    """One list of a snapshot as text."""
+    head = f" WHERE rank <= {limit}" if limit else ""
+    return f"(SELECT string_agg(CAST({column} AS VARCHAR), ',' ORDER BY {order}) FROM {table}{head}) AS {name}"
+
+
+def _hundredths(x: str) -> str:
+    return f"CAST({rint(f'({x}) * 100')} AS BIGINT)"
+
+
 _BODIES: dict[str, str] = {
     "order_history": "SELECT * FROM history",
     "order_history_today": f"SELECT * FROM history WHERE order_date = {TODAY}",
@@ -344,19 +359,49 @@ _BODIES: dict[str, str] = {
     "kpis": "SELECT * FROM kpis",
     "kpis_feedback": "SELECT * FROM kpis_fb",
     "plan_totals": "SELECT * FROM totals",
-    "dashboard_snapshot": "SELECT '2001-06-01 10:00:00' AS updated_at, k.*, t.po_count, t.total_demand_part_qty, "
-    "t.total_output_part_qty, (SELECT string_agg(part_no, ',' ORDER BY rank) FROM risk_list WHERE rank <= 20) AS risk_parts, "
-    "(SELECT string_agg(CAST(forecast_demand_qty AS VARCHAR), ',' ORDER BY forecast_date) FROM compare) AS demand_series, "
-    "(SELECT string_agg(CAST(gap_qty AS VARCHAR), ',' ORDER BY forecast_date) FROM compare) AS gap_series, "
-    "(SELECT string_agg(part_no, ',' ORDER BY rank) FROM po_ranked WHERE rank <= 10) AS po_labels, "
-    "(SELECT string_agg(part_no, ',' ORDER BY rank) FROM po_ranked WHERE rank <= 15) AS po_table_parts "
-    "FROM kpis k, totals t",
-    "dashboard_snapshot_feedback": "SELECT '2001-06-01 10:00:00' AS updated_at, k.*, (SELECT count(*) FROM po_fb) AS po_count, "
-    "(SELECT string_agg(part_no, ',' ORDER BY rank) FROM risk_fb WHERE rank <= 20) AS risk_parts, "
-    "(SELECT string_agg(CAST(original_forecast_qty AS VARCHAR), ',' ORDER BY forecast_date) FROM compare_fb) AS original_series, "
-    "(SELECT string_agg(CAST(forecast_qty AS VARCHAR), ',' ORDER BY forecast_date) FROM compare_fb) AS adjusted_series, "
-    "(SELECT string_agg(part_no, ',' ORDER BY rank) FROM po_fb_ranked WHERE rank <= 10) AS po_labels "
-    "FROM kpis_fb k",
+    "plan_totals_feedback": f"SELECT {_TOTALS_FB}",
+    "dashboard_snapshot": "SELECT '2001-06-01 10:00:00' AS updated_at, k.*, t.*, "
+    + ", ".join(
+        [
+            _listed("part_no", "risk_list", "risk_parts", 20),
+            *[
+                _listed(c, "compare", f"{name}_series", order="forecast_date")
+                for c, name in (
+                    ("forecast_date", "x"),
+                    ("forecast_demand_qty", "demand"),
+                    ("expected_output_qty", "output"),
+                    ("gap_qty", "gap"),
+                )
+            ],
+            _listed("part_no", "po_ranked", "po_labels", 10),
+            _listed(_hundredths("total_recommended_qty"), "po_ranked", "po_values", 10),
+            *[
+                _listed(c, "po_ranked", f"table_{c}", 15)
+                for c in "part_no first_shortage_date first_suggested_order_date first_required_eta days_below_safety "
+                "days_below_zero".split()
+            ],
+            *[
+                _listed(_hundredths(c), "po_ranked", f"table_{c}", 15)
+                for c in ("total_recommended_qty", "max_shortage_qty", "min_available")
+            ],
+        ]
+    )
+    + " FROM kpis k, totals t",
+    "dashboard_snapshot_feedback": f"SELECT '2001-06-01 10:00:00' AS updated_at, k.*, {_TOTALS_FB}, "
+    + ", ".join(
+        [
+            _listed("part_no", "risk_fb", "risk_parts", 20),
+            *[
+                _listed(c, "compare_fb", f"{name}_series", order="forecast_date")
+                for c, name in (("forecast_date", "x"), ("original_forecast_qty", "original"), ("forecast_qty", "adjusted"))
+            ],
+            _listed("part_no", "po_fb_ranked", "po_labels", 10),
+            _listed(_hundredths("total_recommended_qty"), "po_fb_ranked", "po_values", 10),
+            *[_listed(c, "po_fb_ranked", f"table_{c}", 15) for c in ("part_no", "first_order_date", "first_eta")],
+            _listed(_hundredths("total_recommended_qty"), "po_fb_ranked", "table_total_recommended_qty", 15),
+        ]
+    )
+    + " FROM kpis_fb k",
     "stream_scores": f"SELECT {_SCORED} FROM scored_all",
     # A window is emitted once the newest reading is half an hour past its end.
     "stream_rolling_health": "SELECT machine_id, window_end - INTERVAL 24 HOUR AS window_start, window_end, "
@@ -364,7 +409,11 @@ _BODIES: dict[str, str] = {
     "(SELECT machine_id, health_score, date_trunc('hour', created_at) + to_hours(CAST(n AS INTEGER)) AS window_end "
     "FROM scored_all, range(1, 25) r(n)) WHERE window_end <= (SELECT max(created_at) - INTERVAL 30 MINUTE "
     "FROM s_readings) GROUP BY machine_id, window_end",
-    "stream_replan": f"SELECT {_FACTOR} FROM stored_factor",
+    "stream_replan": f"SELECT 'factor' AS kind, '' AS name, {comparable('capacity_factor')} AS value FROM stored_factor "
+    "UNION ALL SELECT 'demand', forecast_date || ' ' || product_id, CAST(forecast_demand_qty AS DOUBLE) FROM forecast "
+    "UNION ALL SELECT 'output', forecast_date || ' ' || product_id, "
+    f"CAST({rint('forecast_demand_qty * f.capacity_factor')} AS DOUBLE) FROM forecast CROSS JOIN stored_factor f "
+    "UNION ALL SELECT 'purchase', part_no, total_recommended_qty FROM po",
 }
 
 

@@ -271,16 +271,17 @@ def _ranked_lists(
 
 
 def _document(one: DataFrame, kpi: dict[str, str], summary: dict[str, str], series: str, cfg: PlanConfig) -> DataFrame:
-    """Snapshot from one row of figures; the chart shows the head of the purchase table."""
+    """Snapshot from one row of figures; the chart shows the head of the purchase table, with two digits."""
     dates = ", ".join(f"'{d.isoformat()}'" for d in cfg.forecast_dates)
     shown = f"slice(lists.po, 1, {cfg.chart_limit})"
+    values = f"transform({shown}.total_recommended_qty, qty -> {half_even_sql('qty', 2)})"
     return one.selectExpr(
         f"'{cfg.as_of:%Y-%m-%d %H:%M:%S}' AS updated_at",
         f"{_struct(kpi)} AS kpi",
         "lists.risk_parts AS risk_parts",
         f"{_struct(summary)} AS summary",
         f"named_struct('compare', named_struct('x', array({dates}), {series}), 'po', "
-        f"named_struct('labels', {shown}.part_no, 'values', {shown}.total_recommended_qty)) AS charts",
+        f"named_struct('labels', {shown}.part_no, 'values', {values})) AS charts",
         f"slice(lists.po, 1, {cfg.table_limit}) AS po_table",
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plantcast.config import PlanConfig
+from plantcast.operators.checks import require_inputs
 from plantcast.plans.backward import BackwardPlan
 from plantcast.sources.store import append_readings, remove_folder, work_folder, write_tables
 from plantcast.sources.tables import Sources
@@ -32,6 +33,9 @@ class Replanner:
 
     Each run has its own folder ``run=<batch>``, which a repeated batch replaces. Its entry in
     ``completed`` is written last: readers that ask ``last_run`` never see half a plan.
+
+    ``clock`` gives the moment each run plans for; ``None`` plans every run for ``cfg.as_of``, which
+    suits a replay only, so it has to be said. Inputs are checked once, before the first batch.
     """
 
     def __init__(
@@ -40,8 +44,8 @@ class Replanner:
         cfg: PlanConfig,
         readings_path: str,
         output_path: str,
+        clock: Callable[[], datetime] | None,
         tables: Sequence[str] | None = None,
-        clock: Callable[[], datetime] | None = None,
         plan: type = BackwardPlan,
     ) -> None:
         self.sources = sources
@@ -69,6 +73,7 @@ class Replanner:
         remove_folder(spark, staging)
 
     def start(self, readings: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+        require_inputs(self.plan(self.sources, self.cfg).input_checks)
         return (
             readings.writeStream.foreachBatch(self)
             .option("checkpointLocation", checkpoint)

@@ -4,10 +4,11 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from seed import AS_OF, CFG, seed, table
+from seed import AS_OF, CFG, seed, sources, table
 
-from plantcast import BackwardPlan
+from plantcast import BackwardPlan, ForwardPlan
 from plantcast.operators import telemetry
+from plantcast.operators.checks import MissingInput
 from plantcast.streaming.health import rolling_health, run_to_files, score_stream
 from plantcast.streaming.replan import Replanner, last_run
 
@@ -68,7 +69,7 @@ def test_replan_keeps_up_with_batches(spark, tmp_path):
     inbox, out = str(tmp_path / "in"), str(tmp_path / "plans")
     base = seed(spark)
     tables = ("kpis", "capacity_plan", "po_summary", "machine_series")
-    planner = Replanner(base, CFG, str(tmp_path / "readings"), out, tables=tables)
+    planner = Replanner(base, CFG, str(tmp_path / "readings"), out, clock=None, tables=tables)
     rows = sorted(base.machine_data.collect(), key=lambda r: r.created_at)
     for batch in (rows[:8], rows[8:]):
         arrive(spark, inbox, *[tuple(r) for r in batch])
@@ -84,6 +85,23 @@ def test_replan_keeps_up_with_batches(spark, tmp_path):
     assert first.capacity_factor != expected.kpis.first().capacity_factor
 
 
+def test_replan_of_the_forward_variant(spark, tmp_path):
+    """All its reports, and no run that counts as complete before they are written."""
+    base, out = seed(spark), str(tmp_path / "plans")
+    planner = Replanner(base, CFG, str(tmp_path / "readings"), out, clock=None, plan=ForwardPlan)
+    planner(base.machine_data, 0)
+    got, want = spark.read.parquet(f"{out}/run=0/po_summary"), ForwardPlan(base, CFG).po_summary
+    assert sorted(got.collect()) == sorted(want.collect()) and last_run(spark, out) == f"{out}/run=0"
+    assert spark.read.json(f"{out}/run=0/snapshot").first().kpi.total_po_qty == 425
+
+
+def test_replan_needs_inputs(spark, tmp_path):
+    empty = sources(spark)
+    planner = Replanner(empty, CFG, str(tmp_path / "readings"), str(tmp_path / "plans"), clock=None)
+    with pytest.raises(MissingInput):
+        planner.start(stream(spark, str(tmp_path)), str(tmp_path / "state"), availableNow=True)
+
+
 def test_replan_by_the_clock(spark, tmp_path):
     planner = Replanner(
         seed(spark), CFG, str(tmp_path / "readings"), str(tmp_path / "plans"), tables=("capacity_factor",),
