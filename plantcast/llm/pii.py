@@ -6,6 +6,7 @@ pseudonyms in every document and different values different ones. Kinds: card nu
 check digit is computed anew), IBANs (mod 97, likewise), North American phone numbers, US social
 security numbers, IPv4 addresses, calendar dates from 1900 to 2099, e-mail addresses (letters and
 digits of the local part), and hexadecimal secrets after ``password``, ``token``, ``secret`` or ``key``.
+Area codes that start with 0 or 1 count with a country code or parentheses, and stay among themselves.
 
 Defined results: null and empty texts stay as they are with zero counts; values that fail validation
 stay; all else in a text stays; repeated rows give repeated results; an empty table gives an empty
@@ -98,10 +99,11 @@ def card(text: str, p: Permuter) -> str | None:
 def phone(text: str, p: Permuter) -> str | None:
     digits = re.sub(r"\D", "", text)
     country, body = digits[:-10], digits[-10:]
-    if body[0] in "01":
+    low = body[0] in "01"
+    if low and not country and "(" not in text:
         return None
     new = p.digits(body, "phone")
-    while new[0] in "01":
+    while (new[0] in "01") != low:
         new = p.digits(new, "phone")
     return _refill(text, country + new)
 

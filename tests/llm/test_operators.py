@@ -83,6 +83,17 @@ def test_pii():
     assert sorted(p.apply(v, 1000, "t") for v in range(1000)) == list(range(1000))
 
 
+def test_pii_phones_of_any_area_code():
+    p = pii.Permuter(b"k")
+    numbers = [f"+1 ({area:03d}) 555-7713" for area in range(0, 1000, 7)] + ["(017) 555-7713", "1-136-555-7479"]
+    found = [pii.pseudonymise(f"call {x} now", p) for x in numbers]
+    assert all(n == 1 and x not in new for x, (new, n) in zip(numbers, found, strict=True))
+    new = [re.search(r"\((\d)", text)[1] for text, _ in found[:-1]]
+    assert all((a in "01") == (re.search(r"\((\d)", x)[1] in "01") for a, x in zip(new, numbers[:-1], strict=True))
+    assert len({text for text, _ in found[:-2]}) == len(numbers) - 2
+    assert pii.pseudonymise("part 017-555-7713", p) == ("part 017-555-7713", 0)
+
+
 def test_pii_odd_rows(odd, empty):
     got = pii.pseudonymise_documents(odd, b"k")
     assert got.count() == odd.count() and set(got.columns) == {*odd.columns, "n_replaced"}
