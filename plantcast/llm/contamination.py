@@ -1,25 +1,28 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination by weighted shingles in item-sized windows.
 
 Words are runs of letters and digits, lower-cased. A document window has as many words as the item
-it is compared with. Windows that share no shingle with any item cannot pass the final similarity,
-so fingerprints are computed for windows that align a shared shingle with its place in the item. The
-64-bit fingerprints of windows and items of equal size are matched through ``BLOCKS`` tables of bit
-blocks: fingerprints within ``RADIUS`` agree on some block up to RADIUS // BLOCKS bits, and tables
-list items under all values that near, so none within the radius is missed. Candidates are verified
-exactly: the weight of the item's shingles that the window has, over the weight of all of them, is
-``threshold`` or more; a shingle weighs 1 + ln(items / items that have it).
+it is compared with. The similarity of a window is the weight of the item's shingles that it has,
+over the weight of all of them; a shingle weighs 1 + ln(items / items that have it). An item is found
+if the best of all windows has ``threshold`` or more. The shingles that a whole text shares with an
+item bound all its windows from above, so only pairs whose bound passes are looked at, none of the
+others can. In those the best window begins at a shared shingle or ends the text; windows that align
+a shared shingle with its first place in the item are tried too and win ties.
+
+Items also have 64-bit SimHash fingerprints in ``BLOCKS`` tables of bit blocks for ``near``, a lookup
+within ``RADIUS`` bits. The search does not rest on it: windows at the threshold lie further off.
 
 Items are read in slices of at most ``SLICE_WORDS`` words, so the index that tasks receive is bounded.
 
 Defined results: null and empty texts and items never match; an item shorter than a shingle is one
-shingle; rows that repeat a doc_id give one row per (doc_id, item_id), the best; ties of windows go
-to the first. Empty tables give an empty table. Further columns are ignored.
+shingle; rows that repeat a doc_id give one row per (doc_id, item_id), the best; further ties of
+windows go to the first. Empty tables give an empty table. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +38,8 @@ RADIUS = 20
 BLOCKS = 8
 BLOCK_BITS = 8
 SLICE_WORDS = 500_000
+HITS = 1 << 20  # shared shingles, one per item, that are looked at together
+ROUNDING = 1e-9
 NEAR_VALUES = [
     sum(1 << b for b in bits) for r in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), r)
 ]
@@ -68,28 +73,43 @@ class ItemIndex:
         self.ids = [items[k][0] for k in words]
         self.words = list(words.values())
         self.shingles = [shingle_hashes(w, min(WIDTH, len(w))) for w in self.words]
+        own = [np.unique(s, return_index=True) for s in self.shingles]
+        self.distinct, self.place = [hashes for hashes, _ in own], [place for _, place in own]
         seen: dict[int, int] = defaultdict(int)
-        for s in self.shingles:
-            for h in np.unique(s).tolist():
+        for s in self.distinct:
+            for h in s.tolist():
                 seen[h] += 1
-        self.weight = {h: 1 + np.log(len(self.words) / n) for h, n in seen.items()}
-        flat = [(h, i, p) for i, s in enumerate(self.shingles) for p, h in enumerate(s.tolist())]
-        flat.sort()
-        self.seed = np.array([h for h, _, _ in flat], np.uint64)
-        self.seed_item = np.array([i for _, i, _ in flat], np.int64)
-        self.seed_place = np.array([p for _, _, p in flat], np.int64)
+        self.weight = {h: float(1 + np.log(len(self.words) / n)) for h, n in seen.items()}
+        self.weights = [np.array([self.weight[h] for h in s.tolist()]) for s in self.distinct]
+        self.total = np.array([sum(w.tolist()) for w in self.weights])
         self.length = np.array([len(w) for w in self.words], np.int64)
+        self.width = np.minimum(self.length, WIDTH)
+        # one seed for every shingle of every item, by hash; those of hash k are begin[k] to begin[k + 1]
+        seed = np.concatenate([np.zeros(0, np.uint64), *self.distinct])
+        item = np.repeat(np.arange(len(self.words)), [len(s) for s in self.distinct])
+        order = np.lexsort((item, seed))
+        self.seed_item = item[order]
+        self.seed_weight = np.concatenate([np.zeros(0), *self.weights])[order]
+        self.hashes, begin = np.unique(seed[order], return_index=True)
+        self.begin = np.append(begin, len(seed))
         self.bitmap = np.zeros(1 << 22, bool)
-        self.bitmap[self.seed >> np.uint64(42)] = True
-        self.prints = np.array([fingerprints(w[None])[0] for w in self.words], np.uint64)
-        # tables[length][block][value]: the items of that length with a near value in that block
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        self.bitmap[self.hashes >> np.uint64(42)] = True
+
+    @cached_property
+    def prints(self) -> np.ndarray:
+        return np.array([fingerprints(w[None])[0] for w in self.words], np.uint64)
+
+    @cached_property
+    def tables(self) -> dict[int, list[dict[int, list[int]]]]:
+        """tables[length][block][value]: the items of that length with a near value in that block."""
+        out: dict[int, list[dict[int, list[int]]]] = {}
         for i, length in enumerate(self.length.tolist()):
-            tables = self.tables.setdefault(length, [defaultdict(list) for _ in range(BLOCKS)])
+            tables = out.setdefault(length, [defaultdict(list) for _ in range(BLOCKS)])
             for block in range(BLOCKS):
                 value = int(self.prints[i] >> np.uint64(BLOCK_BITS * block)) & 0xFF
                 for flip in NEAR_VALUES:
                     tables[block][value ^ flip].append(i)
+        return out
 
     def near(self, length: int, print_: int) -> list[int]:
         """Items of that length within the radius of a fingerprint."""
@@ -98,48 +118,69 @@ class ItemIndex:
             found.update(table.get((print_ >> (BLOCK_BITS * block)) & 0xFF, ()))
         return [i for i in sorted(found) if (int(self.prints[i]) ^ print_).bit_count() <= RADIUS]
 
-    def similarity(self, item: int, window: np.ndarray) -> float:
-        mine = set(self.shingles[item].tolist())
-        have = set(shingle_hashes(window, min(WIDTH, len(window))).tolist())
-        return sum(self.weight[h] for h in sorted(mine & have)) / sum(self.weight[h] for h in sorted(mine))
+    def _passing(self, row: np.ndarray, known: np.ndarray, width: int, threshold: float) -> Iterator[tuple[int, int]]:
+        """(row, item) whose shared shingles weigh enough in the whole text; ``known`` says which hash a place has."""
+        if not len(row):
+            return
+        keys = np.unique(row * len(self.hashes) + known)  # one per text and hash, by text
+        row, known = np.divmod(keys, len(self.hashes))
+        count = self.begin[known + 1] - self.begin[known]
+        until, low = np.cumsum(count), 0
+        texts = np.append(np.flatnonzero(np.diff(row)) + 1, len(row))  # where the texts end
+        while low < len(row):
+            # whole texts of about HITS seeds; one text has each seed once
+            before = until[low] - count[low]
+            stop = texts[max(np.searchsorted(until[texts - 1], before + HITS, "right") - 1, np.searchsorted(texts, low, "right"))]
+            times, first = count[low:stop], self.begin[known[low:stop]]
+            seed = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            pair, at = np.unique(np.repeat(row[low:stop], times) * len(self.words) + self.seed_item[seed], return_inverse=True)
+            shared = np.bincount(at, self.seed_weight[seed])
+            item = pair % len(self.words)
+            enough = (self.width[item] == width) & (shared >= threshold * self.total[item] - ROUNDING)
+            yield from zip((pair[enough] // len(self.words)).tolist(), item[enough].tolist(), strict=True)
+            low = stop
+
+    def _best(self, item: int, place: np.ndarray, shingles: np.ndarray, end: int, threshold: float) -> tuple[float, int] | None:
+        """(similarity, first word) of the best window of a text of ``end`` words that has ``shingles`` at ``place``."""
+        mine, weights = self.distinct[item], self.weights[item]
+        local = np.minimum(np.searchsorted(mine, shingles), len(mine) - 1)
+        hit = mine[local] == shingles
+        place, local = place[hit], local[hit]
+        length, last = int(self.length[item]), max(end - int(self.length[item]), 0)
+        n = length - int(self.width[item]) + 1  # shingles of a window
+        aligned = np.unique(np.clip(place - self.place[item][local], 0, last))
+        other = np.setdiff1d(np.minimum(place, last), aligned)
+        start = np.concatenate([aligned, other])
+        lo, hi = np.searchsorted(place, start), np.searchsorted(place, start + n)
+        sums = np.concatenate([[0.0], np.cumsum(weights[local])])
+        need = threshold * self.total[item] - ROUNDING * (1 + sums[-1])
+        best = None
+        for k in np.flatnonzero(sums[hi] - sums[lo] >= need).tolist():
+            have = np.unique(local[lo[k] : hi[k]])
+            value = sum(weights[have].tolist()) / self.total[item]
+            if value >= threshold and (best is None or value > best[0]):
+                best = float(value), int(start[k])
+                if len(have) == len(mine):
+                    break
+        return best
 
     def matches(self, words: np.ndarray, bounds: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, float]]:
-        """(row, item, first word, similarity) of all windows that pass, in a run of texts."""
-        starts, lengths = [], []
-        for width in sorted({min(WIDTH, n) for n in self.length.tolist()}):
+        """(row, item, first word, similarity) of the best window of every text and item that pass."""
+        for width in np.unique(self.width).tolist():
             shingles = shingle_hashes(words, width)
             at = np.flatnonzero(self.bitmap[shingles >> np.uint64(42)])
-            lo, hi = np.searchsorted(self.seed, shingles[at]), np.searchsorted(self.seed, shingles[at], "right")
-            place, run = np.repeat(at, hi - lo), np.repeat(lo, hi - lo)
-            run += np.arange(len(run)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-            fits = np.minimum(self.length[self.seed_item[run]], WIDTH) == width
-            starts.append((place - self.seed_place[run])[fits])
-            lengths.append(self.length[self.seed_item[run]][fits])
-        if not starts:
-            return
-        pairs = np.unique(np.stack([np.concatenate(lengths), np.concatenate(starts)], 1), axis=0)
-        # a window over an end of its text moves inside, unless the text is shorter
-        for length in np.unique(pairs[:, 0]).tolist():
-            start = pairs[pairs[:, 0] == length, 1]
-            start = start[(start > -length) & (start < len(words))]
-            options = []
-            for anchor in (start, start + length - 1):  # the text that the first or the last word lies in
-                inside = (anchor >= 0) & (anchor < len(words))
-                row = np.searchsorted(bounds, anchor[inside], "right") - 1
-                long = bounds[row + 1] - bounds[row] >= length
-                moved = np.clip(start[inside], bounds[row], bounds[row + 1] - length)
-                options.append(np.stack([row[long], moved[long]], 1))
-            windows = np.unique(np.concatenate(options), axis=0)
-            if not len(windows):
-                continue
-            for low in range(0, len(windows), 8192):
-                part = windows[low : low + 8192]
-                grid = words[part[:, 1:] + np.arange(length)]
-                for (row, first), window, print_ in zip(part.tolist(), grid, fingerprints(grid).tolist(), strict=True):
-                    for item in self.near(length, print_):
-                        value = self.similarity(item, window)
-                        if value >= threshold:
-                            yield row, item, first - int(bounds[row]), value
+            known = np.minimum(np.searchsorted(self.hashes, shingles[at]), len(self.hashes) - 1)
+            row = np.searchsorted(bounds, at, "right") - 1
+            inside = (self.hashes[known] == shingles[at]) & (at + width <= bounds[row + 1])
+            at, known, row = at[inside], known[inside], row[inside]
+            for text, item in self._passing(row, known, width, threshold):
+                first, stop = np.searchsorted(row, [text, text + 1])
+                begin, end = int(bounds[text]), int(bounds[text + 1])
+                if end - begin < self.length[item]:
+                    continue
+                best = self._best(item, at[first:stop] - begin, shingles[at[first:stop]], end - begin, threshold)
+                if best is not None:
+                    yield text, item, best[1], best[0]
 
 
 def item_slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +262,45 @@ def test_blocks_find_all_within_the_radius():
         assert k in index.near(15, probe)
 
 
+def brute_windows(items: list[tuple[int, str]], text: str, threshold: float) -> dict[int, float]:
+    """Items and best similarities over all windows, by sets of word triples."""
+    triples = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in items if (w := t.split())}
+    count = Counter(x for s in triples.values() for x in s)
+    weight = {x: 1 + np.log(len(items) / n) for x, n in count.items()}
+    words, found = text.split(), {}
+    for k, t in items:
+        size, mine = len(t.split()), triples[k]
+        for start in range(max(len(words) - size, 0) + 1):
+            w = words[start : start + size]
+            have = mine & {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+            value = sum(weight[x] for x in have) / sum(weight[x] for x in mine)
+            found[k] = max(found.get(k, 0), value)
+    return {k: v for k, v in found.items() if v >= threshold}
+
+
+def test_windows_of_all_similarities():
+    rng = random.Random(4)
+    common = sentence(rng, 12)
+    items = [(k, sentence(rng, rng.choice([13, 25, 40, 55])) + (" " + common if k % 3 == 0 else "")) for k in range(12)]
+    index, texts = contamination.ItemIndex(items), []
+    for n in range(200):
+        words = items[n % 12][1].split()
+        for _ in range(rng.randint(0, 3) if n % 2 else 0):  # changed, left out and additional words
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = [sentence(rng, 1)] * rng.randint(0, 2)
+        cut = round(len(words) * rng.uniform(0.2, 0.4)) if n % 2 == 0 else 0
+        words = words[: len(words) - cut] + sentence(rng, cut + 1).split()
+        texts.append(sentence(rng, rng.randint(20, 70)) + " " + " ".join(words) + " " + sentence(rng, 30))
+    got = [{} for _ in texts]
+    for row, words, bounds in contamination._words(pa.array(texts)):
+        for r, item, first, value in index.matches(words, bounds, 0.6):
+            got[row + r][item] = max(value, got[row + r].get(item, 0))
+    want = [brute_windows(items, t, 0.6) for t in texts]
+    assert sum(len(w) for w in want) > 100 and any(0.6 <= v < 0.7 for w in want for v in w.values())
+    assert [set(g) for g in got] == [set(w) for w in want]
+    assert all(abs(g[k] - w[k]) < 1e-9 for g, w in zip(got, want, strict=True) for k in w)
+
+
 def test_language(spark, odd, empty):
     rng = random.Random(6)
     words = {"en": "the of and ing tion".split(), "de": "der die und ung sch".split(), "fr": "les que é eau ou".split()}
