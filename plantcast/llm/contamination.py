@@ -1,7 +1,7 @@
 """Benchmark decontamination by weighted shingles in item-sized windows.
 
 Words are runs of letters and digits, lower-cased. A document window has as many words as the item
-it is compared with. The similarity of a window is the weight of the item's shingles that it has,
+it is compared with; a text shorter than the item is one window. The similarity of a window is the weight of the item's shingles that it has,
 over the weight of all of them; a shingle weighs 1 + ln(items / items that have it). An item is found
 if the best of all windows has ``threshold`` or more. The shingles that a whole text shares with an
 item bound all its windows from above, so only pairs whose bound passes are looked at, none of the
@@ -176,8 +176,6 @@ class ItemIndex:
             for text, item in self._passing(row, known, width, threshold):
                 first, stop = np.searchsorted(row, [text, text + 1])
                 begin, end = int(bounds[text]), int(bounds[text + 1])
-                if end - begin < self.length[item]:
-                    continue
                 best = self._best(item, at[first:stop] - begin, shingles[at[first:stop]], end - begin, threshold)
                 if best is not None:
                     yield text, item, best[1], best[0]

@@ -301,6 +301,20 @@ def test_windows_of_all_similarities():
     assert all(abs(g[k] - w[k]) < 1e-9 for g, w in zip(got, want, strict=True) for k in w)
 
 
+def test_contamination_of_texts_shorter_than_the_item(spark):
+    rng = random.Random(8)
+    items = [(k, sentence(rng, 20 + 10 * k)) for k in range(4)]
+    cut = [" ".join(t.split()[:-1]) for _, t in items] + [" ".join(t.split()[: len(t.split()) * 3 // 4]) for _, t in items]
+    cut += [" ".join(t.split()[len(t.split()) // 2 :]) for _, t in items] + ["", items[0][1].split()[0]]
+    want = {(d, k): v for d, t in enumerate(cut) for k, v in brute_windows(items, t, 0.6).items()}
+    assert len(want) == 8
+    rows = [(d, t, "", "", 0) for d, t in enumerate(cut)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination.contaminated(spark.createDataFrame(rows, DOC), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert {r["first_word"] for r in got} == {0}
+
+
 def test_language(spark, odd, empty):
     rng = random.Random(6)
     words = {"en": "the of and ing tion".split(), "de": "der die und ung sch".split(), "fr": "les que é eau ou".split()}
