@@ -11,7 +11,8 @@ a shared shingle with its first place in the item are tried too and win ties.
 Items also have 64-bit SimHash fingerprints in ``BLOCKS`` tables of bit blocks for ``near``, a lookup
 within ``RADIUS`` bits. The search does not rest on it: windows at the threshold lie further off.
 
-Items are read in slices of at most ``SLICE_WORDS`` words, so the index that tasks receive is bounded.
+Items are read in slices of about ``SLICE_WORDS`` words, so the index that tasks receive is bounded; the
+weights are those of the whole benchmark.
 
 Defined results: null and empty texts and items never match; an item shorter than a shingle is one
 shingle; rows that repeat a doc_id give one row per (doc_id, item_id), the best; further ties of
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantcast.llm.common import ALNUM, shingle_hashes, text_chunks, word_hashes
+from plantcast.llm.common import ALNUM, shingle_hashes, staged, text_chunks, word_hashes, work_folder
 
 WIDTH = 3
 RADIUS = 20
@@ -61,10 +62,14 @@ def fingerprints(windows: np.ndarray) -> np.ndarray:
     return out
 
 
+def shingle_weight(items: int, having: int) -> float:
+    return float(1 + np.log(items / having))
+
+
 class ItemIndex:
-    """Shingles and fingerprint blocks of a bounded slice of the benchmark."""
+    """Shingles and fingerprint blocks of a bounded slice of the benchmark, with the weights of its shingles."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], weight: dict[int, float] | None = None) -> None:
         words = {}
         for row, hashes, bounds in _words(pa.array([text for _, text in items], pa.string())):
             for i in range(len(bounds) - 1):
@@ -75,12 +80,13 @@ class ItemIndex:
         self.shingles = [shingle_hashes(w, min(WIDTH, len(w))) for w in self.words]
         own = [np.unique(s, return_index=True) for s in self.shingles]
         self.distinct, self.place = [hashes for hashes, _ in own], [place for _, place in own]
-        seen: dict[int, int] = defaultdict(int)
-        for s in self.distinct:
-            for h in s.tolist():
-                seen[h] += 1
-        self.weight = {h: float(1 + np.log(len(self.words) / n)) for h, n in seen.items()}
-        self.weights = [np.array([self.weight[h] for h in s.tolist()]) for s in self.distinct]
+        if weight is None:  # the slice is the whole benchmark
+            seen: dict[int, int] = defaultdict(int)
+            for s in self.distinct:
+                for h in s.tolist():
+                    seen[h] += 1
+            weight = {h: shingle_weight(len(self.words), n) for h, n in seen.items()}
+        self.weights = [np.array([weight[h] for h in s.tolist()]) for s in self.distinct]
         self.total = np.array([sum(w.tolist()) for w in self.weights])
         self.length = np.array([len(w) for w in self.words], np.int64)
         self.width = np.minimum(self.length, WIDTH)
@@ -181,24 +187,61 @@ class ItemIndex:
                     yield text, item, best[1], best[0]
 
 
-def item_slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, in slices of about ``SLICE_WORDS`` words; one slice at a time reaches the driver."""
+def _item_shingles(benchmark: DataFrame) -> DataFrame:
+    """(slice, shingle) of the distinct shingles of every item, and a null shingle for every item that has words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, words, bounds in _words(batch.column(1)):
+                texts = [words[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]
+                own = [np.unique(shingle_hashes(w, min(WIDTH, len(w)))) if len(w) else w for w in texts]
+                own = [s.view(np.int64) for s in own]
+                here = batch.column(0).to_numpy()[row : row + len(own)]
+                some = here[[len(s) > 0 for s in own]]
+                slices = np.concatenate([np.repeat(here, [len(s) for s in own]), some])
+                shingles = pa.concat_arrays([pa.array(np.concatenate(own)), pa.nulls(len(some), pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), shingles], ["slice", "shingle"])
+
+    return benchmark.select("slice", "text").mapInArrow(cut, "slice long, shingle long")
+
+
+def item_slices(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], dict[int, float] | None]]:
+    """The items in slices of about ``SLICE_WORDS`` words, each with the weights of its shingles.
+
+    One slice at a time reaches the driver. Weights are counted over the whole benchmark; a single
+    slice counts its own.
+    """
     usable = benchmark.filter("text IS NOT NULL").select("item_id", "text")
     total = usable.agg(F.sum(F.octet_length("text") / 4)).first()[0] or 0
     slices = int(total // SLICE_WORDS) + 1
+    usable = usable.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)).cast("long"))
+    if slices > 1:
+        folder = work_folder(benchmark.sparkSession, "shingles")
+        per_slice = _item_shingles(usable).groupBy("slice", "shingle").agg(F.count("*").alias("n"))
+        per_slice = staged(per_slice, f"{folder}/slices")
+        n = per_slice.filter("shingle IS NULL").agg(F.sum("n")).first()[0]
+        counts = per_slice.groupBy("shingle").agg(F.sum("n").alias("having"))
+        known = staged(per_slice.select("slice", "shingle").join(counts, "shingle"), f"{folder}/counts")
     for k in range(slices):
-        part = usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text")
-        yield [tuple(r) for r in part.collect()]
+        part = usable.filter(F.col("slice") == k).select("item_id", "text").orderBy("item_id", "text")
+        weight = None
+        if slices > 1:
+            own = known.filter(F.col("slice") == k).select("shingle", "having").toArrow()
+            hashes = own["shingle"].to_numpy().view(np.uint64).tolist()
+            weight = {h: shingle_weight(n, c) for h, c in zip(hashes, own["having"].to_pylist(), strict=True)}
+        yield [tuple(r) for r in part.collect()], weight
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(doc_id, item_id, similarity, first_word): every item found in a document, at its best window."""
     kind, item_kind = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     found = None
-    for items in item_slices(benchmark):
+    for items, weight in item_slices(benchmark):
 
-        def search(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(items)
+        def search(
+            batches: Iterator[pa.RecordBatch], items: list = items, weight: dict[int, float] | None = weight
+        ) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(items, weight)
             for batch in batches:
                 ids = batch.column(0)
                 for row, words, bounds in _words(batch.column(1)):

@@ -315,6 +315,26 @@ def test_contamination_of_texts_shorter_than_the_item(spark):
     assert {r["first_word"] for r in got} == {0}
 
 
+def test_contamination_does_not_depend_on_slices(spark, monkeypatch):
+    rng = random.Random(10)
+    common = sentence(rng, 12)
+    items = [(k, sentence(rng, rng.randint(15, 40)) + (" " + common if k % 2 == 0 else "")) for k in range(20)]
+    rows = []
+    for k, text in items:
+        words = text.split()
+        cut = len(words) * rng.randint(60, 95) // 100
+        rows.append((k, " ".join(words[:cut]) + " " + sentence(rng, 30), "", "", 0))
+    benchmark = spark.createDataFrame([*items, (98, ""), (99, None), (97, "?!")], "item_id long, text string")
+    documents = spark.createDataFrame(rows, DOC)
+    want = {(d, k): round(v, 9) for d, t, *_ in rows for k, v in brute_windows(items, t, 0.6).items()}
+    got = []
+    for words in (contamination.SLICE_WORDS, 400):
+        monkeypatch.setattr(contamination, "SLICE_WORDS", words)
+        found = contamination.contaminated(documents, benchmark).collect()
+        got.append({(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in found})
+    assert got[0] == got[1] == want
+
+
 def test_language(spark, odd, empty):
     rng = random.Random(6)
     words = {"en": "the of and ing tion".split(), "de": "der die und ung sch".split(), "fr": "les que é eau ou".split()}
