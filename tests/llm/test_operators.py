@@ -372,3 +372,61 @@ def test_pipeline_keeps_clean_documents(spark):
     docs = spark.createDataFrame(rows, DOC)
     kept = corpus_pipeline.dedup_documents(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.columns == docs.columns
+
+
+@pytest.fixture(scope="module")
+def stage_rows(spark, tmp_path_factory):
+    """Repeated and null doc_ids with equal and different texts, and the tables that the stages read."""
+    rng, folder = random.Random(13), str(tmp_path_factory.mktemp("stages"))
+    item, copied = sentence(rng, 30), sentence(rng, 80)
+    toxic = [(100 + k, sentence(rng, 20) + (" vile" if k % 4 == 0 else ""), "en", "a") for k in range(200)]
+    rows = [
+        (1, "with " + item, "en", "a"), (1, sentence(rng, 60), "en", "a"), (None, item + " " + sentence(rng, 40), "en", "a"),
+        (None, sentence(rng, 60), "en", "b"), (2, copied, "en", "a"), (None, copied, "en", "b"), (3, copied + " end", "en", "a"),
+        (4, sentence(rng, 50), "en", "a"), (4, sentence(rng, 50), "en", "a"), (5, None, "en", "a"), (6, "", "en", None),
+    ]
+    rows += [(7, sentence(random.Random(1), 40), "en", "a")] * 2
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOC).withColumn("th", F.lit("kept"))
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(r[0], int("vile" in r[1])) for r in toxic], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return docs, [(r[0], r[1]) for r in rows], spark.createDataFrame([(*r, 0) for r in toxic], DOC), item, copied, folder
+
+
+def rows_of(df) -> Counter:
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def test_stage_drop_contaminated(spark, stage_rows, empty):
+    docs, rows, _, item, _, folder = stage_rows
+    kept = corpus_pipeline.drop_contaminated(spark, docs, folder)
+    assert kept.columns == docs.columns and rows_of(kept) == Counter(r for r in rows if item not in (r[1] or ""))
+    assert corpus_pipeline.drop_contaminated(spark, empty, folder).count() == 0
+
+
+def test_stage_dedup_documents(spark, stage_rows, empty):
+    docs, rows, _, _, copied, folder = stage_rows
+    kept = corpus_pipeline.dedup_documents(spark, docs, folder)
+    want = Counter({r for r in rows if copied not in (r[1] or "")} | {(2, copied)})
+    assert kept.columns == docs.columns and rows_of(kept) == want
+    assert corpus_pipeline.dedup_documents(spark, empty, folder).count() == 0
+
+
+def test_stage_drop_toxic(spark, stage_rows, empty):
+    _, _, labelled, _, _, folder = stage_rows
+    again = labelled.filter("doc_id < 120").withColumn("doc_id", F.lit(None).cast("long"))
+    docs = labelled.union(again).withColumn("th", F.lit("kept"))
+    kept = corpus_pipeline.drop_toxic(spark, docs, folder)
+    assert kept.columns == docs.columns and rows_of(kept) == rows_of(docs.filter("NOT contains(text, 'vile')"))
+    assert corpus_pipeline.drop_toxic(spark, empty, folder).count() == 0
+
+
+def test_stage_dedup_lines_and_mix(spark, stage_rows, empty):
+    docs, rows, _, _, copied, folder = stage_rows
+    reduced = corpus_pipeline.dedup_lines(spark, docs, folder)
+    assert reduced.columns == docs.columns
+    found = rows_of(reduced)
+    assert all(found[r] == 1 for r in rows if r[0] in (1, 4, 5, 6)) and (None, copied) in found and (2, copied) not in found
+    mixed = corpus_pipeline.mix(spark, docs.withColumn("copy", F.lit("x")), folder)
+    assert mixed.columns == [*docs.columns, "copy"] and set(rows_of(mixed)) <= set(rows)
+    for stage in (corpus_pipeline.dedup_lines, corpus_pipeline.mix):
+        assert stage(spark, empty, folder).count() == 0
