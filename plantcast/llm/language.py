@@ -24,11 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantcast.llm.common import text_chunks
+from plantcast.llm.common import staged, text_chunks, work_folder
 
 SLOTS = 1 << 13
 ORDERS = (1, 2, 3)
-MAX_LANGUAGES = 200  # most frequent labels that are learned
+SHARE_UNITS = 1e14  # shares are added up as whole numbers of this part, alike in any order
+LOSSES = 1 << 22  # losses that are computed together
 EVIDENCE = 200.0  # n-grams from which on more text adds no weight
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -84,26 +85,52 @@ def codebook(languages: int) -> np.ndarray:
     if languages <= 6:
         return np.array([(1, *rest) for rest in product((1, -1), repeat=languages - 1) if -1 in rest], float).T
     bits = 12 * int(np.ceil(np.log2(languages)))
+    if languages > 1000:  # comparing all pairs would grow with the square; longer words keep random ones apart
+        return np.random.default_rng(0).choice([-1.0, 1.0], (languages, 2 * bits))
     tries = [np.random.default_rng(k).choice([-1.0, 1.0], (languages, bits)) for k in range(50)]
     return max(tries, key=lambda code: -(code @ code.T - 2 * bits * np.eye(languages)).max())
 
 
+def bit_totals(totals: DataFrame, languages: list[str], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the languages' shares by bit and slot, of those whose bit is 1 and of those whose bit is -1."""
+    bits = code.shape[1]
+    ones = {lang: code[k] > 0 for k, lang in enumerate(languages)}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, bits, SLOTS), np.int64)
+        for batch in batches:
+            for lang, slots, n in zip(*batch.to_pydict().values(), strict=True):
+                counts = np.zeros(SLOTS)
+                counts[slots] = n
+                counts += counts.sum() * 1e-7 + 1
+                share = np.rint(counts / counts.sum() * SHARE_UNITS).astype(np.int64)
+                sums[0, ones[lang]] += share
+                sums[1, ~ones[lang]] += share
+        if sums.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(2 * bits)), pa.array([*sums.reshape(2 * bits, SLOTS)], pa.list_(pa.int64()))], ["row", "shares"]
+            )
+
+    # collected by slot, so that every language is one row of at most SLOTS counts
+    rows = totals.groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("n"))
+    parts = rows.mapInArrow(add, "row long, shares array<long>")
+    summed = parts.select("row", F.posexplode("shares").alias("slot", "n")).groupBy("row", "slot").agg(F.sum("n").alias("n"))
+    found, out = summed.toArrow(), np.zeros((2 * bits, SLOTS))
+    out[found["row"].to_numpy(), found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out[:bits], out[bits:]
+
+
 def learn(learning: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, codebook, weights by slot and bit); at most ``MAX_LANGUAGES`` times ``SLOTS`` counts reach the driver."""
+    """(languages, codebook, weights by slot and bit) of all labels; two sums per bit and slot reach the driver."""
     usable = learning.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    totals = gram_totals(usable)
-    known = totals.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    found = totals.join(F.broadcast(known.select("lang")), "lang", "left_semi").toPandas()
-    languages = sorted(found["lang"].unique())
-    counts = np.zeros((len(languages), SLOTS))
-    if languages:
-        counts[[languages.index(x) for x in found["lang"]], found["slot"]] = found["n"]
-    shares = (counts + counts.sum(1, keepdims=True) * 1e-7 + 1) / (counts + counts.sum(1, keepdims=True) * 1e-7 + 1).sum(1, keepdims=True)
+    totals = staged(gram_totals(usable), work_folder(learning.sparkSession, "grams"))
+    languages = sorted(r["lang"] for r in totals.select("lang").distinct().collect())
     code = codebook(len(languages))
     weights = np.zeros((SLOTS, code.shape[1] if len(languages) > 1 else 1))
     if len(languages) > 1:
-        ones, zeros = code > 0, code < 0
-        weights = np.log((ones.T @ shares) / ones.sum(0)[:, None]).T - np.log((zeros.T @ shares) / zeros.sum(0)[:, None]).T
+        ones, zeros = bit_totals(totals, languages, code)
+        n_ones, n_zeros = (code > 0).sum(0)[:, None], (code < 0).sum(0)[:, None]
+        weights = np.log(ones / n_ones).T - np.log(zeros / n_zeros).T
     return languages, code, weights.astype(np.float32)
 
 
@@ -112,7 +139,10 @@ def decode(block: np.ndarray, code: np.ndarray, weights: np.ndarray) -> tuple[np
     n = block.sum(1)
     mean = (block @ weights) / np.maximum(n, 1)[:, None]
     sure = np.minimum(n, EVIDENCE)[:, None] * mean
-    loss = np.logaddexp(0.0, -code[None] * sure[:, None, :]).sum(2)
+    loss = np.empty((len(block), len(code)))
+    step = max(1, LOSSES // max(1, len(block) * code.shape[1]))
+    for low in range(0, len(code), step):
+        loss[:, low : low + step] = np.logaddexp(0.0, -code[None, low : low + step] * sure[:, None, :]).sum(2)
     order = np.argsort(loss, axis=1, kind="stable")
     best = order[:, 0]
     share = np.exp(loss.min(1, keepdims=True) - loss)

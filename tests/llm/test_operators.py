@@ -349,6 +349,17 @@ def test_language(spark, odd, empty):
     assert {r["lang_pred"] for r in language.identify(odd, language.learn(empty)).collect()} == {"und"}
 
 
+def test_language_of_many_labels(spark):
+    rng = random.Random(7)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(3)] for k in range(230)}
+    rows = [(" ".join(w) * 5, l) for l, w in words.items()] + [(" ".join(words[l]) * 5, l) for l in [*words][:200]]
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert model[0] == sorted(words)
+    probe = spark.createDataFrame([(l, " ".join(w) * 4) for l, w in words.items()], "doc_id string, text string")
+    right = [r["doc_id"] == r["lang_pred"] for r in language.identify(probe, model).collect() if r["doc_id"] >= "l200"]
+    assert len(right) == 30 and np.mean(right) > 0.9
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(2)
     rows = [(k, sentence(rng, 20) + (" vile " + rng.choice(WORDS) if k % 4 == 0 else "")) for k in range(200)]
