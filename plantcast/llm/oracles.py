@@ -82,6 +82,48 @@ FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id AND d.text = r.text
 """
 
 
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), lists AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces
+), grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+  FROM lists, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(ws) >= m
+), counts AS (
+  SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counts WHERE m = 1 GROUP BY lang
+), frequent AS (
+  SELECT * FROM counts WHERE f >= 100
+), candidates AS (
+  SELECT *, string_split(phrase, ' ') AS ws FROM frequent WHERE m >= 2
+), inner_parts AS (
+  SELECT DISTINCT lang, f, unnest(list_concat(
+    [array_to_string(ws[:len(ws) - 1], ' ')], [array_to_string(ws[2:], ' ')])) AS phrase
+  FROM candidates
+), kept AS (
+  SELECT c.* FROM candidates c WHERE NOT EXISTS (
+    SELECT 1 FROM inner_parts p WHERE p.lang = c.lang AND p.phrase = c.phrase AND 100 * p.f >= 100 * c.f)
+), cuts AS (
+  SELECT lang, phrase, f, ws, m, unnest(range(1, m)) AS k FROM kept
+), scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, a.f AS l, b.f AS r, CAST(n AS BIGINT) AS n, k,
+    CAST((1000 * CAST(c.f AS HUGEINT) * CAST(n AS HUGEINT)) // (CAST(a.f AS HUGEINT) * CAST(b.f AS HUGEINT)) AS BIGINT) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+  JOIN frequent a ON a.lang = c.lang AND a.phrase = array_to_string(ws[:k], ' ')
+  JOIN frequent b ON b.lang = c.lang AND b.phrase = array_to_string(ws[k + 1:], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank,
+  phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+
 OP13 = """
 WITH rows AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -108,4 +150,4 @@ QUALIFY rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2, "op9_warc_revisit": OP9, "op10_line_dedup": OP10, "op13_hard_negatives": OP13}
+    return {"op2_chat_format": OP2, "op9_warc_revisit": OP9, "op10_line_dedup": OP10, "op11_collocations": OP11, "op13_hard_negatives": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantcast.llm import chat, contamination, jaccard, language, lines, mixing, negatives, pii, toxicity, vectors, warc
+from plantcast.llm import chat, contamination, jaccard, language, lines, mixing, negatives, phrases, pii, toxicity, vectors, warc
 from plantcast.llm.common import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(documents).select("doc_id", "n_lines", "dropped_lines", "text")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"), least=100, most=2000)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
@@ -94,5 +98,6 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_warc_revisit": op9_warc_revisit,
         "op10_line_dedup": op10_line_dedup,
+        "op11_collocations": op11_collocations,
         "op13_hard_negatives": op13_hard_negatives,
     }
