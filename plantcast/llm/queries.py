@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantcast.llm import chat, contamination, jaccard, language, lines, mixing, negatives, phrases, pii, toxicity, vectors, warc
+from plantcast.llm import chat, contamination, jaccard, language, lines, mixing, negatives, phrases, pii, recurrent, toxicity, vectors, warc
 from plantcast.llm.common import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"), least=100, most=2000)
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    held_out = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", held_out)
+    model = recurrent.Model(documents.filter("NOT held_out").select("text"))
+    return model.score(documents, ["doc_id", "held_out"])
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
@@ -99,5 +107,6 @@ def queries() -> dict[str, Query]:
         "op9_warc_revisit": op9_warc_revisit,
         "op10_line_dedup": op10_line_dedup,
         "op11_collocations": op11_collocations,
+        "op12_lm_scores": op12_lm_scores,
         "op13_hard_negatives": op13_hard_negatives,
     }
