@@ -57,7 +57,7 @@ def incoming_arrays(purchase: DataFrame, cfg: PlanConfig) -> DataFrame:
     return rows.groupBy("part_no").agg(F.expr(f"array({', '.join(days)}) AS incoming"))
 
 
-def _products_to_lines(products: DataFrame, lines: DataFrame) -> DataFrame:
+def product_lines(products: DataFrame, lines: DataFrame) -> DataFrame:
     """Join products with their bill of material.
 
     The products come out of an aggregation on ``product_id``; joined on that same column
@@ -73,7 +73,7 @@ def _products_to_lines(products: DataFrame, lines: DataFrame) -> DataFrame:
 def bom_explosion(products: DataFrame, lines: DataFrame, cfg: PlanConfig) -> DataFrame:
     """Requirement per day, product and bill line, for the demand and for the planned output."""
     days = per_day(
-        _products_to_lines(products, lines),
+        product_lines(products, lines),
         cfg,
         ["product_id", "part_no", "bom_qty"],
         demand="demand",
@@ -90,7 +90,12 @@ def bom_explosion(products: DataFrame, lines: DataFrame, cfg: PlanConfig) -> Dat
 
 
 def part_demand(products: DataFrame, lines: DataFrame, cfg: PlanConfig) -> DataFrame:
-    """part_no with the arrays ``part_demand`` and ``output_need`` over the forecast days.
+    """part_no with the arrays ``part_demand`` and ``output_need`` over the forecast days."""
+    return part_sums(product_lines(products, lines), cfg)
+
+
+def part_sums(lines: DataFrame, cfg: PlanConfig) -> DataFrame:
+    """The same from product lines that carry ``demand`` and ``output``.
 
     Both requirements come from one aggregation, one row per bill line going in.
     """
@@ -99,12 +104,8 @@ def part_demand(products: DataFrame, lines: DataFrame, cfg: PlanConfig) -> DataF
         days = [f"sum(get({array}, {i}) * bom_qty)" for i in range(cfg.forecast_days)]
         return f"array({', '.join(days)}) AS {name}"
 
-    return (
-        _products_to_lines(products, lines)
-        .filter("part_no IS NOT NULL")
-        .groupBy("part_no")
-        .agg(F.expr(sums("demand", "part_demand")), F.expr(sums("output", "output_need")))
-    )
+    needs = F.expr(sums("demand", "part_demand")), F.expr(sums("output", "output_need"))
+    return lines.filter("part_no IS NOT NULL").groupBy("part_no").agg(*needs)
 
 
 def daily_part_demand(demand: DataFrame, cfg: PlanConfig) -> DataFrame:

@@ -31,22 +31,24 @@ def retain_recent(machine_data: DataFrame, cfg: PlanConfig) -> DataFrame:
     return _since(machine_data, cfg.retention_cutoff)
 
 
-def _newest_days(machine_data: DataFrame, n: int) -> DataFrame:
+def _newest_days(machine_data: DataFrame, n: int, days: DataFrame | None = None) -> DataFrame:
     """Readings of the days that hold the newest ``n``: each day with fewer than ``n`` after it.
 
     The window runs over one row per calendar day. The first day is a scalar subquery on the
-    partition column, so older folders are not read.
+    partition column, so older folders are not read. ``days`` (reading_date, readings) are the counts
+    that a store has kept; without them the readings are counted.
     """
-    days = machine_data.groupBy("reading_date").agg(F.expr("count(*) AS readings"))
+    if days is None:
+        days = machine_data.groupBy("reading_date").agg(F.expr("count(*) AS readings"))
     after = "sum(readings) OVER (ORDER BY reading_date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     needed = days.selectExpr("reading_date", f"coalesce({after}, 0) AS readings_after").filter(f"readings_after < {n}")
     return machine_data.filter(F.col("reading_date") >= needed.agg(F.min("reading_date")).scalar())
 
 
-def latest_readings(machine_data: DataFrame, cfg: PlanConfig) -> DataFrame:
+def latest_readings(machine_data: DataFrame, cfg: PlanConfig, days: DataFrame | None = None) -> DataFrame:
     """Newest readings over all machines; the other columns break ties."""
     if "reading_date" in machine_data.columns:
-        machine_data = _newest_days(machine_data, cfg.latest_readings)
+        machine_data = _newest_days(machine_data, cfg.latest_readings, days)
     newest = F.desc("created_at"), "machine_id", "temperature", "vibration", "rpm"
     return machine_data.select(*READING).orderBy(*newest).limit(cfg.latest_readings)
 

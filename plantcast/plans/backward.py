@@ -35,6 +35,17 @@ class BackwardPlan:
         for name in ("products", "part_demand", "mrp_plan", "part_outlook"):
             self.__dict__[name] = staged(getattr(self, name), f"{folder}/{name}")
 
+    # What readings do not change: a plan for the same day can go on from another one's.
+    FROZEN = ("demand_arrays", "bom_demand", "stock", "incoming_arrays")
+
+    def freeze(self, folder: str) -> dict[str, DataFrame]:
+        """Write the tables that no reading changes."""
+        return {name: staged(getattr(self, name), f"{folder}/{name}") for name in self.FROZEN}
+
+    def use(self, frozen: dict[str, DataFrame]) -> None:
+        """Go on from frozen tables instead of orders, bills, stock and purchases."""
+        self.__dict__.update(frozen)
+
     # Telemetry and capacity
 
     @cached_property
@@ -79,9 +90,13 @@ class BackwardPlan:
     def forecast(self) -> DataFrame:
         return forecast.forecast(self.profile, self.cfg)
 
+    @cached_property
+    def demand_arrays(self) -> DataFrame:
+        return forecast.forecast_arrays(self.profile, self.cfg)
+
     @cached_property
     def products(self) -> DataFrame:
-        return forecast.with_capacity(forecast.forecast_arrays(self.profile, self.cfg), self.capacity_factor)
+        return forecast.with_capacity(self.demand_arrays, self.capacity_factor)
 
     @cached_property
     def capacity_plan(self) -> DataFrame:
@@ -113,18 +128,28 @@ class BackwardPlan:
     def bom_explosion(self) -> DataFrame:
         return materials.bom_explosion(self.products, self.bom, self.cfg)
 
+    @cached_property
+    def bom_demand(self) -> DataFrame:
+        """Bill lines with the demand of their product."""
+        return materials.product_lines(self.demand_arrays, self.bom)
+
     @cached_property
     def part_demand(self) -> DataFrame:
+        if "bom_demand" in self.__dict__:  # frozen: the capacity meets every bill line, nothing is joined
+            return materials.part_sums(forecast.with_capacity(self.bom_demand, self.capacity_factor), self.cfg)
         return materials.part_demand(self.products, self.bom, self.cfg)
 
     @cached_property
     def daily_part_demand(self) -> DataFrame:
         return materials.daily_part_demand(self.part_demand, self.cfg)
 
+    @cached_property
+    def incoming_arrays(self) -> DataFrame:
+        return materials.incoming_arrays(self.sources.purchase, self.cfg)
+
     @cached_property
     def stock_days(self) -> DataFrame:
-        incoming = materials.incoming_arrays(self.sources.purchase, self.cfg)
-        return inventory.stock_days(self.stock, self.part_demand, incoming, self.cfg)
+        return inventory.stock_days(self.stock, self.part_demand, self.incoming_arrays, self.cfg)
 
     @cached_property
     def sim_grid(self) -> DataFrame:

@@ -26,9 +26,20 @@ class ForwardPlan:
         for name in ("products", "mrp_plan", "part_outlook"):
             self.__dict__[name] = staged(getattr(self, name), f"{folder}/{name}")
 
+    # What readings do not change: a plan for the same day can go on from another one's.
+    FROZEN = ("demand_arrays", "bom_demand", "stock", "incoming_arrays")
+
+    def freeze(self, folder: str) -> dict[str, DataFrame]:
+        """Write the tables that no reading changes."""
+        return {name: staged(getattr(self, name), f"{folder}/{name}") for name in self.FROZEN}
+
+    def use(self, frozen: dict[str, DataFrame]) -> None:
+        """Go on from frozen tables instead of orders, bills, stock and purchases."""
+        self.__dict__.update(frozen)
+
     @cached_property
     def latest_readings(self) -> DataFrame:
-        return telemetry.latest_readings(self.sources.machine_data, self.cfg)
+        return telemetry.latest_readings(self.sources.machine_data, self.cfg, self.sources.reading_days)
 
     @cached_property
     def reading_health(self) -> DataFrame:
@@ -55,9 +66,13 @@ class ForwardPlan:
     def forecast(self) -> DataFrame:
         return forecast.forecast(self.profile, self.cfg)
 
+    @cached_property
+    def demand_arrays(self) -> DataFrame:
+        return forecast.forecast_arrays(self.profile, self.cfg)
+
     @cached_property
     def products(self) -> DataFrame:
-        return forecast.with_capacity(forecast.forecast_arrays(self.profile, self.cfg), self.capacity_factor)
+        return forecast.with_capacity(self.demand_arrays, self.capacity_factor)
 
     @cached_property
     def capacity_plan(self) -> DataFrame:
@@ -75,9 +90,17 @@ class ForwardPlan:
     def bom(self) -> DataFrame:
         return materials.bom(self.sources.bom_header, self.sources.bom_detail)
 
+    @cached_property
+    def bom_demand(self) -> DataFrame:
+        """Bill lines with the demand of their product."""
+        return materials.product_lines(self.demand_arrays, self.bom)
+
     @cached_property
     def part_demand(self) -> DataFrame:
         """Parts for the adjusted demand, which takes the place of the demand."""
+        if "bom_demand" in self.__dict__:  # frozen: the capacity meets every bill line, nothing is joined
+            lines = forecast.with_capacity(self.bom_demand, self.capacity_factor)
+            return materials.part_sums(lines.withColumn("demand", lines["output"]), self.cfg)
         adjusted = self.products.withColumn("demand", self.products["output"])
         return materials.part_demand(adjusted, self.bom, self.cfg)
 
@@ -85,10 +108,17 @@ class ForwardPlan:
     def daily_part_demand(self) -> DataFrame:
         return materials.daily_part_demand(self.part_demand, self.cfg).drop("planned_output_part_demand")
 
+    @cached_property
+    def stock(self) -> DataFrame:
+        return materials.stock(self.sources.parts)
+
+    @cached_property
+    def incoming_arrays(self) -> DataFrame:
+        return materials.incoming_arrays(self.sources.purchase, self.cfg)
+
     @cached_property
     def stock_days(self) -> DataFrame:
-        incoming = materials.incoming_arrays(self.sources.purchase, self.cfg)
-        return inventory.stock_days(materials.stock(self.sources.parts), self.part_demand, incoming, self.cfg)
+        return inventory.stock_days(self.stock, self.part_demand, self.incoming_arrays, self.cfg)
 
     @cached_property
     def mrp_plan(self) -> DataFrame:

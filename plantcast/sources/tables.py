@@ -18,6 +18,9 @@ SCHEMAS = {
     "rpm int, created_at timestamp_ntz",
 }
 
+# Tables that some stores offer beside the seven: readings by day, counted when they were stored.
+OPTIONAL = {"reading_days": "reading_date date, readings bigint"}
+
 # Column by which a table is cut into JDBC partitions; parts has a text key only.
 SPLIT_COLUMN = {
     "orders": "id",
@@ -30,15 +33,17 @@ SPLIT_COLUMN = {
 
 
 class Sources:
-    """The seven logical input tables, each read when it is first used."""
+    """The seven logical input tables, each read when it is first used; an optional one may be None."""
 
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
         missing = SCHEMAS.keys() - tables.keys()
-        if missing or tables.keys() - SCHEMAS.keys():
+        if missing or tables.keys() - SCHEMAS.keys() - OPTIONAL.keys():
             raise TypeError(f"expected the tables {', '.join(SCHEMAS)}")
         self._tables = tables
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in OPTIONAL and name not in self._tables:
+            return None
         if name.startswith("_") or name not in self._tables:
             raise AttributeError(name)
         table = self._tables[name]

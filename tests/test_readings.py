@@ -1,0 +1,182 @@
+"""The readings store in a long run: folding, repeated batches, retention, counts; the replanner on it."""
+
+from dataclasses import replace
+from datetime import date, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+from seed import AS_OF, CFG, seed, table
+
+from plantcast import BackwardPlan, ForwardPlan
+from plantcast.operators import telemetry
+from plantcast.sources import readings as readings_module
+from plantcast.sources.readings import ReadingsStore
+from plantcast.sources.tables import SCHEMAS, from_parquet
+from plantcast.streaming.replan import Replanner, last_run
+
+FIRST = datetime(2024, 1, 28, 9)
+
+
+def batch(spark, *rows):
+    """(hours after FIRST, temperature) each."""
+    return table(spark, "machine_data", [("M-1", float(t), 0.01, 1500.0, FIRST + timedelta(hours=h)) for h, t in rows])
+
+
+def temperatures(store):
+    return sorted(float(r.temperature) for r in store.read().collect())
+
+
+def test_many_batches_leave_a_folder_per_day(spark, tmp_path):
+    store = ReadingsStore(spark, str(tmp_path))
+    for k in range(12):
+        store.append(batch(spark, (6 * k, k), (6 * k + 1, k + 0.5)), k)
+    want = sorted([*range(12), *(k + 0.5 for k in range(12))])
+    assert temperatures(store) == want
+    store.fold(date(2024, 1, 30))
+    days = [f for f in store.folders() if f.startswith("days/")]
+    assert days == ["days/fold=1/reading_date=2024-01-28", "days/fold=1/reading_date=2024-01-29"]
+    assert all(f.split("=")[-1] >= "2024-01-30" for f in store.folders() if f.startswith("open/"))
+    assert temperatures(store) == want
+    store.fold(date(2024, 2, 1))
+    assert store.folders() == [f"days/fold={v}/reading_date=2024-01-{d}" for v, d in ((1, 28), (1, 29), (2, 30), (2, 31))]
+    assert temperatures(store) == want
+    counted = {r.reading_date.day: r.readings for r in store.day_counts().collect()}
+    assert counted == {28: 6, 29: 8, 30: 8, 31: 2}
+
+
+def test_repeated_and_late_batches(spark, tmp_path):
+    store = ReadingsStore(spark, str(tmp_path))
+    store.append(batch(spark, (0, 1.0), (30, 2.0)), 0)
+    store.append(batch(spark, (1, 3.0)), 1)
+    store.fold(date(2024, 1, 29))
+    store.append(batch(spark, (1, 3.0)), 1)  # again, after its fold
+    assert temperatures(store) == [1.0, 2.0, 3.0]
+    store.append(batch(spark, (2, 4.0), (31, 5.0)), 2)  # a late reading of the folded day
+    assert temperatures(store) == [1.0, 2.0, 3.0, 4.0, 5.0]
+    assert {r.reading_date.day: r.readings for r in store.day_counts().collect()} == {28: 3, 29: 2}
+    store.fold(date(2024, 1, 29))
+    store.append(batch(spark, (2, 4.0), (31, 5.0)), 2)
+    assert temperatures(store) == [1.0, 2.0, 3.0, 4.0, 5.0]
+    store.fold(date(2024, 1, 30))
+    assert temperatures(store) == [1.0, 2.0, 3.0, 4.0, 5.0] and len(store.folders()) == 2
+
+
+@pytest.mark.parametrize("step", ["_commit", "clean"])
+def test_fold_that_breaks_off(spark, tmp_path, monkeypatch, step):
+    store = ReadingsStore(spark, str(tmp_path))
+    store.append(batch(spark, (0, 1.0), (30, 2.0)), 0)
+    store.fold(date(2024, 1, 29))
+    store.append(batch(spark, (1, 3.0)), 1)
+
+    def broken(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(readings_module.ReadingsStore, step, broken)
+        with pytest.raises(OSError):
+            store.fold(date(2024, 1, 31))
+    assert temperatures(store) == [1.0, 2.0, 3.0]
+    store.fold(date(2024, 1, 31))
+    assert temperatures(store) == [1.0, 2.0, 3.0] and len(store.folders()) == 2
+
+
+def test_retention_removes_days(spark, tmp_path):
+    store = ReadingsStore(spark, str(tmp_path))
+    for k in range(4):
+        store.append(batch(spark, (24 * k, k)), k)
+    store.fold(date(2024, 1, 30))
+    store.drop_before(date(2024, 1, 29))
+    assert temperatures(store) == [1.0, 2.0, 3.0]
+    assert not any("2024-01-28" in f for f in store.folders())
+    store.append(batch(spark, (0, 0.0)), 0)  # a repeated batch of a removed day stays away
+    assert temperatures(store) == [1.0, 2.0, 3.0]
+    store.drop_before(date(2024, 1, 31))
+    assert temperatures(store) == [3.0]
+    store.drop_before(date(2024, 1, 1))  # a bound never goes back
+    assert temperatures(store) == [3.0] and [r.readings for r in store.day_counts().collect()] == [1]
+
+
+@pytest.mark.parametrize("wanted", [1, 2, 3, 5, 50])
+def test_newest_readings_by_kept_counts(spark, tmp_path, wanted):
+    """Ties across midnight of a folded and an open day; only the days needed are opened."""
+    store = ReadingsStore(spark, str(tmp_path))
+    store.append(batch(spark, *[(24 * d + h, 10 * d + h) for d in range(2) for h in (0, 1, 1)]), 0)
+    store.fold(date(2024, 1, 29))
+    store.append(batch(spark, (24, 90.0), (48, 91.0)), 1)
+    cfg = replace(CFG, latest_readings=wanted)
+    readings = store.read()
+    latest = telemetry.latest_readings(readings, cfg, store.day_counts())
+    assert latest.collect() == telemetry.latest_readings(readings.drop("reading_date"), cfg).collect()
+    opened = telemetry._newest_days(readings, wanted, store.day_counts())
+    assert opened.select("reading_date").distinct().count() == {1: 1, 2: 2, 3: 2, 5: 2, 50: 3}[wanted]
+    assert not any("/open/" in f or "/days/" in f for f in store.day_counts().inputFiles())
+
+
+def test_store_without_readings(spark, tmp_path):
+    store = ReadingsStore(spark, str(tmp_path / "new"))
+    assert store.read().collect() == [] and store.day_counts().collect() == [] and store.folders() == []
+    store.fold(date(2024, 1, 1))
+    store.append(batch(spark).limit(0), 0)
+    store.append(table(spark, "machine_data", [("M-1", 1.0, 1.0, 1.0, None)]), 1)
+    store.fold(date(2024, 1, 1))
+    assert store.read().count() == 0
+
+
+@pytest.mark.parametrize("variant", [BackwardPlan, ForwardPlan])
+def test_second_batch_opens_no_order_line(spark, tmp_path, variant):
+    src = seed(spark)
+    for name in SCHEMAS:
+        getattr(src, name).write.parquet(f"{tmp_path}/erp/{name}")
+    rows = sorted(src.machine_data.collect(), key=lambda r: r.created_at)
+    planner = Replanner(
+        lambda: from_parquet(spark, f"{tmp_path}/erp"), CFG, f"{tmp_path}/readings", f"{tmp_path}/plans", clock=None,
+        plan=variant, tables=("kpis", "po_summary", "capacity_plan"),
+    )
+    for k, part in enumerate((rows[:8], rows[8:])):
+        planner(table(spark, "machine_data", [tuple(r) for r in part]), k)
+    plan = planner.planned(spark, CFG)
+    for name in variant.REPORTS:
+        files = getattr(plan, name).inputFiles()
+        assert files and not any("/erp/" in f for f in files), name
+    full = variant(src, CFG)
+    for name in ("kpis", "po_summary", "capacity_plan", "mrp_plan"):
+        got = plan.mrp_plan if name == "mrp_plan" else spark.read.parquet(f"{tmp_path}/plans/run=1/{name}")
+        want = getattr(full, name)
+        if "capacity_factor" in want.columns:
+            got, want = (df.withColumn("capacity_factor", F.round("capacity_factor", 12)) for df in (got, want))
+        assert sorted(got.select(want.columns).collect()) == sorted(want.collect()), name
+
+
+def test_new_version_is_planned_anew(spark, tmp_path):
+    base, load = seed(spark), [1]
+    more = base.replaced(parts=base.parts.withColumn("stock_qty", F.col("stock_qty") + 10_000))
+    planner = Replanner(
+        lambda: base if load[0] == 1 else more, CFG, f"{tmp_path}/readings", f"{tmp_path}/plans", clock=None,
+        tables=("po_summary",), version=lambda: load[0],
+    )
+    planner(base.machine_data, 0)
+    first = planner._frozen_folder
+    load[0] = 2
+    planner(base.machine_data.limit(0), 1)
+    assert spark.read.parquet(f"{tmp_path}/plans/run=0/po_summary").count() == 5
+    assert spark.read.parquet(f"{tmp_path}/plans/run=1/po_summary").count() == 0
+    assert planner._frozen_folder != first
+
+
+def test_long_run_keeps_little(spark, tmp_path):
+    """One batch every twelve hours: old days and old runs go, the telemetry window stays whole."""
+    now = [AS_OF]
+    planner = Replanner(
+        seed(spark), CFG, f"{tmp_path}/readings", f"{tmp_path}/plans", clock=lambda: now[0], tables=("capacity_factor",),
+        fold_every=2, keep_days=1, keep_runs=2,
+    )
+    for k in range(6):
+        now[0] = AS_OF + timedelta(hours=12 * k)
+        planner(table(spark, "machine_data", [("M-1", 75.0 + k, 0.01, 1500.0, now[0])]), k)
+    store = ReadingsStore(spark, f"{tmp_path}/readings")
+    days = {f.split("=")[-1] for f in store.folders()}
+    assert min(days) == str((now[0] - timedelta(days=1)).date()) and len(store.folders()) == len(days)
+    window = telemetry.recent_readings(store.read(), planner.current())
+    assert sorted(float(r.temperature) for r in window.collect()) == [78.0, 79.0, 80.0]
+    runs = sorted(p.name for p in (tmp_path / "plans").iterdir() if p.name.startswith("run="))
+    assert runs == ["run=4", "run=5"] and last_run(spark, f"{tmp_path}/plans").endswith("run=5")
