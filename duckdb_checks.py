@@ -349,6 +349,7 @@ _BODIES: dict[str, str] = {
     "risk_parts": "SELECT * FROM risk_list WHERE rank <= 20",
     "risk_parts_feedback": "SELECT * FROM risk_fb WHERE rank <= 20",
     "po_summary": "SELECT * FROM po_full",
+    "po_summary_older_names": "SELECT * FROM po_full",
     "po_summary_feedback": "SELECT * FROM po_fb",
     "po_top10": f"SELECT rank, part_no AS label, {half_even('total_recommended_qty', 2)} AS value FROM po_ranked WHERE rank <= 10",
     "po_top10_feedback": f"SELECT rank, part_no AS label, {half_even('total_recommended_qty', 2)} AS value FROM po_fb_ranked WHERE rank <= 10",

@@ -19,6 +19,8 @@ class PlanConfig:
     telemetry_hours: int = 24
     latest_readings: int = 50
     retention_minutes: int = 30
+    # How long a stream waits for readings of an hour after it has ended.
+    lateness_minutes: int = 30
 
     # Sensor level that is still fine, and level at which the penalty is full.
     temp_base: float = 75.0

@@ -16,18 +16,21 @@ def order_lines(orders: DataFrame, items: DataFrame, cfg: PlanConfig) -> DataFra
     """Lines of uncancelled orders since the cutoff: order_date, product_id, qty.
 
     There is no upper bound, so today's and later orders are kept. Items stored by
-    ``order_date`` (see ``sources.layout`` and ``sources.orders``) are pruned to the window before the
-    join; those of the null day have come before their order and are read always.
+    ``order_date`` (see ``sources.layout``) or ``order_month`` (``sources.orders``) are pruned to the window
+    before the join; those under null have come before their order and are read always.
     An order that holds a large share of all lines is split by the adaptive skew join:
     both sides reach the join straight from their scan's exchange.
     """
-    if "order_date" in orders.columns:
-        orders = orders.filter(f"order_date >= {literal(cfg.history_start)}")
+    month = literal(cfg.history_start.replace(day=1))
+    if "order_month" in orders.columns:
+        orders = orders.filter(f"order_month >= {month}")
     window = orders.filter(
         f"status <> 'cancelled' AND created_at >= {literal(cfg.order_cutoff)}"
     ).selectExpr("id AS order_id", "to_date(created_at) AS order_date")
     if "order_date" in items.columns:
         items = items.filter(f"order_date >= {literal(cfg.history_start)} OR order_date IS NULL")
+    elif "order_month" in items.columns:
+        items = items.filter(f"order_month >= {month} OR order_month IS NULL")
     lines = items.selectExpr("order_id", "try_cast(product_id AS bigint) AS product_id", "quantity AS qty").filter(
         "product_id IS NOT NULL AND qty IS NOT NULL"
     )

@@ -1,4 +1,4 @@
-"""Adapter for the older physical table and column names."""
+"""The older physical table and column names."""
 
 from __future__ import annotations
 
@@ -26,14 +26,46 @@ COLUMN_NAMES = {
 PENDING_STATUS = "未到貨"
 
 
+class Names:
+    """Physical names of tables and columns, and what they are called here; further ones are left alone."""
+
+    def __init__(
+        self,
+        tables: dict[str, str] = TABLE_NAMES,
+        columns: dict[str, dict[str, str]] = COLUMN_NAMES,
+        pending: str = PENDING_STATUS,
+    ) -> None:
+        """Both map physical to logical names, columns by logical table."""
+        self._tables = {logical: physical for physical, logical in tables.items()}
+        self._columns = columns
+        self._pending = pending
+
+    def table(self, name: str) -> str:
+        return self._tables.get(name, name)
+
+    def column(self, table: str, name: str) -> str:
+        physical = {logical: p for p, logical in self._columns.get(table, {}).items()}
+        return physical.get(name, name)
+
+    def logical(self, table: str, df: DataFrame) -> DataFrame:
+        """A physical table under its logical names."""
+        df = df.withColumnsRenamed(self._columns.get(table, {}))
+        if table == "purchase":
+            status = F.when(F.col("status") == self._pending, "pending").otherwise(F.col("status"))
+            df = df.withColumn("status", status)
+        return df
+
+    def physical(self, table: str, df: DataFrame) -> DataFrame:
+        """The way back, for writing a table as the older database has it."""
+        if table == "purchase":
+            status = F.when(F.lower("status") == "pending", self._pending).otherwise(F.col("status"))
+            df = df.withColumn("status", status)
+        return df.withColumnsRenamed({logical: p for p, logical in self._columns.get(table, {}).items()})
+
+
 def adapt_table(name: str, df: DataFrame) -> DataFrame:
     """Logical form of one physical table; other tables pass through."""
-    logical = TABLE_NAMES.get(name, name)
-    df = df.withColumnsRenamed(COLUMN_NAMES.get(logical, {}))
-    if logical == "purchase":
-        status = F.when(F.col("status") == PENDING_STATUS, "pending").otherwise(F.col("status"))
-        df = df.withColumn("status", status)
-    return df
+    return Names().logical(TABLE_NAMES.get(name, name), df)
 
 
 def adapt_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -1,4 +1,4 @@
-"""Orders and their lines in equal buckets of the order number, partitioned by day and load."""
+"""Orders and their lines in equal buckets of the order number, partitioned by month and load."""
 
 from __future__ import annotations
 
@@ -16,11 +16,11 @@ LINE_COLUMNS = {"order_id": "bigint", "product_id": "bigint", "quantity": "int"}
 class OrderStore:
     """Two tables below ``root``: an order and its lines meet in one task without a shuffle.
 
-    Both are partitioned by the day of the order, so a plan opens its window only, and by load. A load
+    Both are partitioned by the month of the order, so a plan opens those of its window only, and by load. A load
     is written once per partition and bucket; written again it replaces itself, so a repeated load is
     stored once and late lines never touch what is there. An order that a later load brings again
-    (a cancelled one, say) takes the place of the earlier one; it keeps the day it was made on. Lines whose order is not known yet lie
-    under the null day, which every plan reads, and find their order when it comes.
+    (a cancelled one, say) takes the place of the earlier one; it keeps the month it was made in. Lines whose order is not known yet lie
+    under the null month, which every plan reads, and find their order when it comes.
 
     The number of buckets belongs to the stored data: open a store with the number it was written with.
     """
@@ -34,9 +34,9 @@ class OrderStore:
     def _register(self, name: str, folder: str, columns: dict[str, str], key: str) -> str:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-        declared = ", ".join(f"{c} {t}" for c, t in {**columns, "order_date": "date", "load": "int"}.items())
+        declared = ", ".join(f"{c} {t}" for c, t in {**columns, "order_month": "date", "load": "int"}.items())
         self.spark.sql(
-            f"CREATE TABLE {name} ({declared}) USING parquet PARTITIONED BY (order_date, load) "
+            f"CREATE TABLE {name} ({declared}) USING parquet PARTITIONED BY (order_month, load) "
             f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{folder}'"
         )
         self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
@@ -48,15 +48,15 @@ class OrderStore:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def _write(self, table: str, rows: DataFrame, key: str, load: int) -> None:
-        # A load that is written again may have lost a day, so the days it had before go first.
+        # A load that is written again may have lost a month, so those it had before go first.
         for (spec,) in self.spark.sql(f"SHOW PARTITIONS {table}").collect():
-            day, stored = spec.split("/")
+            month, stored = spec.split("/")
             if stored == f"load={load}":
-                day = day.removeprefix("order_date=")
-                value = "NULL" if day.startswith("__HIVE") or day == "null" else f"DATE'{day}'"
-                self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (order_date = {value}, load = {load})")
+                month = month.removeprefix("order_month=")
+                value = "NULL" if month.startswith("__HIVE") or month == "null" else f"DATE'{month}'"
+                self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (order_month = {value}, load = {load})")
                 remove_folder(self.spark, f"{self.root}/{table.split('_')[0]}/{spec}")
-        # One task per bucket writes one file for each of its days.
+        # One task per bucket writes one file for each of its months.
         dealt = rows.withColumn("load", F.lit(load)).repartition(self.buckets, key)
         before = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
@@ -68,18 +68,18 @@ class OrderStore:
     def append(self, orders: DataFrame, items: DataFrame, load: int) -> None:
         """Store a load of new orders, and of lines of these or of stored orders."""
         fresh = orders.select(*[F.col(c).cast(t).alias(c) for c, t in ORDER_COLUMNS.items()])
-        fresh = fresh.withColumn("order_date", F.to_date("created_at"))
+        fresh = fresh.withColumn("order_month", F.to_date(F.trunc("created_at", "month")))
         self._write(self._orders, fresh, "id", load)
-        days = self._newest().select(F.col("id").alias("order_id"), "order_date")
+        months = self._newest().select(F.col("id").alias("order_id"), "order_month")
         lines = items.select(*[F.col(c).try_cast(t).alias(c) for c, t in LINE_COLUMNS.items()])
-        self._write(self._lines, lines.join(days, "order_id", "left"), "order_id", load)
+        self._write(self._lines, lines.join(months, "order_id", "left"), "order_id", load)
 
     def _newest(self) -> DataFrame:
         """Each order as its last load has it; both the scan and the grouping keep to the buckets."""
         newest = F.max(F.struct("load", "created_at", "status")).alias("last")
-        grouped = self.spark.table(self._orders).groupBy("order_date", "id").agg(newest)
+        grouped = self.spark.table(self._orders).groupBy("order_month", "id").agg(newest)
         return grouped.select(
-            "id", F.col("last.created_at").alias("created_at"), F.col("last.status").alias("status"), "order_date"
+            "id", F.col("last.created_at").alias("created_at"), F.col("last.status").alias("status"), "order_month"
         )
 
     @property
@@ -88,5 +88,5 @@ class OrderStore:
 
     @property
     def order_items(self) -> DataFrame:
-        """Lines with the day of their order, null where it came after them."""
+        """Lines with the month of their order, null where it came after them."""
         return self.spark.table(self._lines).drop("load")

@@ -7,6 +7,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plantcast.sources.legacy import Names
+
 SCHEMAS = {
     "orders": "id int, created_at timestamp_ntz, status string",
     "order_items": "id int, order_id int, product_id int, quantity int",
@@ -56,9 +58,46 @@ class Sources:
         return Sources(**{**self._tables, **tables})
 
 
-def from_parquet(spark: SparkSession, root: str) -> Sources:
+def declared_columns(table: str) -> list[tuple[str, str]]:
+    """Names and types of a table's columns."""
+    return [tuple(c.split(" ", 1)) for c in SCHEMAS[table].split(", ")]
+
+
+# Columns that stored layouts add as folders.
+LAYOUT_COLUMNS = {"order_date": "date", "load": "int", "reading_date": "date", "batch_id": "bigint"}
+
+
+def _layout(spark: SparkSession, path: str) -> list[str]:
+    """Names of the partition columns below ``path``, from its folders' names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names: list[str] = []
+    while files.exists(folder):
+        inside = [s.getPath() for s in files.listStatus(folder) if s.isDirectory() and "=" in s.getPath().getName()]
+        if not inside:
+            break
+        names.append(inside[0].getName().split("=")[0])
+        folder = inside[0]
+    return names
+
+
+def stored_table(spark: SparkSession, root: str, name: str, names: Names | None = None) -> DataFrame:
+    """One table in its declared schema: no file is opened to learn it, and an empty folder is an empty table.
+
+    ``names`` are the physical names of an older database. They are exchanged right at the scan, so
+    filters and the choice of columns reach the files. Whole numbers of either width fit; a file whose types do not fit stops the query that meets it.
+    """
+    folder = names.table(name) if names else name
+    layout = [f"{c} {LAYOUT_COLUMNS.get(c, 'string')}" for c in _layout(spark, f"{root}/{folder}")]
+    wide = {"int": "bigint"}
+    declared = [f"`{names.column(name, c) if names else c}` {wide.get(t, t)}" for c, t in declared_columns(name)]
+    read = spark.read.schema(", ".join([*declared, *layout])).parquet(f"{root}/{folder}")
+    return names.logical(name, read) if names else read
+
+
+def from_parquet(spark: SparkSession, root: str, names: Names | None = None) -> Sources:
     """Read ``root/<table>``; partition columns of the stored layout are picked up."""
-    return Sources(**{name: partial(spark.read.parquet, f"{root}/{name}") for name in SCHEMAS})
+    return Sources(**{name: partial(stored_table, spark, root, name, names) for name in SCHEMAS})
 
 
 def hash_slices(column: str, slices: int) -> list[str]:
@@ -75,16 +114,21 @@ def jdbc_table(
     properties: dict[str, str] | None = None,
     slices: int = 64,
     physical_name: str | None = None,
+    names: Names | None = None,
 ) -> DataFrame:
     """Read one table over ``slices`` parallel connections.
 
-    Filters, column choice and aggregates are pushed into the database by Spark.
+    Spark pushes filters and the choice of columns into the database. With ``names`` the table has the
+    physical names of an older database; slices are cut on the physical key, and filters on logical
+    columns reach the physical ones.
     """
-    name = physical_name or table
+    name = physical_name or (names.table(table) if names else table)
+    logical = partial(names.logical, table) if names else lambda df: df
+    key = names.column(table, "part_no") if names else "part_no"
     properties = dict(properties or {})
     split = SPLIT_COLUMN.get(table)
     if split is None:
-        return spark.read.jdbc(url, name, predicates=hash_slices("part_no", slices), properties=properties)
+        return logical(spark.read.jdbc(url, name, predicates=hash_slices(key, slices), properties=properties))
     ends = (
         spark.read.format("jdbc")
         .options(url=url, query=f"SELECT MIN({split}) AS lo, MAX({split}) AS hi FROM {name}", **properties)
@@ -92,14 +136,16 @@ def jdbc_table(
         .first()
     )
     lo, hi = (ends[0] or 0), (ends[1] or 0)
-    return spark.read.jdbc(
-        url,
-        name,
-        column=split,
-        lowerBound=int(lo),
-        upperBound=int(hi) + 1,
-        numPartitions=slices,
-        properties={"pushDownAggregate": "true", **properties},
+    return logical(
+        spark.read.jdbc(
+            url,
+            name,
+            column=split,
+            lowerBound=int(lo),
+            upperBound=int(hi) + 1,
+            numPartitions=max(1, min(slices, int(hi) + 1 - int(lo))),
+            properties={"preferTimestampNTZ": "true", **properties},
+        )
     )
 
 
@@ -110,10 +156,15 @@ def from_jdbc(
     orders_properties: dict[str, str] | None = None,
     erp_properties: dict[str, str] | None = None,
     slices: int = 64,
+    erp_names: Names | None = None,
 ) -> Sources:
-    """Order tables from one database, materials and telemetry from another."""
+    """Order tables from one database, materials and telemetry from another, which may have older names."""
     shop = ("orders", "order_items")
     return Sources(
         **{t: partial(jdbc_table, spark, orders_url, t, orders_properties, slices) for t in shop},
-        **{t: partial(jdbc_table, spark, erp_url, t, erp_properties, slices) for t in SCHEMAS if t not in shop},
+        **{
+            t: partial(jdbc_table, spark, erp_url, t, erp_properties, slices, names=erp_names)
+            for t in SCHEMAS
+            if t not in shop
+        },
     )

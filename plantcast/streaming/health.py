@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from plantcast.config import PlanConfig
 from plantcast.operators.telemetry import reading_health
@@ -19,13 +22,14 @@ def rolling_health(readings: DataFrame, cfg: PlanConfig, slide: str = "1 hour")
 
     Readings are first summed per machine and slide, and the windows are built from those
     sums: a reading is not copied into every window it belongs to. A slide closes when the
-    watermark, which trails by the retention time, passes its end; later readings of it are
-    dropped. Window ends fall on multiples of ``slide``.
+    watermark, which trails by ``lateness_minutes``, passes its end; later readings of it are
+    dropped and counted by ``LateRows``. Within that time the result does not depend on how the
+    readings are cut into batches. Window ends fall on multiples of ``slide``.
     """
     scored = reading_health(readings, cfg).withColumn("created_at", F.col("created_at").cast("timestamp"))
     slots = (
         scored.filter("machine_id IS NOT NULL")
-        .withWatermark("created_at", f"{cfg.retention_minutes} minutes")
+        .withWatermark("created_at", f"{cfg.lateness_minutes} minutes")
         .groupBy("machine_id", F.window("created_at", slide).alias("slot"))
         .agg(F.expr("sum(health_score) AS health"), F.expr("count(*) AS readings"))
     )
@@ -43,8 +47,35 @@ def rolling_health(readings: DataFrame, cfg: PlanConfig, slide: str = "1 hour")
     )
 
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is available and append it to Parquet files."""
+class LateRows(StreamingQueryListener):
+    """Counts what streams drop because it comes behind the watermark, by query name or id.
+
+    Spark counts rows as they reach the state: readings of one machine and slide that came together
+    are one row there. Add it with ``spark.streams.addListener``.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        # Only the first operator meets readings; those behind it get what it has let through.
+        operators = p.stateOperators
+        if operators:
+            self.dropped[p.name or str(p.id)] += operators[-1].numRowsDroppedByWatermark
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> int:
+    """Process what is available, append it to Parquet files; the number of rows that came too late."""
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")
@@ -54,3 +85,5 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+    operators = [p["stateOperators"][-1] for p in query.recentProgress if p["stateOperators"]]
+    return sum(o["numRowsDroppedByWatermark"] for o in operators)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from seed import AS_OF, CFG, seed, sources, table
 
 from plantcast import BackwardPlan, ForwardPlan
-from plantcast.operators import demand, telemetry
+from plantcast.operators import demand, materials, telemetry
 from plantcast.operators.checks import MissingInput
 from plantcast.plans.publish import publish
 from plantcast.sources import tables
+from plantcast.sources.legacy import Names
 from plantcast.sources.layout import write_items_by_day
 from plantcast.sources.store import append_readings, work_folder, write_tables
 
@@ -173,6 +174,47 @@ def test_range_bounds_of_split_tables(spark, monkeypatch):
     assert len(calls["predicates"]) == 2 and calls["name"] == "零件"
 
 
+def test_older_names_are_exchanged_at_the_scan(spark, tmp_path):
+    """Tables under their physical names: the same plan, and filters reach the files."""
+    src, names = seed(spark), Names()
+    for name in tables.SCHEMAS:
+        names.physical(name, getattr(src, name)).write.parquet(f"{tmp_path}/{names.table(name)}")
+    assert {"bom主檔", "bom明細", "零件"} <= set(os.listdir(tmp_path))
+    stored = tables.from_parquet(spark, str(tmp_path), names)
+    assert sorted(BackwardPlan(stored, CFG).po_summary.collect()) == sorted(BackwardPlan(src, CFG).po_summary.collect())
+    plan = materials.incoming_arrays(stored.purchase, CFG)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(`交貨日期`" in plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "id" not in plan.split("ReadSchema: struct<")[1].split(">")[0].split(":")
+
+
+def test_declared_tables(spark, tmp_path):
+    """Empty folders are empty tables; no job runs to learn a schema; a type that does not fit stops the query."""
+    for name in tables.SCHEMAS:
+        os.makedirs(tmp_path / name)
+    empty = tables.from_parquet(spark, str(tmp_path))
+    assert BackwardPlan(empty, CFG).po_summary.collect() == []
+    assert [r.row_count for r in BackwardPlan(empty, CFG).input_checks.collect()] == [0, 0]
+    spark.sql("SELECT 'x' AS part_no, 'many' AS stock_qty, 1 AS safety_stock").write.mode("append").parquet(f"{tmp_path}/parts")
+    with pytest.raises(Exception, match="(?i)convert"):
+        empty.replaced(parts=tables.stored_table(spark, str(tmp_path), "parts")).parts.collect()
+    assert tables._layout(spark, f"{tmp_path}/parts") == []
+
+
+def test_slices_on_the_physical_key(spark):
+    calls = {}
+
+    class Session:
+        class read:
+            @staticmethod
+            def jdbc(url, name, **options):
+                calls.update(options, name=name)
+                return spark.createDataFrame([("p", 1, 2)], "`圖號` string, `數量` int, `安全量` int")
+
+    df = tables.jdbc_table(Session(), "jdbc:x", "parts", slices=2, names=Names())
+    assert calls["name"] == "零件" and all("圖號" in p for p in calls["predicates"])
+    assert df.columns == ["part_no", "stock_qty", "safety_stock"]
+
+
 def test_seed_tables_load(spark):
     src = seed(spark)
     assert src.orders.count() == 30

@@ -1,5 +1,6 @@
 """Streams against their batch counterparts."""
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +10,7 @@ from seed import AS_OF, CFG, seed, sources, table
 from plantcast import BackwardPlan, ForwardPlan
 from plantcast.operators import telemetry
 from plantcast.operators.checks import MissingInput
-from plantcast.streaming.health import rolling_health, run_to_files, score_stream
+from plantcast.streaming.health import LateRows, rolling_health, run_to_files, score_stream
 from plantcast.streaming.replan import Replanner, last_run
 
 SCHEMA = "machine_id string, temperature double, vibration double, rpm double, created_at timestamp_ntz"
@@ -65,6 +66,45 @@ def test_reading_behind_the_watermark_is_dropped(spark, tmp_path):
     assert rows.groupBy("machine_id", "window_start").count().filter("count > 1").count() == 0
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    """Two machines late by more than the bound in a batch that moves on; one within it is used."""
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    cfg = replace(CFG, lateness_minutes=90)
+    late = LateRows()
+    spark.streams.addListener(late)
+    try:
+        arrive(spark, src, reading(NOON), reading(NOON + timedelta(hours=5)))
+        assert run_to_files(rolling_health(stream(spark, src), cfg), out, state) == 0
+        arrive(
+            spark, src, reading(NOON + timedelta(hours=1), machine="A"), reading(NOON + timedelta(hours=1), machine="B"),
+            reading(NOON + timedelta(hours=4), 95.0), reading(NOON + timedelta(hours=40)),
+        )
+        assert run_to_files(rolling_health(stream(spark, src), cfg), out, state) == 2
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(late)
+    assert sum(late.dropped.values()) == 2
+    used = spark.read.parquet(out).filter(F.col("window_end") == F.lit(NOON + timedelta(hours=6)).cast("timestamp_ntz"))
+    assert [(r.machine_id, r.readings) for r in used.collect()] == [("M-1", 3)]
+
+
+def test_batches_cut_anywhere_give_the_same(spark, tmp_path):
+    cfg = replace(CFG, lateness_minutes=240)
+    rows = [reading(NOON + timedelta(hours=h), 70.0 + h, f"M-{h % 2}") for h in (0, 2, 1, 4, 3, 5, 2, 6)]
+    results = []
+    for k, cuts in enumerate(([8], [3, 8], [1, 2, 5, 8])):
+        src, out, state = (str(tmp_path / f"{n}{k}") for n in ("in", "out", "state"))
+        dropped, low = 0, 0
+        for high in cuts:
+            arrive(spark, src, *rows[low:high])
+            dropped, low = dropped + run_to_files(rolling_health(stream(spark, src), cfg), out, state), high
+        arrive(spark, src, reading(NOON + timedelta(hours=99), machine="end"))
+        dropped += run_to_files(rolling_health(stream(spark, src), cfg), out, state)
+        found = spark.read.parquet(out).withColumn("machine_health", F.round("machine_health", 12))
+        results.append((dropped, sorted(found.collect())))
+    assert results[0] == results[1] == results[2] and results[0][0] == 0 and results[0][1]
+
+
 def test_replan_keeps_up_with_batches(spark, tmp_path):
     inbox, out = str(tmp_path / "in"), str(tmp_path / "plans")
     base = seed(spark)
