@@ -6,10 +6,13 @@ substitutions of one character); lines under ``min_chars`` characters always sta
 
 Two lines within t edits share one of t + 1 even segments, at a position that the difference of
 their lengths allows. Every distinct line puts its segments into an index by (length, segment) and
-probes the index for its own length and up to t less. Keys that more than ``hot_lines`` lines have
-are not joined: for t = 1 their lines are cut finer instead, into ``fine`` pieces, and meet again
-only if everything before and after one piece agrees. Candidates are verified with a banded
-bit-parallel edit distance.
+probes the index for its own length and up to t less. Candidates are verified with a banded
+bit-parallel edit distance. Keys that more than ``hot_lines`` lines have are not joined for t = 1: their
+lines are cut finer, into ``fine`` pieces, and looked at where everything before and after one piece
+agrees with another line. There a line is left without each of the piece's characters in turn. Lines of
+one length that are equal without the same place are one edit apart, all with all, so the earliest
+of them comes from an aggregation; a line that is another one without a character meets that one only.
+No pairs of a large group are made, and the rows grow with its size.
 
 Defined results: null texts stay null and empty texts empty; a null doc_id comes first in the
 order; repeated rows (same doc_id and text) are treated alike, each keeps what the first one keeps;
@@ -73,16 +76,49 @@ def probe_keys(line: Column, threshold: int) -> list[Column]:
     return keys
 
 
-def _fine_keys(line: Column, less: int, fine: int) -> list[Column]:
-    """For one edit: everything but one of ``fine`` pieces, in the cut of a line ``less`` characters shorter."""
+def _fine_pieces(line: Column, less: int, fine: int) -> list[Column]:
+    """For one edit: (key, start, stop) of each of ``fine`` pieces in the cut of a line ``less`` characters shorter.
+
+    The key is of everything but the piece, which has ``less`` characters more here.
+    """
     length = F.length(line) - less
-    keys = []
+    pieces = []
     for i in range(fine):
-        start, stop = F.floor(length * i / fine), F.floor(length * (i + 1) / fine)
+        start, stop = F.floor(length * i / fine).cast("int"), F.floor(length * (i + 1) / fine).cast("int")
         before = F.substr(line, F.lit(1), start)
         after = F.substr(line, stop + 1 + less, F.length(line))
-        keys.append(F.xxhash64(F.lit(i), length, before, after))
-    return keys
+        key = F.xxhash64(F.lit(i), length, before, after)
+        pieces.append(F.struct(key.alias("key"), start.alias("start"), (stop + less).alias("stop"), F.lit(less).alias("less")))
+    return pieces
+
+
+def hot_partners(texts: DataFrame, fine: int, folder: str) -> DataFrame:
+    """(h1, h2, partner): the least ``first`` of lines at most one edit away, from (h1, h2, line, first).
+
+    A line may be its own partner; lines without another one may be missing.
+    """
+    line = F.col("line")
+    pieces = texts.select(*LINE, F.inline(F.array(*_fine_pieces(line, 0, fine), *_fine_pieces(line, 1, fine))))
+    shared = pieces.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    places = pieces.filter("start < stop").join(shared, "key").select(*LINE, "start", "stop", "less")
+    places = staged(places, f"{folder}/places")
+    without = F.concat(F.substr(line, F.lit(1), F.col("p")), F.substr(line, F.col("p") + 2, F.length(line)))
+    cut = (
+        places.join(texts, LINE)
+        .withColumn("p", F.explode(F.sequence("start", F.col("stop") - 1)))
+        .select(*LINE, "first", "less", "p", F.xxhash64(without).alias("r1"), F.xxhash64(F.lit("second"), without).alias("r2"))
+        .distinct()
+    )
+    cut = staged(cut, f"{folder}/cut")
+    same_length = cut.filter("less = 0").drop("less")
+    earliest = same_length.groupBy("r1", "r2", "p").agg(F.min("first").alias("partner"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    replaced = same_length.join(earliest, ["r1", "r2", "p"]).select(*LINE, "partner")
+    shorter = texts.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("first").alias("short_first"))
+    longer = cut.filter("less = 1").join(shorter, ["r1", "r2"])
+    gained = longer.select(*LINE, F.col("short_first").alias("partner"))
+    lost = longer.groupBy("r1", "r2").agg(F.min("first").alias("partner")).select(F.col("r1").alias("h1"), F.col("r2").alias("h2"), "partner")
+    found = replaced.union(gained).union(lost).groupBy(*LINE).agg(F.min("partner").alias("partner"))
+    return staged(found, f"{folder}/hot_partners")
 
 
 def within_edits(a: Column, b: Column, threshold: int) -> Column:
@@ -160,8 +196,8 @@ def _keyed(lines: DataFrame, index: list[Column], probe: list[tuple[Column, bool
 
 def near_lines(
     documents: DataFrame, lines: DataFrame, folder: str, threshold: int, min_chars: int, hot_lines: int, fine: int
-) -> DataFrame:
-    """Verified pairs of distinct lines (x, y as structs of both hashes) within ``threshold`` edits."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """Verified pairs of distinct lines (x, y as structs of both hashes) within ``threshold`` edits, and partners by hot keys."""
     keys = F.col("keys")
     n_index = threshold + 1
     n_own = len([s for i in range(n_index) for s in range(-i, i + 1) if abs(s) <= threshold - i])
@@ -177,42 +213,37 @@ def near_lines(
         is_hot = hot.limit(1).count() > 0
     else:
         is_hot = False
+    partners = None
     if is_hot:
         small_hot = broadcast_if_few(hot)
         hot_ids = index.join(small_hot, "key", "left_semi").select(*LINE)
         hot_ids = hot_ids.union(probe.join(small_hot, "key", "left_semi").select(*LINE)).distinct()
         hot_ids = staged(hot_ids, f"{folder}/hot_lines")
         texts = _occurrences(documents, min_chars).join(broadcast_if_few(hot_ids), LINE, "left_semi")
-        texts = texts.groupBy(*LINE).agg(F.first("line").alias("line"))
-        line = F.col("line")
-        finer, finer_probe = _keyed(
-            staged(texts, f"{folder}/hot_texts"),
-            _fine_keys(line, 0, fine),
-            [(k, True) for k in _fine_keys(line, 0, fine)] + [(k, False) for k in _fine_keys(line, 1, fine)],
-        )
+        texts = texts.groupBy(*LINE).agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "th", "pos")).alias("first"))
+        partners = hot_partners(staged(texts, f"{folder}/hot_texts"), fine, folder)
         index = index.join(small_hot, "key", "left_anti")
-        pairs = _joined(index, probe).union(_joined(finer, finer_probe)).distinct()
-    else:
-        pairs = _joined(index, probe).distinct()
+    pairs = _joined(index, probe).distinct()
     pairs = staged(pairs, f"{folder}/pairs")
     ids = pairs.select("x.*").union(pairs.select("y.*")).distinct()
     texts = _occurrences(documents, min_chars).join(broadcast_if_few(staged(ids, f"{folder}/ids")), LINE, "left_semi")
     texts = staged(texts.groupBy(*LINE).agg(F.first("line").alias("line")), f"{folder}/texts")
     side = {s: texts.select(F.struct(*LINE).alias(s), F.col("line").alias(f"{s}_line")) for s in "xy"}
-    return (
+    near = (
         pairs.join(side["x"], "x")
         .join(side["y"], "y")
         .repartition(scan_tasks(documents), "x", "y")
         .filter(within_edits(F.col("x_line"), F.col("y_line"), threshold))
         .select("x", "y")
     )
+    return near, partners
 
 
 def dedup_lines(
     documents: DataFrame,
     threshold: int = 1,
     min_chars: int = 40,
-    hot_lines: int = 256,
+    hot_lines: int = 32,
     fine: int = 32,
 ) -> DataFrame:
     """The documents with their text reduced, and the longs ``n_lines`` and ``dropped_lines``."""
@@ -226,11 +257,14 @@ def dedup_lines(
         .agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     )
     lines = staged(lines, f"{folder}/lines")
-    near = staged(near_lines(documents, lines, folder, threshold, min_chars, hot_lines, fine), f"{folder}/near")
+    near, hot = near_lines(documents, lines, folder, threshold, min_chars, hot_lines, fine)
+    near = staged(near, f"{folder}/near")
     both = near.union(near.selectExpr("y", "x"))
     firsts = lines.select(F.struct(*LINE).alias("y"), F.col("first").alias("y_first"))
-    partners = both.join(firsts, "y").groupBy("x").agg(F.min("y_first").alias("partner"))
-    partners = staged(partners.select("x.*", "partner"), f"{folder}/partners")
+    partners = both.join(firsts, "y").groupBy("x").agg(F.min("y_first").alias("partner")).select("x.*", "partner")
+    if hot is not None:
+        partners = partners.union(hot).groupBy(*LINE).agg(F.min("partner").alias("partner"))
+    partners = staged(partners, f"{folder}/partners")
     decided = (
         lines.join(partners, LINE, "left")
         .withColumn("gone", F.coalesce(F.col("partner") < F.col("first"), F.lit(False)))
@@ -247,10 +281,12 @@ def dedup_lines(
         .agg(F.collect_set("pos").alias("gone_lines"))
     )
     dropped = staged(dropped, f"{folder}/dropped")
-    for name in ("hot", "hot_lines", "hot_texts", "pairs", "ids", "texts", "lines", "near", "partners", "decided"):
+    for name in ("hot", "hot_lines", "hot_texts", "places", "cut", "hot_partners", "pairs", "ids", "texts", "lines", "near", "partners", "decided"):
         drop_folder(spark, f"{folder}/{name}")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone_lines", i))
-    columns = [c for c in documents.columns if c not in ("n_lines", "dropped_lines")]
+    parts = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone_lines")
+    kept = F.transform(stay, lambda i: F.get(parts, i))
+    columns = [c for c in documents.columns if c not in ("n_lines", "dropped_lines")]  # these are replaced
     # The hash is a column of its own, so that the join's sort does not compute it at every comparison.
     others = F.struct(*[c for c in columns if c != "text"]).alias("document")
     hashed = documents.select(others, "text", F.xxhash64("text").alias("th"), "doc_id")
