@@ -6,8 +6,9 @@ when den * intersection >= num * union. In any common order of the hashes, such
 first n - ceil(num n / den) + 1, which bring them together in buckets. The order puts the most common
 shingles last, so that a passage or line of many documents brings few of them together; it is otherwise by
 value. Which shingles count as common decides on the size of buckets only, never on the result, so their
-list can be bounded: those that more than ``COMMON`` documents have, the ``MOST_COMMON`` first of them. Each set also has a count vector: its hashes dealt
-into groups (an eighth to a quarter as many as the set is large, a power of two). The sum of the coordinates'
+list can be bounded and estimated: each run of rows of a task reports the shingles that more than one of them has,
+and those with more than ``COMMON`` reports in all are taken, the ``MOST_COMMON`` first of them. Each set also
+has a count vector: its hashes dealt into groups (half as many as the set is large or more, a power of two). The sum of the coordinates'
 minima bounds the intersection. Within buckets, points are packed into R-trees whose nodes hold the
 maxima of their coordinates and the range of sizes. A set that meets another first at its k-th shingle
 shares no more than what is left from there, which bounds the intersection too. Pairs that the bounds let
@@ -66,7 +67,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]
 
 def group_counts(shingles: np.ndarray) -> np.ndarray:
     """Counts by group in one byte each; a power of two groups, at least 8 and as many as that takes."""
-    groups = 1 << max(3, len(shingles).bit_length() - 3)
+    groups = 1 << max(3, len(shingles).bit_length() - 1)
     while True:
         counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
         if counts.max() < 256:
@@ -80,12 +81,13 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def common_shingles(documents: DataFrame, width: int, num: int, den: int) -> np.ndarray:
-    """Sorted shingles that come last in the order; counted over all documents, at thrice their prefix."""
+    """Sorted shingles that come last in the order, from thrice the prefix of every document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads = [s[: 3 * prefix_length(len(s), num, den)] for _, s in shingle_sets(batch.column(0), width)]
             keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *heads]), return_counts=True)
+            keys, n = keys[n > 1], n[n > 1]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
     counts = documents.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
