@@ -8,7 +8,7 @@ shingles last, so that a passage or line of many documents brings few of them to
 value. Which shingles count as common decides on the size of buckets only, never on the result, so their
 list can be bounded and estimated: each run of rows of a task reports the shingles that more than one of them has,
 and those with more than ``COMMON`` reports in all are taken, the ``MOST_COMMON`` first of them. Each set also
-has a count vector: its hashes dealt into groups (half as many as the set is large or more, a power of two). The sum of the coordinates'
+has a count vector: its hashes dealt into groups (a quarter to a half as many as the set is large, a power of two). The sum of the coordinates'
 minima bounds the intersection. Within buckets, points are packed into R-trees whose nodes hold the
 maxima of their coordinates and the range of sizes. A set that meets another first at its k-th shingle
 shares no more than what is left from there, which bounds the intersection too. Pairs that the bounds let
@@ -66,12 +66,13 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def group_counts(shingles: np.ndarray) -> np.ndarray:
-    """Counts by group in one byte each; a power of two groups, at least 8 and as many as that takes."""
-    groups = 1 << max(3, len(shingles).bit_length() - 1)
+    """Counts by group, below 16 each and two in a byte; a power of two groups, at least 8 and as many as that takes."""
+    groups = 1 << max(3, len(shingles).bit_length() - 2)
     while True:
         counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-        if counts.max() < 256:
-            return counts.astype(np.uint8)
+        if counts.max() < 16:
+            counts = counts.astype(np.uint8)
+            return counts[0::2] | counts[1::2] << 4
         groups *= 2
 
 
@@ -132,12 +133,13 @@ def document_sets(documents: DataFrame, width: int, num: int, den: int, common:
 
 
 class Points:
-    """Count vectors of different lengths, by row."""
+    """Count vectors of different lengths, by row, from two counts in a byte."""
 
     def __init__(self, blobs: list[bytes]) -> None:
-        self.groups = np.array([len(b) for b in blobs], np.int64)
+        self.groups = np.array([2 * len(b) for b in blobs], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.groups)])
-        self.flat = np.frombuffer(b"".join(blobs), np.uint8)
+        pairs = np.frombuffer(b"".join(blobs), np.uint8)
+        self.flat = np.stack([pairs & 15, pairs >> 4], 1).ravel()
 
     def folded(self, rows: np.ndarray, groups: int) -> np.ndarray:
         """Matrix of the rows' counts, groups beyond ``groups`` added to those of equal low bits."""
