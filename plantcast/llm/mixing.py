@@ -15,7 +15,8 @@ copies by a hash of doc_id and text.
 
 Defined results: null and empty texts have size 0 and one copy; a null source is a source of its own;
 repeated rows get equal copies, which can move a source from its target by their size; sources
-without words have target 0. An empty table gives an empty table. Further columns pass through.
+without words have target 0. An empty table gives an empty table. Further columns pass through
+unchanged; an input column named like one of the four results is replaced by it.
 """
 
 from __future__ import annotations
@@ -148,8 +149,8 @@ def mix_sources(documents: DataFrame, share: float = 1.5, limit: int = 2) -> Dat
     """The documents with the longs ``size``, ``source_size``, ``copies`` and the double ``target``."""
     spark = documents.sparkSession
     folder = work_folder(spark, "mix")
-    columns = [c for c in documents.columns if c not in ("size", "source_size", "copies", "target", *SOURCE, "draw")]
-    slim = staged(_keyed(documents).select(*SOURCE, "size", "draw"), f"{folder}/slim")
+    columns = [c for c in documents.columns if c not in ("size", "source_size", "target", "copies")]
+    slim = staged(_keyed(documents.select("doc_id", "text", "source")).select(*SOURCE, "size", "draw"), f"{folder}/slim")
     counts = staged(slim.groupBy(*SOURCE, "size").agg(F.count("*").alias("n")), f"{folder}/counts")
     targets = staged(source_targets(counts, share, limit), f"{folder}/targets")
     state = multipliers(counts, targets, folder, limit)
@@ -180,7 +181,9 @@ def mix_sources(documents: DataFrame, share: float = 1.5, limit: int = 2) -> Dat
     chosen = groups.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).join(last, [*key, "slice"], "left")
     chosen = staged(chosen.select(*key, "slice", "slices", "each", "upto_draw"), f"{folder}/chosen")
     sources = targets.select(*SOURCE, "source_size", "target")
-    rows = _keyed(documents.select(*columns))
+    # all input columns travel in one, so none meets a column made here
+    packed = documents.select("doc_id", "text", "source", F.struct(*columns).alias("document"))
+    rows = _keyed(packed).drop("doc_id", "text", "source")
     plain = groups.select(*key, F.col("slices").alias("cut"))
     cut = rows.join(broadcast_if_few(plain), key).withColumn("slice", F.pmod("draw", "cut"))
     picked = cut.join(broadcast_if_few(chosen), [*key, "slice"])
@@ -188,4 +191,4 @@ def mix_sources(documents: DataFrame, share: float = 1.5, limit: int = 2) -> Dat
     mixed = picked.withColumn("copies", copies.cast("long")).join(broadcast_if_few(sources), SOURCE)
     for name in ("slim", "counts"):
         drop_folder(spark, f"{folder}/{name}")
-    return mixed.select(*columns, "size", "source_size", "target", "copies")
+    return mixed.select(*[F.col("document")[c].alias(c) for c in columns], "size", "source_size", "target", "copies")

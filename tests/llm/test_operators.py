@@ -466,3 +466,35 @@ def test_stage_dedup_lines_and_mix(spark, stage_rows, empty):
     assert mixed.columns == [*docs.columns, "copy"] and set(rows_of(mixed)) <= set(rows)
     for stage in (corpus_pipeline.dedup_lines, corpus_pipeline.mix):
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, stage_rows, empty):
+    docs, rows, _, _, copied, folder = stage_rows
+    names = ["_row", "_first", "th", "size", "draw", "no_source", "source_key", "slice", "copies", "target", "n_lines", "gone_lines", "document"]
+    wide = docs.drop("th").withColumns({c: F.concat(F.lit(c), F.col("n_chars")) for c in names})
+    wide = wide.union(wide.limit(0))
+    stages = [corpus_pipeline.dedup_lines, corpus_pipeline.dedup_documents, corpus_pipeline.drop_contaminated, corpus_pipeline.mix]
+    for stage in stages:
+        found = stage(spark, wide, folder)
+        assert [c for c in found.columns if c != "copy"] == wide.columns
+        lengths = {f"{len(t or '')}" for _, t in rows}
+        assert all(r[c].removeprefix(c) in lengths for r in found.collect() for c in names)
+
+
+def test_stage_drops_documents_left_with_white_space(spark, stage_rows):
+    folder = stage_rows[-1]
+    line = sentence(random.Random(21), 12)
+    texts = [line, line + "\n", "\t\n" + line, line + "\n\x0b rest", "\n", None]
+    docs = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], DOC)
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, folder).collect()}
+    assert kept == {0: line, 3: "\x0b rest", 4: "\n", 5: None}
+
+
+def test_mix_sources_keeps_other_columns(spark, odd):
+    wide = odd.withColumns({c: F.lit(c) for c in ("draw", "no_source", "source_key", "slice", "cut", "each", "document", "size")})
+    mixed = mixing.mix_sources(wide)
+    assert set(mixed.columns) == {*wide.columns, "source_size", "target", "copies"}
+    kept = ["draw", "no_source", "source_key", "slice", "cut", "each", "document"]
+    assert mixed.count() == odd.count() and {tuple(r) for r in mixed.select(*kept).collect()} == {tuple(kept)}
+    same = mixing.mix_sources(odd).select("doc_id", "text", "copies")
+    assert mixed.select("doc_id", "text", "copies").exceptAll(same).count() == 0
