@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantcast.llm import contamination, jaccard, lines, mixing, toxicity
@@ -13,31 +13,36 @@ ORACLE_SQL = None  # boosted trees cannot be written in SQL; the stages are test
 
 
 def _row() -> Column:
-    """What a stage decides on: a doc_id, also null, with its text."""
-    return F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("th"))
+    """What a stage decides on: a doc_id, also null, with two hashes of its text."""
+    return F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("th"), F.xxhash64(F.lit("second"), "text").alias("th2"))
 
 
 def _without(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """Documents that are not among ``rows``, structs as of ``_row`` in their only column."""
-    keyed = documents.withColumn("_row", _row())
-    return keyed.join(broadcast_if_few(rows.toDF("_row")), "_row", "left_anti").select(*documents.columns)
+    keyed = documents.select(_row().alias("_row"), F.struct(*documents.columns).alias("document"))
+    kept = keyed.join(broadcast_if_few(rows.toDF("_row")), "_row", "left_anti")
+    return kept.select(*[F.col("document")[c].alias(c) for c in documents.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that score ``REJECT_SCORE`` or more; the model learns from the labelled ones."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    scored = toxicity.Model(docs, labels).score(hashed, ["doc_id", "th"])
-    rejected = scored.filter(F.col("score") >= REJECT_SCORE).select(F.struct("doc_id", "th").alias("_row"))
+    hashed = docs.select("text", _row().alias("_row")).select("text", "_row.*")
+    scored = toxicity.Model(docs.select("doc_id", "text"), labels).score(hashed, ["doc_id", "th", "th2"])
+    rejected = scored.filter(F.col("score") >= REJECT_SCORE).select(F.struct("doc_id", "th", "th2").alias("_row"))
     return _without(docs, staged(rejected.distinct(), work_folder(spark, "rejected")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that occurred before, and documents of which only white space is left."""
-    reduced = lines.dedup_lines(docs.select(*docs.columns))
-    emptied = (F.col("dropped_lines") > 0) & (F.trim("text") == "")
+    packed = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("others"))
+    reduced = lines.dedup_lines(packed)
+    emptied = (F.col("dropped_lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = reduced.filter(~F.coalesce(emptied, F.lit(False)))
-    return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    return kept.select(*[made.get(c, F.col("others")[c]).alias(c) for c in docs.columns])
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +61,10 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     lost = counted.join(broadcast_if_few(best), "component_id").filter("NOT _row <=> best").select("_row")
     lost = staged(lost, work_folder(spark, "lost"))
     repeated = counted.filter("n > 1").join(broadcast_if_few(lost), "_row", "left_anti").select("_row")
-    again = docs.withColumn("_row", _row()).join(broadcast_if_few(repeated), "_row", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_row").orderBy("source", "lang"))
-    again = again.withColumn("_first", first).filter("_first = 1").select(*docs.columns)
-    return _without(docs, lost.union(repeated)).unionByName(again)
+    again = docs.select(_row().alias("_row"), F.struct(*docs.columns).alias("document"))
+    again = again.join(broadcast_if_few(repeated), "_row", "left_semi").groupBy("_row")
+    again = again.agg(F.min_by("document", F.struct("document.source", "document.lang")).alias("document"))
+    return _without(docs, lost.union(repeated)).unionByName(again.select(*[F.col("document")[c].alias(c) for c in docs.columns]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +76,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix_sources(docs).filter("copies > 0")
-    copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return copies.select(*[c for c in docs.columns if c != "copy"], "copy")
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("document"))
+    mixed = mixing.mix_sources(packed).filter("copies > 0")
+    copies = mixed.select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return copies.select(*[F.col("document")[c].alias(c) for c in docs.columns if c != "copy"], "copy")
 
 
 STAGES = [
