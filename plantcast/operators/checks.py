@@ -14,12 +14,16 @@ class MissingInput(ValueError):
     """A plan was asked for without stock or without orders."""
 
 
+def _checked(history: DataFrame, cfg: PlanConfig, parts: DataFrame | None) -> list[tuple[str, DataFrame, str]]:
+    """Name, table and the message if it is empty."""
+    found = [("order_history", history, f"no orders in the last {cfg.lookback_days} days")]
+    if parts is not None:
+        found.append(("parts", parts, "the parts table is empty, inventory cannot be projected"))
+    return found
+
+
 def input_checks(history: DataFrame, cfg: PlanConfig, parts: DataFrame | None = None) -> DataFrame:
     """One row per check: name, rows found, passed, message."""
-    no_orders = f"no orders in the last {cfg.lookback_days} days"
-    counted = [("order_history", history, no_orders)]
-    if parts is not None:
-        counted.append(("parts", parts, "the parts table is empty, inventory cannot be projected"))
     checks = [
         df.agg(F.count("*").alias("row_count")).select(
             F.lit(name).alias("check_name"),
@@ -27,7 +31,7 @@ def input_checks(history: DataFrame, cfg: PlanConfig, parts: DataFrame | None =
             (F.col("row_count") > 0).alias("passed"),
             F.when(F.col("row_count") == 0, message).alias("message"),
         )
-        for name, df, message in counted
+        for name, df, message in _checked(history, cfg, parts)
     ]
     return reduce(DataFrame.unionByName, checks)
 
@@ -39,6 +43,16 @@ def require_inputs(checks: DataFrame) -> None:
         raise MissingInput(failed.message)
 
 
+def require_rows(products: DataFrame, cfg: PlanConfig, parts: DataFrame | None = None) -> None:
+    """The same checks on a table that the plan has written: no counts, and no join of the order lines.
+
+    ``products`` has one row per product of the order history, so it is empty exactly if the history is.
+    """
+    for _, table, message in _checked(products, cfg, parts):
+        if table.isEmpty():
+            raise MissingInput(message)
+
+
 def source_profile(tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
     """Rows and time range of every table; ``tables`` maps a name to table and time column."""
 

@@ -46,6 +46,10 @@ class BackwardPlan:
         """Go on from frozen tables instead of orders, bills, stock and purchases."""
         self.__dict__.update(frozen)
 
+    def require_inputs(self, products: DataFrame) -> None:
+        """Raise ``MissingInput`` if a written table of products, or another needed one, is empty."""
+        checks.require_rows(products, self.cfg, self.sources.parts)
+
     # Telemetry and capacity
 
     @cached_property

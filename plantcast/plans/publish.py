@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from plantcast.operators.checks import require_inputs
 from plantcast.plans.backward import BackwardPlan
 from plantcast.plans.forward import ForwardPlan
 from plantcast.sources.store import remove_folder, work_folder, write_tables
 
 
 def publish(plan: BackwardPlan | ForwardPlan, path: str) -> None:
-    """Check the inputs, compute the shared tables once, and write every report below ``path``.
+    """Compute the shared tables once, check them for missing inputs, and write every report below ``path``.
 
     The shared tables go to the folder of ``spark.checkpoint.dir`` and are removed afterwards, so
-    the plan object is not used again.
+    the plan object is not used again. The check reads what is written, not the order lines.
     """
-    require_inputs(plan.input_checks)
     spark = plan.sources.orders.sparkSession
     folder = work_folder(spark, "plan")
-    plan.stage(folder)
-    write_tables({name: getattr(plan, name) for name in plan.REPORTS}, path)
-    remove_folder(spark, folder)
+    try:
+        plan.stage(folder)
+        plan.require_inputs(plan.products)
+        write_tables({name: getattr(plan, name) for name in plan.REPORTS}, path)
+    finally:
+        remove_folder(spark, folder)

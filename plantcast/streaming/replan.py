@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plantcast.config import PlanConfig
-from plantcast.operators.checks import require_inputs
+from plantcast.operators.checks import MissingInput
 from plantcast.plans.backward import BackwardPlan
 from plantcast.sources.readings import ReadingsStore
 from plantcast.sources.store import remove_folder, work_folder, write_tables
@@ -71,8 +71,8 @@ class Replanner:
     def current(self) -> PlanConfig:
         return self.cfg if self.clock is None else replace(self.cfg, as_of=self.clock(), telemetry_as_of=None)
 
-    def planned(self, spark: SparkSession, cfg: PlanConfig) -> BackwardPlan:
-        """The plan of what is stored now, over the frozen tables of its day and version."""
+    def freeze(self, spark: SparkSession, cfg: PlanConfig) -> None:
+        """Write the tables that no reading changes, once per day and version."""
         key = cfg.today, self.version()
         if key != self._frozen_for:
             before, self._frozen_folder = self._frozen_folder, work_folder(spark, "frozen")
@@ -81,6 +81,10 @@ class Replanner:
             self._frozen_for = key
             if before:
                 remove_folder(spark, before)
+
+    def planned(self, spark: SparkSession, cfg: PlanConfig) -> BackwardPlan:
+        """The plan of what is stored now, over the frozen tables of its day and version."""
+        self.freeze(spark, cfg)
         store = ReadingsStore(spark, self.readings_path)
         plan = self.plan(self._inputs.replaced(machine_data=store.read(), reading_days=store.day_counts()), cfg)
         plan.use(self._frozen)
@@ -114,7 +118,15 @@ class Replanner:
                 remove_folder(spark, f"{self.output_path}/run={run}")
 
     def start(self, readings: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        require_inputs(self.plan(self.sources(), self.cfg).input_checks)
+        """Freeze what the first batch needs, check it for missing inputs, and start."""
+        spark, cfg = readings.sparkSession, self.current()
+        self.freeze(spark, cfg)
+        try:
+            self.plan(self._inputs, cfg).require_inputs(self._frozen["demand_arrays"])
+        except MissingInput:
+            remove_folder(spark, self._frozen_folder)
+            self._frozen_for = self._frozen_folder = None
+            raise
         return (
             readings.writeStream.foreachBatch(self)
             .option("checkpointLocation", checkpoint)

@@ -109,6 +109,24 @@ def test_no_plan_without_inputs(spark, tmp_path):
     assert os.listdir(tmp_path) == []
 
 
+@pytest.mark.parametrize("variant", [BackwardPlan, ForwardPlan])
+def test_publish_checks_without_reading_the_order_lines(spark, tmp_path, variant, monkeypatch):
+    """The input checks of a plan are not built, only what it has written is looked at."""
+    monkeypatch.setattr(variant, "input_checks", property(lambda self: pytest.fail("order lines joined to check them")))
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = {f for _, folders, _ in os.walk(root) for f in folders if f.startswith("plan-")}
+    publish(variant(seed(spark), CFG), f"{tmp_path}/good")
+    assert sorted(os.listdir(f"{tmp_path}/good")) == sorted(variant.REPORTS)
+    with pytest.raises(MissingInput, match="no orders"):
+        publish(variant(sources(spark), CFG), f"{tmp_path}/none")
+    no_parts = seed(spark).replaced(parts=sources(spark).parts)
+    if variant is BackwardPlan:
+        with pytest.raises(MissingInput, match="parts table is empty"):
+            publish(variant(no_parts, CFG), f"{tmp_path}/none")
+    assert not os.path.exists(f"{tmp_path}/none")
+    assert {f for _, folders, _ in os.walk(root) for f in folders if f.startswith("plan-")} == before
+
+
 def test_stored_inputs_give_the_same_plan(spark, tmp_path):
     src = seed(spark)
     for name in tables.SCHEMAS:
