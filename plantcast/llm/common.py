@@ -41,6 +41,14 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def require_whole(df: DataFrame, *columns: str) -> None:
+    """Refuse ids that are not whole numbers, by name of the column."""
+    for name in columns:
+        kind = dict(df.dtypes)[name]
+        if kind not in ("tinyint", "smallint", "int", "bigint"):
+            raise TypeError(f"{name} must be a whole number, not {kind}")
+
+
 def scan_tasks(df: DataFrame) -> int:
     """Partitions for a shuffle of the whole of ``df``: the session's setting, at least one per core."""
     spark = df.sparkSession

@@ -21,16 +21,17 @@ cut into blocks, every pair of blocks a tile.
 
 Defined results: null texts, empty texts and texts without words have an empty set, link with
 nothing and are their own component; rows that share a doc_id are one node; a null doc_id has the
-component of equal documents or null. An empty table gives an empty table; further columns are ignored.
+component of equal documents or null. A doc_id is a whole number, other types are refused. An empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantcast.llm.common import (
@@ -38,6 +39,7 @@ from plantcast.llm.common import (
     broadcast_if_few,
     components,
     drop_folder,
+    require_whole,
     scan_tasks,
     shingle_hashes,
     shingle_set,
@@ -343,8 +345,35 @@ def verified_pairs(pairs: DataFrame, documents: DataFrame, width: int, num: int,
     return dealt.mapInArrow(verify, "a long, b long")
 
 
+def unresolved(labelled: DataFrame, num: int, den: int, folder: str) -> DataFrame:
+    """Rows (key, pos, rep, label) of buckets with more than one label, whose size has a neighbour that can link.
+
+    Sizes that can link lie in one class of sizes or in two next to each other. Buckets and classes are only
+    aggregated, so a hot bucket is one row a task before it is shuffled.
+    """
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = staged(mixed.filter("low <> high").select("key"), f"{folder}/mixed")
+    step = max(1.001 * math.log(den / num), 1e-9)  # a little wide, so that rounding parts no pair by two classes
+    rows = labelled.join(broadcast_if_few(mixed), "key").withColumn("sizes", F.floor(F.log("n_shingles") / step))
+    classes = rows.groupBy("key", "sizes").agg(
+        F.count("*").alias("n"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("greatest")
+    )
+    none = F.lit(None).cast("long")
+    seen = (
+        classes.select("key", "sizes", "n", none.alias("below"), none.alias("above"))
+        .union(classes.select("key", F.col("sizes") + 1, F.lit(0), "greatest", none))
+        .union(classes.select("key", F.col("sizes") - 1, F.lit(0), none, "least"))
+    )
+    beside = seen.groupBy("key", "sizes").agg(
+        F.sum("n").alias("n"), F.max("below").alias("below"), F.min("above").alias("above")
+    )
+    near = (F.col("below") * den >= F.col("n_shingles") * num) | (F.col("n_shingles") * den >= F.col("above") * num)
+    return rows.join(beside, ["key", "sizes"]).filter((F.col("n") > 1) | near).select("key", "pos", "rep", "label")
+
+
 def near_documents(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
+    require_whole(documents, "doc_id")
     spark, tasks = documents.sparkSession, scan_tasks(documents)
     folder = work_folder(spark, "jaccard")
     common = common_shingles(documents, width, num, den)
@@ -374,21 +403,11 @@ def near_documents(documents: DataFrame, width: int = 4, num: int = 85, den: int
     labels = components(reps.select(F.col("rep").alias("id")).distinct(), first, f"{folder}/cc1")
     labels = staged(labels, f"{folder}/labels")
 
-    # Rows of buckets with more than one component whose size has a neighbour that can link.
-    by_size = Window.partitionBy("key").orderBy("n_shingles", "rep")
-    whole = Window.partitionBy("key")
     labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep").select("key", "pos", "rep", "n_shingles", F.col("component_id").alias("label"))
-    open_rows = (
-        labelled.withColumns({
-            "prev": F.lag("n_shingles").over(by_size), "next": F.lead("n_shingles").over(by_size),
-            "low": F.min("label").over(whole), "high": F.max("label").over(whole),
-        })
-        .filter("low <> high")
-        .filter((F.col("prev") * den >= F.col("n_shingles") * num) | (F.col("n_shingles") * den >= F.col("next") * num))
-        .select("key", "pos", "rep", "label")
-    )
+    open_rows = unresolved(staged(labelled, f"{folder}/labelled"), num, den, folder)
     open_rows = staged(open_rows, f"{folder}/open")
-    drop_folder(spark, f"{folder}/members")
+    for done in ("members", "labelled", "mixed"):
+        drop_folder(spark, f"{folder}/{done}")
     searched = tree_pairs(open_rows.join(points, "rep"), num, den, tasks)
     second = staged(searched, f"{folder}/pairs")
     second = staged(verified_pairs(second, documents, width, num, den, tasks), f"{folder}/second")
