@@ -1,7 +1,9 @@
 """WARC archives with revisit records instead of repeated payloads.
 
 Headers (page id, payload digest, length) are shuffled by digest; the smallest page id of each
-payload is its response and the others join it as revisits. Records are written with fresh headers
+payload is its response and the others join it as revisits. Only payloads that occur again have a row in that
+join, so up to ``FEW`` of them go to every task and no payload is shuffled; beyond it pages join by digest.
+Payloads of equal SHA-1 and length count as equal. Records are written with fresh headers
 by Spark's text writer, whose line separator is the blank line that ends a WARC record, so archives
 go to whatever file system the session's shared folder is on.
 
@@ -9,20 +11,26 @@ Defined results: a null html is an empty payload; payloads shorter than ``min_by
 responses; rows that repeat the smallest page id are all responses; a null page id comes after all
 others and is never referred to unless all ids of the payload are null, then all are responses. Urls
 may be null or hold line breaks, which are percent-encoded. An empty table gives an empty archive.
-Further columns are ignored.
+Page ids are whole numbers, other types are refused. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from base64 import b32encode
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantcast.llm.common import broadcast_if_few, require_whole, staged, work_folder
+
+FEW = 200_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORD_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,6 +51,7 @@ def base32_sha1(payload: Column) -> Column:
 
 def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages with payload, payload_bytes, payload_digest, record_type and refers_to."""
+    require_whole(pages, "page_id")
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns(
         {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))}
@@ -55,14 +64,16 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .groupBy("digest", "bytes")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .filter("n > 1 AND first IS NOT NULL")
+        .drop("n")
     )
+    first = broadcast_if_few(staged(first, work_folder(pages.sparkSession, "first")), FEW)
     same = (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") == F.col("bytes"))
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return (
         rows.join(first, same, "left")
         .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
         .withColumn("refers_to", F.when(revisit, F.col("first")))
-        .drop("first", "n", "digest", "bytes")
+        .drop("first", "digest", "bytes")
     )
 
 
@@ -119,17 +130,17 @@ def _page_of(record_id: str) -> int | None:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def parse_archive(data: bytes) -> Iterator[dict]:
-    """Records of one archive; the lengths in the headers, not the separators, tell where they end."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8").split("\r\n")
-        head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-        begin = stop + 4
-        end = begin + int(head["Content-Length"])
-        block = data[begin:end]
-        http, payload = block.split(b"\r\n\r\n", 1)
+def parse_archive(archive: BinaryIO) -> Iterator[dict]:
+    """Records of one archive, a record at a time; the lengths in the headers, not the separators, tell where they end."""
+    while archive.readline():  # the version
+        head = {}
+        while (line := archive.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("an archive ends within a record")
+            name, _, value = line.decode("utf-8").removesuffix("\r\n").partition(":")
+            head[name] = value.removeprefix(" ")
+        http, payload = archive.read(int(head["Content-Length"])).split(b"\r\n\r\n", 1)
+        archive.read(4)
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
         size = int(http.rsplit(b"Content-Length: ", 1)[1])
         kind = head["WARC-Type"]
@@ -143,7 +154,6 @@ def parse_archive(data: bytes) -> Iterator[dict]:
             "refers_to": _page_of(head["WARC-Refers-To"]) if kind == "revisit" else None,
             "url": head["WARC-Target-URI"],
         }
-        at = end + 4
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,7 +166,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                yield pa.RecordBatch.from_pylist(list(parse_archive(gzip.decompress(data.as_py()))), arrow)
+                records = parse_archive(gzip.open(io.BytesIO(data.as_py())))
+                while some := list(islice(records, 1000)):
+                    yield pa.RecordBatch.from_pylist(some, arrow)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
     return files.mapInArrow(parse, READ_SCHEMA)

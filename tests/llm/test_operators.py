@@ -60,15 +60,31 @@ def test_chat_round_trip(spark):
     assert [(t["role"], t["text"]) for t in whole] == [(r or "", t or "") for _, _, r, t in said[:3]]
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_warc(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW", few)
     html = [(1, "u", "same"), (2, None, "same"), (3, "a\r\nb", "x\r\n\r\ny"), (4, "u", None), (5, "u", ""), (None, "u", "same"), (3, "u", "x\r\n\r\ny")]
+    html += [(6, "long: u", "é\n" * 400_000), (7, "u", "é\n" * 400_000)]
     folder = work_folder(spark, "warc")
-    warc.write_archives(warc.resolve_revisits(spark.createDataFrame(html, "page_id long, url string, html string")), folder, per_file=2)
-    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_archives(spark, folder).collect()), key=str)
+    resolved = warc.resolve_revisits(spark.createDataFrame(html, "page_id long, url string, html string"))
+    warc.write_archives(resolved, folder, per_file=2)
+    read = warc.read_archives(spark, folder).collect()
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in read), key=str)
     assert got == sorted([
         (1, "response", None, 4), (2, "revisit", 1, 4), (3, "response", None, 6), (3, "response", None, 6),
         (4, "response", None, 0), (5, "revisit", 4, 0), (None, "revisit", 1, 4),
+        (6, "response", None, 1_200_000), (7, "revisit", 6, 1_200_000),
     ], key=str)
+    assert {r["url"] for r in read} == {"u", "", "a%0D%0Ab", "long: u"}
+
+
+def test_warc_without_pages_and_with_text_ids(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, digest string")
+    folder = work_folder(spark, "warc")
+    warc.write_archives(warc.resolve_revisits(none), folder)
+    assert warc.read_archives(spark, folder).count() == 0
+    with pytest.raises(TypeError, match="page_id"):
+        warc.resolve_revisits(none.withColumn("page_id", F.lit("a")))
 
 
 def test_pii():
@@ -203,6 +219,24 @@ def test_jaccard_with_common_passages(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_unresolved_keeps_all_rows_that_can_link(spark):
+    """Rows of one-label buckets go, those with a neighbour in size stay."""
+    rng = random.Random(12)
+    rows = [(rng.randrange(12), 0, k, rng.choice([1, 2, 7, 20, 23, 24, 400, rng.randint(1, 500)]), rng.randrange(2)) for k in range(120)]
+    table = spark.createDataFrame(rows, "key long, pos int, rep long, n_shingles long, label long")
+    for num, den in ((85, 100), (1, 1)):
+        got = {(r["key"], r["rep"]) for r in jaccard.unresolved(table, num, den, work_folder(spark, "u")).collect()}
+        mixed = {k for k in range(12) if len({r[4] for r in rows if r[0] == k}) > 1}
+        close = {
+            (a[0], a[2]) for a in rows for b in rows
+            if a[0] == b[0] and a[2] != b[2] and den * min(a[3], b[3]) >= num * max(a[3], b[3])
+        }
+        assert {x for x in close if x[0] in mixed} <= got
+        assert {k for k, _ in got} <= mixed and len(got) < len(rows)
+    with pytest.raises(TypeError, match="doc_id"):
+        jaccard.near_documents(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
 def test_rtree_finds_all_bounded_pairs():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in rng.integers(20, 60, 60)]
