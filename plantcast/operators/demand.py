@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, time, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantcast.config import PlanConfig
 from plantcast.functions.days import history_days, in_history, weekday_counts
 from plantcast.functions.values import literal
+from plantcast.sources.tables import Sources
 
 WEEKDAYS = range(7)  # Monday first
 
@@ -37,6 +40,29 @@ def order_lines(orders: DataFrame, items: DataFrame, cfg: PlanConfig) -> DataFra
     return window.join(lines, "order_id").select("order_date", "product_id", "qty")
 
 
+def window_lines(sources: Sources, cfg: PlanConfig) -> DataFrame:
+    """The same from stored daily sums where the sources have them, a row then being a day's sum of a product.
+
+    The look-back begins at a time of day, so of its first day the order lines are read.
+    """
+    daily = sources.daily_demand
+    if daily is None:
+        return order_lines(sources.orders, sources.order_items, cfg)
+    if cfg.order_cutoff.time() == time():
+        return daily.filter(f"order_date >= {literal(cfg.history_start)}").select("order_date", "product_id", "qty")
+    orders, items = sources.orders, sources.order_items
+    month = literal(cfg.history_start.replace(day=1))
+    orders = orders.filter(f"created_at < {literal(datetime.combine(cfg.history_start + timedelta(days=1), time()))}")
+    if "order_month" in orders.columns:
+        orders = orders.filter(f"order_month <= {month}")
+    if "order_date" in items.columns:
+        items = items.filter(f"order_date <= {literal(cfg.history_start)} OR order_date IS NULL")
+    elif "order_month" in items.columns:
+        items = items.filter(f"order_month <= {month} OR order_month IS NULL")
+    later = daily.filter(f"order_date > {literal(cfg.history_start)}").select("order_date", "product_id", "qty")
+    return later.union(order_lines(orders, items, cfg))
+
+
 def order_history(lines: DataFrame) -> DataFrame:
     """Quantity per day and product."""
     return lines.groupBy("order_date", "product_id").agg(F.expr("sum(qty) AS qty"))

@@ -76,7 +76,7 @@ class BackwardPlan:
 
     @cached_property
     def order_lines(self) -> DataFrame:
-        return demand.order_lines(self.sources.orders, self.sources.order_items, self.cfg)
+        return demand.window_lines(self.sources, self.cfg)
 
     @cached_property
     def order_history(self) -> DataFrame:

@@ -59,7 +59,7 @@ class ForwardPlan:
 
     @cached_property
     def order_history(self) -> DataFrame:
-        lines = demand.order_lines(self.sources.orders, self.sources.order_items, self.cfg)
+        lines = demand.window_lines(self.sources, self.cfg)
         return demand.order_history(lines)
 
     @cached_property

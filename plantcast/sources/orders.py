@@ -74,6 +74,13 @@ class OrderStore:
         lines = items.select(*[F.col(c).try_cast(t).alias(c) for c, t in LINE_COLUMNS.items()])
         self._write(self._lines, lines.join(months, "order_id", "left"), "order_id", load)
 
+    def days_of(self, load: int) -> DataFrame:
+        """Days, as ``order_date``, of the orders that a load brings or has lines of, in all versions of these orders."""
+        orders, lines = self.spark.table(self._orders), self.spark.table(self._lines)
+        touched = orders.filter(f"load = {load}").select("id").union(lines.filter(f"load = {load}").select("order_id"))
+        days = orders.join(touched, "id", "left_semi").select(F.to_date("created_at").alias("order_date"))
+        return days.filter("order_date IS NOT NULL").distinct()
+
     def _newest(self) -> DataFrame:
         """Each order as its last load has it; both the scan and the grouping keep to the buckets."""
         newest = F.max(F.struct("load", "created_at", "status")).alias("last")

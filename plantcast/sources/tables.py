@@ -20,8 +20,12 @@ SCHEMAS = {
     "rpm int, created_at timestamp_ntz",
 }
 
-# Tables that some stores offer beside the seven: readings by day, counted when they were stored.
-OPTIONAL = {"reading_days": "reading_date date, readings bigint"}
+# Tables that some stores offer beside the seven: readings by day, counted when they were stored, and the demand of
+# every day and product, summed when its order lines were stored.
+OPTIONAL = {
+    "reading_days": "reading_date date, readings bigint",
+    "daily_demand": "order_date date, product_id bigint, qty bigint",
+}
 
 # Column by which a table is cut into JDBC partitions; parts has a text key only.
 SPLIT_COLUMN = {
