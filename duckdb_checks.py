@@ -293,7 +293,6 @@ def _hundredths(x: str) -> str:
 _BODIES: dict[str, str] = {
     "order_history": "SELECT * FROM history",
     "order_history_stored": "SELECT * FROM history",
-    "order_history_daily": "SELECT * FROM history",
     "order_history_today": f"SELECT * FROM history WHERE order_date = {TODAY}",
     "bom": "SELECT * FROM bom",
     "parts_clean": "SELECT part_no, CAST(stock_qty AS DOUBLE) AS stock_qty, "
