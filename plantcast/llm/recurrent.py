@@ -8,10 +8,12 @@ plus one (a word never seen counts 0), so that probabilities sum to 1 over known
 
 All counts come from every learning text: words by 128-bit hash, summed in Spark. Tasks know the counts of
 the ``LEXICON`` most frequent words (a bound, not a cap: all others are joined with the count table by
-Spark). The network's weights are fitted by truncated back-propagation on a sample of about
-``SAMPLE_DOCUMENTS`` learning texts in ``SHARDS`` shards of at most ``SHARD_WORDS`` words: in each of ``ROUNDS`` rounds
-every shard trains from the same weights in its own task, and the mean of the weights (about
-2 MB each) goes on. Scoring carries the state of every text across windows to its end: a long text is never cut.
+Spark). The network's weights are fitted by truncated back-propagation on every learning text, whole. The texts lie
+in the order of a hash in shards, whose number grows with the words; each of ``ROUNDS`` rounds takes an arc of that order, which
+is its even share, or more where there are less than ``ROUND_WORDS`` words to a round, so that the arcs cover all texts.
+In a round every shard trains from the same weights in its own task, ``CHUNK_WORDS`` words after the other, and the mean of the
+weights (about 2 MB each, added up by Spark) goes on. Scoring carries the state of every text across windows to its
+end: a long text is never cut.
 
 Texts are scored in lanes, one after the other in each, the longest first; the number of lanes follows from the
 longest text, so that it does not leave the others waiting.
@@ -28,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantcast.llm.common import _BYTE, SPACE, _mix, span_hashes, staged, text_chunks, word_spans, work_folder
@@ -37,12 +40,15 @@ LEXICON = 1 << 17
 MODEL_WORDS = 4096
 CLASSES = 64
 HIDDEN = 32
-SAMPLE_DOCUMENTS = 4096
-SHARDS, SHARD_WORDS, ROUNDS = 6, 200_000, 4
+SHARDS, SHARD_WORDS, ROUNDS = 6, 1_000_000, 4  # shards at least, words of one in a round, about
+ROUND_WORDS, CHUNK_WORDS = 1_200_000, 1_000_000
+HASHES = 1 << 40
+ADDERS = 4  # tasks that add up the weights of shards
 RATES = (0.01, 0.006, 0.004, 0.002)
-LANES, WINDOW = 32, 24  # of training
+LANES, MOST_LANES, WINDOW, LEAST_STEPS = 32, 512, 24, 64  # of training
 SCORE_LANES, SCORE_WINDOW = 512, 32
 GROUP_BYTES = 1 << 24
+BLOCK = 1024  # targets whose classes are weighed at once
 
 _SECOND = _mix(_BYTE + np.uint64(1))
 
@@ -169,7 +175,10 @@ class Lanes:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.tanh(0.5 * x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def read_window(w: dict, state: np.ndarray, inputs: np.ndarray, going_on: np.ndarray, trace: list | None = None) -> np.ndarray:
@@ -178,20 +187,34 @@ def read_window(w: dict, state: np.ndarray, inputs: np.ndarray, going_on: np.nda
     for t in range(len(inputs)):
         old = state * going_on[t][:, None]
         gates = w["gates"][inputs[t]]
-        both = _sigmoid(gates[:, : 2 * HIDDEN] + old @ w["update"])
+        both = old @ w["update"]
+        both += gates[:, : 2 * HIDDEN]
+        both = _sigmoid(both)
         renew, reset = both[:, :HIDDEN], both[:, HIDDEN:]
         part = reset * old
-        new = np.tanh(gates[:, 2 * HIDDEN :] + part @ w["new"])
-        state = old + renew * (new - old)
+        new = part @ w["new"]
+        new += gates[:, 2 * HIDDEN :]
+        np.tanh(new, out=new)
+        state = new - old
+        state *= renew
+        state += old
         states[t] = state
         if trace is not None:
             trace.append((old, renew, reset, part, new))
     return states
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_and_shares(x: np.ndarray, at: np.ndarray, shares: bool) -> np.ndarray:
+    """Logarithm of the softmax at one column of every row; ``shares`` leaves the softmax itself, less 1 there, in ``x``."""
+    rows = np.arange(len(x))
+    x -= x.max(1, keepdims=True)
+    picked = x[rows, at]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    if shares:
+        x *= (1 / total)[:, None]
+        x[rows, at] -= 1
+    return picked - np.log(total)
 
 
 def log_probabilities(
@@ -202,33 +225,34 @@ def log_probabilities(
     With ``slopes``, those of the mean negative logarithm are added to it, and that by the states is returned.
     """
     kinds = lexicon.class_of[targets]
-    rows = np.arange(len(targets))
-    by_class = _log_softmax(states @ w["to_class"] + w["class_bias"])
-    out = by_class[rows, kinds].astype(np.float64)
-    back = None
-    if slopes is not None:
-        share = np.exp(by_class)
-        share[rows, kinds] -= 1
-        share /= len(targets)
-        slopes["to_class"] += states.T @ share
-        slopes["class_bias"] += share.sum(0)
-        back = share @ w["to_class"].T
+    out = np.empty(len(targets))
+    back = None if slopes is None else np.empty_like(states)
+    for low in range(0, len(targets), BLOCK):
+        part = slice(low, low + BLOCK)
+        mine, kind = states[part], kinds[part]
+        x = mine @ w["to_class"]
+        x += w["class_bias"]
+        out[part] = _log_and_shares(x, kind, slopes is not None)
+        if slopes is not None:
+            x /= len(targets)
+            slopes["to_class"] += mine.T @ x
+            slopes["class_bias"] += x.sum(0)
+            back[part] = x @ w["to_class"].T
     order = np.argsort(kinds, kind="stable")
     ends = np.searchsorted(kinds[order], np.arange(lexicon.classes - 1))
     for k in range(lexicon.classes - 2):
         mine, low, high = order[ends[k] : ends[k + 1]], lexicon.bounds[k], lexicon.bounds[k + 1]
         if high - low < 2 or not len(mine):
             continue
-        within = _log_softmax(states[mine] @ w["to_word"][low:high].T + w["word_bias"][low:high])
-        at = (np.arange(len(mine)), targets[mine] - low)
-        out[mine] += within[at]
+        here, place = states[mine], targets[mine] - low
+        x = here @ w["to_word"][low:high].T
+        x += w["word_bias"][low:high]
+        out[mine] += _log_and_shares(x, place, slopes is not None)
         if slopes is not None:
-            share = np.exp(within)
-            share[at] -= 1
-            share /= len(targets)
-            slopes["to_word"][low:high] += share.T @ states[mine]
-            slopes["word_bias"][low:high] += share.sum(0)
-            back[mine] += share @ w["to_word"][low:high]
+            x /= len(targets)
+            slopes["to_word"][low:high] += x.T @ here
+            slopes["word_bias"][low:high] += x.sum(0)
+            back[mine] += x @ w["to_word"][low:high]
     return out, back
 
 
@@ -242,40 +266,76 @@ def window_slopes(w: dict, lexicon: Lexicon, state: np.ndarray, inputs: np.ndarr
     down = np.zeros_like(states)
     down[known] = back
     later = np.zeros_like(state)
+    inner = np.empty((*inputs.shape, 3 * HIDDEN), down.dtype)
     for t in range(len(inputs) - 1, -1, -1):
         old, renew, reset, part, new = trace[t]
         d = down[t] + later
-        d_new = d * renew * (1 - new * new)
+        d_renew, d_reset, d_new = (inner[t][:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+        d_new[:] = d * renew * (1 - new * new)
         d_part = d_new @ w["new"].T
-        d_both = np.concatenate([d * (new - old) * renew * (1 - renew), d_part * old * reset * (1 - reset)], 1)
-        slopes["new"] += part.T @ d_new
-        slopes["update"] += old.T @ d_both
-        np.add.at(slopes["gates"], inputs[t], np.concatenate([d_both, d_new], 1))
-        later = (d * (1 - renew) + d_part * reset + d_both @ w["update"].T) * going_on[t][:, None]
+        d_renew[:] = d * (new - old) * renew * (1 - renew)
+        d_reset[:] = d_part * old * reset * (1 - reset)
+        later = (d * (1 - renew) + d_part * reset + inner[t][:, : 2 * HIDDEN] @ w["update"].T) * going_on[t][:, None]
+    flat = inner.reshape(-1, 3 * HIDDEN)
+    olds, parts = (np.concatenate([step[k] for step in trace]) for k in (0, 3))
+    slopes["update"] += olds.T @ flat[:, : 2 * HIDDEN]
+    slopes["new"] += parts.T @ flat[:, 2 * HIDDEN :]
+    order = np.argsort(inputs, axis=None, kind="stable")
+    tokens, first = np.unique(inputs.ravel()[order], return_index=True)
+    slopes["gates"][tokens] += np.add.reduceat(flat[order], first)
     return slopes, states[-1], float(-logs.mean())
 
 
-def train_shard(w: dict, lexicon: Lexicon, ids: np.ndarray, bounds: np.ndarray, rate: float) -> tuple[dict, float]:
-    """The weights after one pass over the texts, window by window, and the mean negative logarithm met."""
-    w = {name: value.copy() for name, value in w.items()}
-    mean = {name: np.zeros_like(value) for name, value in w.items()}
-    square = {name: np.zeros_like(value) for name, value in w.items()}
-    lanes = Lanes(ids, bounds, lexicon.end, LANES)
-    state = np.zeros((lanes.inputs.shape[1], HIDDEN), np.float32)
-    losses = []
-    for step, low in enumerate(range(0, len(lanes.inputs), WINDOW), 1):
-        part = slice(low, low + WINDOW)
-        if not (lanes.targets[part] >= 0).any():
-            continue
-        slopes, state, loss = window_slopes(w, lexicon, state, lanes.inputs[part], lanes.targets[part], lanes.going_on[part])
-        losses.append(loss)
-        size = np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in slopes.values()))
+class Trainer:
+    """Weights on their way over texts, with the running means of their slopes."""
+
+    def __init__(self, weights: dict, lexicon: Lexicon, rate: float) -> None:
+        self.lexicon, self.rate, self.steps = lexicon, rate, 0
+        self.w = {name: value.copy() for name, value in weights.items()}
+        self.mean, self.square = ({name: np.zeros_like(value) for name, value in weights.items()} for _ in range(2))
+        self.losses: list[float] = []
+
+    def train(self, ids: np.ndarray, bounds: np.ndarray) -> None:
+        """One pass over the texts, window by window."""
+        words = len(ids) + len(bounds) - 1
+        width = min(MOST_LANES, max(LANES, words // (LEAST_STEPS * WINDOW)))
+        lanes = Lanes(ids, bounds, self.lexicon.end, width)
+        state = np.zeros((lanes.inputs.shape[1], HIDDEN), np.float32)
+        window = max(WINDOW, LANES * WINDOW // len(state))  # few lanes beside a very long text
+        for low in range(0, len(lanes.inputs), window):
+            part = slice(low, low + window)
+            if not (lanes.targets[part] >= 0).any():
+                continue
+            slopes, state, loss = window_slopes(self.w, self.lexicon, state, lanes.inputs[part], lanes.targets[part], lanes.going_on[part])
+            self.losses.append(loss)
+            self._step(slopes)
+
+    def _step(self, slopes: dict) -> None:
+        self.steps += 1
+        size = np.sqrt(sum(float(np.vdot(g, g)) for g in slopes.values()))
+        even, wide = 1 - 0.9**self.steps, 1 - 0.99**self.steps
         for name, g in slopes.items():
             g *= min(1.0, 1.0 / max(size, 1e-9))
-            mean[name] += 0.1 * (g - mean[name])
-            square[name] += 0.01 * (g * g - square[name])
-            w[name] -= rate * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-6)
-    return w, float(np.mean(losses)) if losses else 0.0
+            mean, square = self.mean[name], self.square[name]
+            mean *= 0.9
+            mean += 0.1 * g
+            square *= 0.99
+            np.multiply(g, g, out=g)
+            g *= 0.01
+            square += g
+            np.divide(square, wide, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-6
+            np.divide(mean, g, out=g)
+            g *= self.rate / even
+            self.w[name] -= g
+
+
+def train_shard(w: dict, lexicon: Lexicon, ids: np.ndarray, bounds: np.ndarray, rate: float) -> tuple[dict, float]:
+    """The weights after one pass over the texts, and the mean negative logarithm met."""
+    trainer = Trainer(w, lexicon, rate)
+    trainer.train(ids, bounds)
+    return trainer.w, float(np.mean(trainer.losses)) if trainer.losses else 0.0
 
 
 def _tokens(lexicon: Lexicon, texts: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -295,6 +355,24 @@ def _tokens(lexicon: Lexicon, texts: pa.Array, most: int | None = None) -> tuple
     return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens of runs of whole texts of about ``CHUNK_WORDS`` words, and where the texts begin; no text is left out."""
+    ids, sizes, held = [], [], 0
+    for batch in batches:
+        lists = batch.column(0)
+        bounds, flat, low = lists.offsets.to_numpy(), lists.values.to_numpy(), 0
+        while low < len(lists):
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + CHUNK_WORDS - held, "right")) - 1)
+            ids.append(flat[bounds[low] : bounds[high]])
+            sizes.append(np.diff(bounds[low : high + 1]))
+            held, low = held + len(ids[-1]), high
+            if held >= CHUNK_WORDS or low < len(lists):
+                yield np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+                ids, sizes, held = [], [], 0
+    if ids:
+        yield np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
 class Model:
     """Counts of all learning texts and the fitted network."""
 
@@ -307,44 +385,72 @@ class Model:
         self.lexicon = Lexicon(self.counts, texts)
         self.weights = first_weights(self.lexicon)
         self.losses: list[float] = []
+        self.trained: list[int] = []  # tokens, by round
         if texts:
             self._fit(learning, texts, rounds)
 
     def _fit(self, learning: DataFrame, texts: int, rounds: int) -> None:
-        draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-        sample = learning.select("text", draw.alias("draw")).filter(F.col("draw") < int((1 << 40) * min(1.0, SAMPLE_DOCUMENTS / texts)) + 1)
-        shard = F.pmod(F.xxhash64("draw"), F.lit(SHARDS)).cast("int")
-        sample = staged(sample.withColumn("shard", shard), f"{self.folder}/sample")
-        dealt = sample.repartitionById(SHARDS, "shard").sortWithinPartitions("shard", "draw", "text").select("text")
+        words = self.lexicon.tokens
+        share = min(1.0, max(1 / rounds, ROUND_WORDS / words))
+        shards = max(SHARDS, round(words * share / SHARD_WORDS))
         lexicon = self.spark.sparkContext.broadcast(self.lexicon)
+
+        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, bounds = _tokens(lexicon.value, batch.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["draw", "ids"])
+
+        draw = F.pmod(F.xxhash64("text"), F.lit(HASHES))
+        read = learning.select(draw.alias("draw"), "text").mapInArrow(tokens, "draw long, ids array<int>")
+        dealt = read.repartitionById(shards, F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int"))
+        dealt = staged(dealt.sortWithinPartitions("draw", "ids"), f"{self.folder}/tokens")
         for k in range(rounds):
-            weights, rate = self.spark.sparkContext.broadcast(self.weights), RATES[min(k, len(RATES) - 1)]
-
-            def fit(batches: Iterator[pa.RecordBatch], weights=weights, rate: float = rate) -> Iterator[pa.RecordBatch]:
-                ids, sizes, left = [], [], SHARD_WORDS
-                for batch in batches:
-                    mine, bounds = _tokens(lexicon.value, batch.column(0), left)
-                    ids.append(mine)
-                    sizes.append(np.diff(bounds))
-                    left -= len(mine)
-                    if len(bounds) <= len(batch):
-                        break
-                for _ in batches:
-                    pass
-                if not ids or not sum(map(len, sizes)):
-                    return
-                bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-                fitted, loss = train_shard(weights.value, lexicon.value, np.concatenate(ids), bounds, rate)
-                words = int(bounds[-1]) + len(bounds) - 1
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted)]), pa.array([words]), pa.array([loss])], ["weights", "words", "loss"])
-
-            found = dealt.mapInArrow(fit, "weights binary, words long, loss double").collect()  # SHARDS rows at most
-            if found:
-                total = sum(r["words"] for r in found)
-                parts = [(pickle.loads(r["weights"]), r["words"] / total) for r in found]
-                self.weights = {name: sum(w[name] * np.float32(s) for w, s in parts) for name in self.weights}
-                self.losses.append(sum(r["loss"] * r["words"] for r in found) / total)
-            weights.unpersist()
+            self._round(dealt.filter(self._arc(k / rounds, share)).select("ids"), RATES[min(k, len(RATES) - 1)], lexicon)
+
+    @staticmethod
+    def _arc(begin: float, share: float) -> Column:
+        """Texts of an arc of the order of hashes; it goes on from the first hash behind the last."""
+        low, high = int(begin * HASHES), int((begin + share) * HASHES) + 1
+        return ((F.col("draw") >= low) & (F.col("draw") < high)) | (F.col("draw") < high - HASHES)
+
+    def _round(self, dealt: DataFrame, rate: float, lexicon: Broadcast) -> None:
+        """Every task trains on all of its texts from the same weights; their mean by words goes on."""
+        weights = self.spark.sparkContext.broadcast(self.weights)
+        names = ["words", "loss", "weights"]
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trainer = Trainer(weights.value, lexicon.value, rate)
+            words = 0
+            for ids, bounds in chunks(batches):
+                trainer.train(ids, bounds)
+                words += len(ids) + len(bounds) - 1
+            if words:
+                scaled = {name: w * np.float64(words) for name, w in trainer.w.items()}
+                loss = float(np.mean(trainer.losses)) * words
+                yield pa.RecordBatch.from_arrays([pa.array([words]), pa.array([loss]), pa.array([pickle.dumps(scaled)])], names)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, loss, total = 0, 0.0, None
+            for batch in batches:
+                for n, lost, blob in zip(*(batch.column(k) for k in range(3)), strict=True):
+                    mine = pickle.loads(blob.as_py())
+                    words, loss = words + n.as_py(), loss + lost.as_py()
+                    total = mine if total is None else {name: total[name] + w for name, w in mine.items()}
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([words]), pa.array([loss]), pa.array([pickle.dumps(total)])], names)
+
+        schema = "words long, loss double, weights binary"
+        fitted = dealt.mapInArrow(fit, schema).withColumn("part", F.spark_partition_id())
+        fitted = fitted.repartitionById(ADDERS, F.col("part") % ADDERS).sortWithinPartitions("part").select(*names)
+        found = fitted.mapInArrow(add, schema).collect()  # ADDERS rows at most
+        total = sum(r["words"] for r in found)
+        self.trained.append(total)
+        if total:
+            parts = [pickle.loads(r["weights"]) for r in found]
+            self.weights = {name: (sum(p[name] for p in parts) / total).astype(np.float32) for name in self.weights}
+            self.losses.append(sum(r["loss"] for r in found) / total)
+        weights.unpersist()
 
     def _read(self, documents: DataFrame, keep: list[str]) -> DataFrame:
         """The columns in ``keep``, sums over the words that tasks know, and the hashes of the others."""

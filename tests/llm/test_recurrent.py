@@ -168,3 +168,31 @@ def test_empty_tables(spark):
 def test_training_takes_whole_texts_up_to_the_bound(model):
     ids, bounds = recurrent._tokens(model.lexicon, pa.array(["a1 a2", None, "a3", "a4 a5 a6 a7", "a1"]), 4)
     assert bounds.tolist() == [0, 2, 2, 3] and len(ids) == 3
+
+
+def test_every_learning_text_trains(spark, monkeypatch):
+    """No bound on texts or words: over the rounds every text comes once, with few words to a round once in each."""
+    texts = [*(f"a{k % 9} b{k % 7} c{k}" for k in range(6000)), "a1 b2 c3 " * 1000, None]
+    tokens = sum(len(words(t)) + 1 for t in texts)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert Model(df, rounds=2).trained == [tokens, tokens]
+    monkeypatch.setattr(recurrent, "ROUND_WORDS", 500)
+    model = Model(df, rounds=3)
+    assert len(model.trained) == 3 and sum(model.trained) == tokens and len(model.losses) == 3
+
+
+def test_chunks_hold_whole_texts_once(monkeypatch):
+    monkeypatch.setattr(recurrent, "CHUNK_WORDS", 6)
+    texts = [[1, 2], [], [3] * 20, [4], [5, 6, 7], [8, 9], [], [10]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.int32()))], ["ids"]) for part in (texts[:5], texts[5:])]
+    got = list(recurrent.chunks(iter(batches)))
+    read = [ids[low:high].tolist() for ids, bounds in got for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert read == texts and len(got) > 2
+
+
+@pytest.mark.parametrize(("rounds", "share"), [(4, 0.25), (4, 0.4), (4, 1.0), (3, 1 / 3), (1, 1.0)])
+def test_arcs_cover_all_hashes(spark, rounds, share):
+    draws = spark.range(0, recurrent.HASHES, recurrent.HASHES // 997).withColumnRenamed("id", "draw")
+    taken = [draws.filter(Model._arc(k / rounds, share)) for k in range(rounds)]
+    met = {r["draw"] for part in taken for r in part.collect()}
+    assert len(met) == draws.count()
