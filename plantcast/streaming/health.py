@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -17,13 +17,23 @@ def score_stream(readings: DataFrame, cfg: PlanConfig) -> DataFrame:
     return reading_health(readings, cfg)
 
 
+ROWS_PER_STATE = 125_000  # readings; each may be alone in its hour and so in all windows around it
+
+
+def state_partitions(spark: SparkSession, readings: int) -> int:
+    """Partitions of the state for so many readings in it: one per core at least, and none that grows with the readings."""
+    return max(spark.sparkContext.defaultParallelism, -(-readings // ROWS_PER_STATE))
+
+
 def rolling_health(readings: DataFrame, cfg: PlanConfig, slide: str = "1 hour") -> DataFrame:
     """Mean health per machine over sliding windows of ``telemetry_hours``.
 
     Readings are first summed per machine and slide, and the windows are built from those
     sums: a reading is not copied into every window it belongs to. A slide closes when the
     watermark, which trails by ``lateness_minutes``, passes its end; later readings of it are
-    dropped and counted by ``LateRows``. Within that time the result does not depend on how the
+    dropped and counted by ``LateRows``. The number of state partitions is fixed when a query first
+    starts, as ``spark.sql.shuffle.partitions`` of its session; ``state_partitions`` gives it for an expected
+    number of readings. Within that time the result does not depend on how the
     readings are cut into batches. Window ends fall on multiples of ``slide``.
     """
     scored = reading_health(readings, cfg).withColumn("created_at", F.col("created_at").cast("timestamp"))

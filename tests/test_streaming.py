@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 from seed import AS_OF, CFG, seed, sources, table
 
+import __spark_entry__
 from plantcast import BackwardPlan, ForwardPlan
 from plantcast.operators import telemetry
 from plantcast.operators.checks import MissingInput
+from plantcast.streaming import health
 from plantcast.streaming.health import LateRows, rolling_health, run_to_files, score_stream
 from plantcast.streaming.replan import Replanner, last_run
 
@@ -150,3 +152,17 @@ def test_replan_by_the_clock(spark, tmp_path):
     batch = table(spark, "machine_data", [reading(AS_OF, 95.0), reading(AS_OF - timedelta(seconds=1), 75.0)])
     planner(batch, 0)
     assert spark.read.parquet(f"{tmp_path}/plans/run=0/capacity_factor").first().avg_health == pytest.approx(0.65)
+
+
+def test_state_partitions_grow_with_the_readings(spark, monkeypatch):
+    """The registered query spreads its state by its readings, so that no task's share of them grows."""
+    cores = spark.sparkContext.defaultParallelism
+    assert [health.state_partitions(spark, n) for n in (0, 1000, 36_000_000)] == [cores, cores, 288]
+    sf_dir = "/root/testdata/sf0.001"
+    readings = __spark_entry__.read_star(spark, sf_dir, "events").count()
+    monkeypatch.setattr(health, "ROWS_PER_STATE", -(-readings // 11))
+    used = []
+    monkeypatch.setattr(
+        __spark_entry__, "rolling_health", lambda rows, cfg: used.append(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) or rolling_health(rows, cfg)
+    )
+    assert __spark_entry__._stream_rolling_health(spark, sf_dir).count() > 0 and used == ["11"]
