@@ -13,6 +13,14 @@ ORDER_COLUMNS = {"id": "bigint", "created_at": "timestamp_ntz", "status": "strin
 LINE_COLUMNS = {"order_id": "bigint", "product_id": "bigint", "quantity": "int"}
 
 
+BUCKET_LINES = 2_000_000
+
+
+def buckets_for(lines: int, least: int = 4) -> int:
+    """Buckets for a store that is to hold so many lines: the task of a bucket sorts ``BUCKET_LINES`` of them, about."""
+    return max(least, -(-lines // BUCKET_LINES))
+
+
 class OrderStore:
     """Two tables below ``root``: an order and its lines meet in one task without a shuffle.
 
@@ -22,7 +30,8 @@ class OrderStore:
     (a cancelled one, say) takes the place of the earlier one; it keeps the month it was made in. Lines whose order is not known yet lie
     under the null month, which every plan reads, and find their order when it comes.
 
-    The number of buckets belongs to the stored data: open a store with the number it was written with.
+    The number of buckets belongs to the stored data: open a store with the number it was written with. Choose it by the lines
+    the store is to hold (``buckets_for``), since one task writes and joins a bucket.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:

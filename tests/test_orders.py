@@ -3,8 +3,10 @@
 import pytest
 from seed import CFG, seed
 
+import __spark_entry__
 from plantcast import BackwardPlan
 from plantcast.operators import demand
+from plantcast.sources import orders
 from plantcast.sources.layout import write_items_by_day
 from plantcast.sources.orders import OrderStore
 
@@ -95,3 +97,15 @@ def test_second_write_of_a_day_keeps_the_first(spark, tmp_path):
     lines = demand.order_lines(src.orders, stored, CFG)  # the order of the null day has come since
     assert sorted(lines.collect()) == sorted(demand.order_lines(src.orders, src.order_items, CFG).collect())
     assert "PartitionFilters: [" in plan_of(lines) and "PartitionFilters: []" not in plan_of(lines).split("FileScan parquet")[1][:900]
+
+
+def test_buckets_grow_with_the_lines(spark, monkeypatch):
+    """The registered query sizes its store by its lines, so that no task's share of them grows."""
+    assert [orders.buckets_for(n) for n in (0, 600_000, 8_000_000, 8_000_001, 216_000_000)] == [4, 4, 4, 5, 108]
+    monkeypatch.setattr(orders, "BUCKET_LINES", 500)
+    made = []
+    monkeypatch.setattr(__spark_entry__, "OrderStore", lambda *args, buckets: made.append(OrderStore(*args, buckets=buckets)) or made[-1])
+    sf_dir = "/root/testdata/sf0.001"
+    stored = __spark_entry__._order_history_stored(spark, sf_dir)
+    assert made[0].buckets == -(-__spark_entry__.read_star(spark, sf_dir, "lineitem").count() // 500) > 4
+    assert sorted(stored.collect()) == sorted(__spark_entry__.backward(spark, sf_dir).order_history.collect())
