@@ -34,6 +34,7 @@ SLOTS = 1 << 19
 BEGINNINGS = (4, 5)  # bytes
 MIN_CONTEXTS = 4
 NEAR_WORDS = 5
+FEATURE_BYTES = 1 << 19  # of text at once; a worker holds some hundred bytes for each
 SAMPLE = {1: 8_000, 0: 16_000}  # learning rows of each kind at most, chosen by hash of doc_id
 # Second-person pronouns, and signs written for letters.
 SECOND_PERSON = "you your yours yourself u du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes vos".split()
@@ -86,9 +87,11 @@ def lexicon_counts(learning: DataFrame) -> DataFrame:
         contexts = np.zeros(SLOTS, np.uint64)
         for batch in batches:
             labels = np.array(batch.column(1).to_pylist(), np.int64)
-            for first, raw, offsets in text_chunks(batch.column(0)):
+            last = np.zeros(1, np.uint64)  # the word before goes on from run to run
+            for first, raw, offsets in text_chunks(batch.column(0), FEATURE_BYTES):
                 row, words, slots, _, _ = _term_slots(raw, offsets)
-                before = np.concatenate([[np.uint64(0)], words[:-1]]) if len(words) else words
+                before = np.concatenate([last, words])[:-1]
+                last = words[-1:] if len(words) else last
                 bit = np.uint64(1) << (before >> np.uint64(58))
                 toxic_word = labels[first + row] == 1
                 for s in slots:
@@ -150,7 +153,7 @@ def features(rows: DataFrame, lexicon: Lexicon, keep: list[str], own_label: str
             texts = batch.column(len(keep))
             labels = np.array(batch.column(len(keep) + 1).to_pylist(), np.int64) if own_label else None
             out = np.zeros((len(texts), len(FEATURES)))
-            for first, raw, offsets in text_chunks(texts):
+            for first, raw, offsets in text_chunks(texts, FEATURE_BYTES):
                 n = len(offsets) - 1
                 row, words, slots, starts, ends = _term_slots(raw, offsets)
                 own = labels[first + row] if own_label else None
