@@ -16,6 +16,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 CHUNK_BYTES = 1 << 21
+SMALL_BYTES = 1 << 19  # where runs of texts are not aggregated; hashing takes some 50 bytes for each
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

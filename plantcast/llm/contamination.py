@@ -38,18 +38,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantcast.llm.common import ALNUM, _mix, drop_folder, shingle_hashes, staged, text_chunks, word_hashes, work_folder
+from plantcast.llm.common import ALNUM, SMALL_BYTES, _mix, drop_folder, shingle_hashes, staged, text_chunks, word_hashes, work_folder
 
 WIDTH = 3
 BITS = 256
 RADIUS = 95
 BLOCKS = 32
 BLOCK_BITS = BITS // BLOCKS
+ROWS = 256  # texts that are lower-cased together
 SPAN = 4096  # words whose votes are summed up together
-PAIRS = 1 << 21  # windows and items that are compared together
+PAIRS = 1 << 18  # windows and items that are compared together
 SLICE_WORDS = 500_000
 SLICE_ITEMS = 8192
-HITS = 1 << 20  # shared shingles, one per item, that are looked at together
+HITS = 1 << 18  # shared shingles, one per item, that are looked at together
 ROUNDING = 1e-9
 NEAR_VALUES = np.array(
     [sum(1 << b for b in bits) for r in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), r)]
@@ -57,8 +58,9 @@ NEAR_VALUES = np.array(
 
 
 def _words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for row, raw, offsets in text_chunks(pc.utf8_lower(texts.cast(pa.large_string()))):
-        yield row, *word_hashes(raw, offsets, ALNUM)
+    for low in range(0, len(texts), ROWS):
+        for row, raw, offsets in text_chunks(pc.utf8_lower(texts.slice(low, ROWS).cast(pa.large_string())), SMALL_BYTES):
+            yield low + row, *word_hashes(raw, offsets, ALNUM)
 
 
 def fingerprints(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:

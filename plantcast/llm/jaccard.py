@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantcast.llm.common import (
+    SMALL_BYTES,
     SPACE,
     broadcast_if_few,
     components,
@@ -59,7 +60,7 @@ SET = ["n_shingles", "s1", "s2"]
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted shingle set of every text."""
-    for first, raw, offsets in text_chunks(texts):
+    for first, raw, offsets in text_chunks(texts, SMALL_BYTES):
         words, bounds = word_hashes(raw, offsets, ~SPACE)
         shingles = shingle_hashes(words, width)
         for i in range(len(offsets) - 1):
