@@ -12,7 +12,8 @@ Spark). The network's weights are fitted by truncated back-propagation on every
 in the order of a hash in shards, whose number grows with the words; each of ``ROUNDS`` rounds takes an arc of that order, which
 is its even share, or more where there are less than ``ROUND_WORDS`` words to a round, so that the arcs cover all texts.
 In a round every shard trains from the same weights in its own task, ``CHUNK_WORDS`` words after the other, and the mean of the
-weights (about 2 MB each, added up by Spark) goes on. Scoring carries the state of every text across windows to its
+weights (about 2 MB each, added up by Spark) goes on. Training reads a text of more than ``RUN`` tokens in runs that lie in lanes
+side by side; a run first reads the ``WARM`` tokens before it, so that all tokens are learnt, once, after what came before. Scoring carries the state of every text across windows to its
 end: a long text is never cut.
 
 Texts are scored in lanes, one after the other in each, the longest first; the number of lanes follows from the
@@ -41,13 +42,18 @@ MODEL_WORDS = 4096
 CLASSES = 64
 HIDDEN = 32
 SHARDS, SHARD_WORDS, ROUNDS = 6, 1_000_000, 4  # shards at least, words of one in a round, about
-ROUND_WORDS, CHUNK_WORDS = 1_200_000, 1_000_000
+ROUND_WORDS, CHUNK_WORDS = 1_200_000, 1_250_000  # a chunk holds all of a common shard's round
 HASHES = 1 << 40
 ADDERS = 4  # tasks that add up the weights of shards
 RATES = (0.01, 0.006, 0.004, 0.002)
 LANES, MOST_LANES, WINDOW, LEAST_STEPS = 32, 512, 24, 64  # of training
+RUN, WARM = 1024, 32  # tokens of a run of training, and those before it that it reads first
 SCORE_LANES, SCORE_WINDOW = 512, 32
+SCORE_TOKENS = 1 << 14  # of a window of scoring, about
 GROUP_BYTES = 1 << 24
+FAR = 40.0  # exponents beyond that are taken less the greatest of their row
+FEW = 8  # rows of a word that are added one by one for all such words together
+STEP = 1 << 15  # weights that take a step together
 BLOCK = 1024  # targets whose classes are weighed at once
 
 _SECOND = _mix(_BYTE + np.uint64(1))
@@ -143,11 +149,28 @@ def first_weights(lexicon: Lexicon) -> dict[str, np.ndarray]:
 
 
 class Lanes:
-    """Texts laid out in lanes, one behind the other: arrays by step and lane."""
+    """Texts, or runs of their tokens, laid out in lanes, one behind the other: arrays by step and lane."""
 
-    def __init__(self, ids: np.ndarray, bounds: np.ndarray, end: int, lanes: int) -> None:
-        """``ids``: tokens of all texts without ends; ``bounds``: where texts begin, one more than texts."""
-        sizes = np.diff(bounds) + 1
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, end: int, lanes: int, run: int | None = None) -> None:
+        """``ids``: tokens of all texts without ends; ``bounds``: where texts begin, one more than texts.
+
+        With ``run``, a longer text lies in runs of so many tokens. Each but the first reads the ``WARM``
+        tokens before it, which are no targets there, so that every token is a target once.
+        """
+        whole = np.diff(bounds) + 1
+        first = np.concatenate([[0], np.cumsum(whole)])
+        tokens = np.full(int(first[-1]), end, np.int32)
+        is_word = np.ones(len(tokens), bool)
+        is_word[first[1:] - 1] = False
+        tokens[is_word] = ids
+        before = np.full(len(tokens), end, np.int32)
+        before[1:] = tokens[:-1]  # a text's first input is the end of the one before
+        runs = np.ones(len(whole), np.int64) if run is None else -(-whole // run)
+        of_text = np.repeat(np.arange(len(whole)), runs)
+        behind = (np.arange(len(of_text)) - np.repeat(np.cumsum(runs) - runs, runs)) * (run or 0)
+        warm = np.minimum(behind, WARM)
+        begin = first[of_text] + behind - warm
+        sizes = (first[of_text + 1] if run is None else np.minimum(begin + warm + run, first[of_text + 1])) - begin
         lanes = max(1, min(lanes, len(sizes), -(-int(sizes.sum()) // int(sizes.max()))))
         heap = [(0, k) for k in range(lanes)]
         lane, start = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
@@ -156,26 +179,23 @@ class Lanes:
             lane[k], start[k] = mine, used
             heapq.heapreplace(heap, (used + int(sizes[k]), mine))
         steps = max(used for used, _ in heap)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        at = (np.arange(first[-1]) - first[text] + start[text]) * lanes + lane[text]
-        tokens = np.full(int(first[-1]), end, np.int32)
-        is_word = np.ones(len(tokens), bool)
-        is_word[first[1:] - 1] = False
-        tokens[is_word] = ids
-        before = np.full(len(tokens), end, np.int32)
-        before[1:] = tokens[:-1]  # a text's first input is the end of the one before
+        mine = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(mine)) - (np.cumsum(sizes) - sizes)[mine]
+        at = (place + start[mine]) * lanes + lane[mine]
+        source = place + begin[mine]
+        learnt = np.where(place < warm[mine], -1, tokens[source])
         shape = (steps, lanes)
         self.inputs = np.full(shape, end, np.int32)
         self.targets = np.full(shape, -1, np.int32)
         self.text = np.full(shape, -1, np.int32)
         self.going_on = np.ones(shape, np.float32)
-        self.inputs.ravel()[at], self.targets.ravel()[at], self.text.ravel()[at] = before, tokens, text
+        self.inputs.ravel()[at], self.targets.ravel()[at], self.text.ravel()[at] = before[source], learnt, of_text[mine]
         self.going_on.ravel()[start * lanes + lane] = 0.0
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.tanh(0.5 * x)
+def _sigmoid_of_twice(x: np.ndarray) -> np.ndarray:
+    """The logistic function of ``2 * x``, in place."""
+    np.tanh(x, out=x)
     x *= 0.5
     x += 0.5
     return x
@@ -184,16 +204,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def read_window(w: dict, state: np.ndarray, inputs: np.ndarray, going_on: np.ndarray, trace: list | None = None) -> np.ndarray:
     """States after each step of a window; ``trace`` keeps what the way back needs."""
     states = np.empty((*inputs.shape, HIDDEN), np.float32)
+    # Every gate in an array of its own: steps over slices of wide rows take several times as long.
+    into = np.stack([0.5 * w["gates"][:, :HIDDEN], 0.5 * w["gates"][:, HIDDEN : 2 * HIDDEN]])
+    into_new = np.ascontiguousarray(w["gates"][:, 2 * HIDDEN :])
+    by = np.stack([0.5 * w["update"][:, :HIDDEN], 0.5 * w["update"][:, HIDDEN:]])
+    begun = going_on == 0
+    some = begun.any(1).tolist()
     for t in range(len(inputs)):
-        old = state * going_on[t][:, None]
-        gates = w["gates"][inputs[t]]
-        both = old @ w["update"]
-        both += gates[:, : 2 * HIDDEN]
-        both = _sigmoid(both)
-        renew, reset = both[:, :HIDDEN], both[:, HIDDEN:]
+        old = state
+        if some[t]:
+            old = state.copy()
+            old[begun[t]] = 0
+        gates = old @ by
+        gates += into.take(inputs[t], 1, mode="clip")
+        renew, reset = _sigmoid_of_twice(gates)
         part = reset * old
         new = part @ w["new"]
-        new += gates[:, 2 * HIDDEN :]
+        new += into_new.take(inputs[t], 0, mode="clip")
         np.tanh(new, out=new)
         state = new - old
         state *= renew
@@ -204,16 +231,17 @@ def read_window(w: dict, state: np.ndarray, inputs: np.ndarray, going_on: np.nda
     return states
 
 
-def _log_and_shares(x: np.ndarray, at: np.ndarray, shares: bool) -> np.ndarray:
-    """Logarithm of the softmax at one column of every row; ``shares`` leaves the softmax itself, less 1 there, in ``x``."""
-    rows = np.arange(len(x))
-    x -= x.max(1, keepdims=True)
-    picked = x[rows, at]
+def _log_and_shares(x: np.ndarray, at: np.ndarray, scale: float | None) -> np.ndarray:
+    """Logarithm of the softmax at one column of every row; ``scale`` times the softmax itself, less 1 there, is left in ``x``."""
+    cell = np.arange(0, x.size, x.shape[1]) + at
+    if x.max() > FAR or x[:, 0].min() < -FAR:  # else no row sums up to too much or too little
+        x -= x.max(1, keepdims=True)
+    picked = x.ravel()[cell]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
-    if shares:
-        x *= (1 / total)[:, None]
-        x[rows, at] -= 1
+    if scale is not None:
+        x *= (scale / total)[:, None]
+        x.ravel()[cell] -= scale
     return picked - np.log(total)
 
 
@@ -224,36 +252,52 @@ def log_probabilities(
 
     With ``slopes``, those of the mean negative logarithm are added to it, and that by the states is returned.
     """
-    kinds = lexicon.class_of[targets]
-    out = np.empty(len(targets))
+    kinds = lexicon.class_of[targets].astype(np.int16)
+    order = np.argsort(kinds, kind="stable")
+    kinds, states, places = kinds[order], states[order], targets[order]
+    logs = np.empty(len(targets))
+    scale = None if slopes is None else 1.0 / len(targets)
     back = None if slopes is None else np.empty_like(states)
     for low in range(0, len(targets), BLOCK):
         part = slice(low, low + BLOCK)
-        mine, kind = states[part], kinds[part]
-        x = mine @ w["to_class"]
+        x = states[part] @ w["to_class"]
         x += w["class_bias"]
-        out[part] = _log_and_shares(x, kind, slopes is not None)
+        logs[part] = _log_and_shares(x, kinds[part], scale)
         if slopes is not None:
-            x /= len(targets)
-            slopes["to_class"] += mine.T @ x
+            slopes["to_class"] += states[part].T @ x
             slopes["class_bias"] += x.sum(0)
-            back[part] = x @ w["to_class"].T
-    order = np.argsort(kinds, kind="stable")
-    ends = np.searchsorted(kinds[order], np.arange(lexicon.classes - 1))
+            np.matmul(x, w["to_class"].T, out=back[part])
+    ends = np.searchsorted(kinds, np.arange(lexicon.classes - 1))
     for k in range(lexicon.classes - 2):
-        mine, low, high = order[ends[k] : ends[k + 1]], lexicon.bounds[k], lexicon.bounds[k + 1]
-        if high - low < 2 or not len(mine):
+        mine, low, high = slice(ends[k], ends[k + 1]), lexicon.bounds[k], lexicon.bounds[k + 1]
+        if high - low < 2 or ends[k] == ends[k + 1]:
             continue
-        here, place = states[mine], targets[mine] - low
-        x = here @ w["to_word"][low:high].T
+        x = states[mine] @ w["to_word"][low:high].T
         x += w["word_bias"][low:high]
-        out[mine] += _log_and_shares(x, place, slopes is not None)
+        logs[mine] += _log_and_shares(x, places[mine] - low, scale)
         if slopes is not None:
-            x /= len(targets)
-            slopes["to_word"][low:high] += x.T @ here
+            slopes["to_word"][low:high] += x.T @ states[mine]
             slopes["word_bias"][low:high] += x.sum(0)
             back[mine] += x @ w["to_word"][low:high]
-    return out, back
+    out = np.empty_like(logs)
+    out[order] = logs
+    if slopes is None:
+        return out, None
+    by_state = np.empty_like(back)
+    by_state[order] = back
+    return out, by_state
+
+
+def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add every row to that of ``total`` which ``at`` names."""
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    names, first, n = np.unique(at[order], return_index=True, return_counts=True)
+    rows = rows[order]
+    for k in np.flatnonzero(n > FEW).tolist():
+        total[names[k]] += rows[first[k] : first[k] + n[k]].sum(0)
+    for place in range(FEW):
+        some = (n > place) & (n <= FEW)
+        total[names[some]] += rows[first[some] + place]
 
 
 def window_slopes(w: dict, lexicon: Lexicon, state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, going_on: np.ndarray) -> tuple[dict, np.ndarray, float]:
@@ -267,22 +311,36 @@ def window_slopes(w: dict, lexicon: Lexicon, state: np.ndarray, inputs: np.ndarr
     down[known] = back
     later = np.zeros_like(state)
     inner = np.empty((*inputs.shape, 3 * HIDDEN), down.dtype)
+    through_new, through_gates = (np.ascontiguousarray(w[name].T) for name in ("new", "update"))
     for t in range(len(inputs) - 1, -1, -1):
         old, renew, reset, part, new = trace[t]
-        d = down[t] + later
         d_renew, d_reset, d_new = (inner[t][:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
-        d_new[:] = d * renew * (1 - new * new)
-        d_part = d_new @ w["new"].T
-        d_renew[:] = d * (new - old) * renew * (1 - renew)
-        d_reset[:] = d_part * old * reset * (1 - reset)
-        later = (d * (1 - renew) + d_part * reset + inner[t][:, : 2 * HIDDEN] @ w["update"].T) * going_on[t][:, None]
+        d = later
+        d += down[t]
+        kept = 1 - renew
+        x = new * new
+        np.subtract(1, x, out=x)
+        x *= renew
+        x *= d
+        d_new[:] = x
+        d_part = x @ through_new
+        np.subtract(new, old, out=x)
+        x *= renew
+        x *= kept
+        np.multiply(x, d, out=d_renew)
+        np.subtract(1, reset, out=x)
+        x *= part
+        np.multiply(x, d_part, out=d_reset)
+        d *= kept
+        d_part *= reset
+        d += d_part
+        d += inner[t][:, : 2 * HIDDEN] @ through_gates
+        d[going_on[t] == 0] = 0
     flat = inner.reshape(-1, 3 * HIDDEN)
     olds, parts = (np.concatenate([step[k] for step in trace]) for k in (0, 3))
     slopes["update"] += olds.T @ flat[:, : 2 * HIDDEN]
     slopes["new"] += parts.T @ flat[:, 2 * HIDDEN :]
-    order = np.argsort(inputs, axis=None, kind="stable")
-    tokens, first = np.unique(inputs.ravel()[order], return_index=True)
-    slopes["gates"][tokens] += np.add.reduceat(flat[order], first)
+    add_rows(slopes["gates"], inputs.ravel(), flat)
     return slopes, states[-1], float(-logs.mean())
 
 
@@ -299,7 +357,7 @@ class Trainer:
         """One pass over the texts, window by window."""
         words = len(ids) + len(bounds) - 1
         width = min(MOST_LANES, max(LANES, words // (LEAST_STEPS * WINDOW)))
-        lanes = Lanes(ids, bounds, self.lexicon.end, width)
+        lanes = Lanes(ids, bounds, self.lexicon.end, width, RUN)
         state = np.zeros((lanes.inputs.shape[1], HIDDEN), np.float32)
         window = max(WINDOW, LANES * WINDOW // len(state))  # few lanes beside a very long text
         for low in range(0, len(lanes.inputs), window):
@@ -313,22 +371,25 @@ class Trainer:
     def _step(self, slopes: dict) -> None:
         self.steps += 1
         size = np.sqrt(sum(float(np.vdot(g, g)) for g in slopes.values()))
+        cut = min(1.0, 1.0 / max(float(size), 1e-9))
         even, wide = 1 - 0.9**self.steps, 1 - 0.99**self.steps
-        for name, g in slopes.items():
-            g *= min(1.0, 1.0 / max(size, 1e-9))
-            mean, square = self.mean[name], self.square[name]
-            mean *= 0.9
-            mean += 0.1 * g
-            square *= 0.99
-            np.multiply(g, g, out=g)
-            g *= 0.01
-            square += g
-            np.divide(square, wide, out=g)
-            np.sqrt(g, out=g)
-            g += 1e-6
-            np.divide(mean, g, out=g)
-            g *= self.rate / even
-            self.w[name] -= g
+        for name in slopes:
+            every = [x[name].reshape(-1) for x in (slopes, self.mean, self.square, self.w)]
+            for low in range(0, len(every[0]), STEP):  # a part that the processor's cache holds
+                g, mean, square, w = (x[low : low + STEP] for x in every)
+                g *= cut
+                mean *= 0.9
+                mean += 0.1 * g
+                square *= 0.99
+                np.multiply(g, g, out=g)
+                g *= 0.01
+                square += g
+                np.divide(square, wide, out=g)
+                np.sqrt(g, out=g)
+                g += 1e-6
+                np.divide(mean, g, out=g)
+                g *= self.rate / even
+                w -= g
 
 
 def train_shard(w: dict, lexicon: Lexicon, ids: np.ndarray, bounds: np.ndarray, rate: float) -> tuple[dict, float]:
@@ -464,8 +525,9 @@ class Model:
             lanes = Lanes(ids, bounds, lexicon.value.end, SCORE_LANES)
             out = np.zeros(len(bounds) - 1)
             state = np.zeros((lanes.inputs.shape[1], HIDDEN), np.float32)
-            for low in range(0, len(lanes.inputs), SCORE_WINDOW):
-                part = slice(low, low + SCORE_WINDOW)
+            window = max(SCORE_WINDOW, SCORE_TOKENS // len(state))
+            for low in range(0, len(lanes.inputs), window):
+                part = slice(low, low + window)
                 states = read_window(weights.value, state, lanes.inputs[part], lanes.going_on[part])
                 state = states[-1]
                 known = lanes.targets[part] >= 0

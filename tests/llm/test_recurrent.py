@@ -196,3 +196,31 @@ def test_arcs_cover_all_hashes(spark, rounds, share):
     taken = [draws.filter(Model._arc(k / rounds, share)) for k in range(rounds)]
     met = {r["draw"] for part in taken for r in part.collect()}
     assert len(met) == draws.count()
+
+
+def test_runs_of_a_long_text_learn_every_token_once():
+    """A long text lies in lanes side by side, each run behind the tokens that came before it."""
+    rng = np.random.default_rng(5)
+    sizes = [300, 0, 2500, 1023, 1024, 7]
+    ids, bounds = rng.integers(0, 50, sum(sizes)).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
+    lanes = Lanes(ids, bounds, 50, 64, recurrent.RUN)
+    assert len(lanes.inputs) <= recurrent.RUN + recurrent.WARM
+    learnt = lanes.targets >= 0
+    assert learnt.sum() == sum(sizes) + len(sizes)
+    for text, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        mine = lanes.targets[learnt & (lanes.text == text)]
+        assert sorted(mine.tolist()) == sorted([*ids[low:high].tolist(), 50])
+    for lane in range(lanes.inputs.shape[1]):
+        for t in np.flatnonzero(learnt[:, lane] & (lanes.going_on[:, lane] > 0)).tolist():
+            if learnt[t - 1, lane]:
+                assert lanes.inputs[t, lane] == lanes.targets[t - 1, lane]
+
+
+def test_softmax_of_far_apart_rows():
+    """Rows whose exponents would sum up to too much or too little are weighed by their greatest."""
+    x = np.array([[200.0, 0, 1], [-300, -301, -302], [0, 1, 2]], np.float32)
+    at = np.array([1, 0, 2])
+    want = [math.log(1 / (math.exp(200) + 1 + math.e)), -math.log(1 + math.exp(-1) + math.exp(-2)), -math.log(1 + math.exp(-1) + math.exp(-2))]
+    for rows in ([0, 1, 2], [1], [2]):
+        got = recurrent._log_and_shares(x[rows].copy(), at[rows], None)
+        assert got.tolist() == pytest.approx([want[r] for r in rows], rel=1e-5)
