@@ -11,8 +11,11 @@ and those with more than ``COMMON`` reports in all are taken, the ``MOST_COMMON`
 has a count vector: its hashes dealt into groups (a quarter to a half as many as the set is large, a power of two). The sum of the coordinates'
 minima bounds the intersection. Within buckets, points are packed into R-trees whose nodes hold the
 maxima of their coordinates and the range of sizes. A set that meets another first at its k-th shingle
-shares no more than what is left from there, which bounds the intersection too. Pairs that the bounds let
-through are verified on the texts.
+shares no more than what is left from there, which bounds the intersection too. A last bound comes from parities:
+a shingle turns one of ``PARITIES`` bits of its set, so two sets differ in as many shingles as bits at least. A pair is
+named in the first bucket that it shares: each row carries the first ``BEFORE`` open buckets of its set that come before its own,
+and pairs with one of them in common are left to that one. (Pairs without one in these lists are named in each.) Pairs that
+the bounds let through are verified on the texts.
 
 Links inside a large group of near copies need not all be found to know its component: first every
 class is compared with two hubs of its buckets (the least id, and the least hash of an id), then only
@@ -52,6 +55,8 @@ from plantcast.llm.common import (
 
 TILE = 2048
 FANOUT = 16
+BEFORE = 8
+PARITIES = 512
 HUB_SPOKES = 512
 COMMON = 64
 MOST_COMMON = 100_000
@@ -79,6 +84,11 @@ def group_counts(shingles: np.ndarray) -> np.ndarray:
         groups *= 2
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles dealt to each of ``PARITIES`` places is odd, eight in a byte."""
+    return np.packbits(np.bincount((shingles >> np.uint64(32)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1)
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     """Shingles of a set of ``n`` that it cannot all lack in common with a set it links to."""
     return n - -(-num * n // den) + 1
@@ -108,11 +118,11 @@ def common_last(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def document_sets(documents: DataFrame, width: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, keys, counts) of every document."""
+    """(doc_id, n_shingles, s1, s2, keys, counts, parity) of every document."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, s1, s2, keys, counts = [], [], [], [], []
+            size, s1, s2, keys, counts, parity = [], [], [], [], [], []
             for _, s in shingle_sets(batch.column(1), width):
                 n = len(s)
                 size.append(n)
@@ -121,17 +131,18 @@ def document_sets(documents: DataFrame, width: int, num: int, den: int, common:
                 first = common_last(s, common)[: prefix_length(n, num, den) if n else 0]
                 keys.append(first.view(np.int64))
                 counts.append(group_counts(s).tobytes() if n else b"")
+                parity.append(parities(s).tobytes())
             sums = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), *sums, lists, pa.array(counts, pa.binary())],
-                ["doc_id", *SET, "keys", "counts"],
+                [batch.column(0), pa.array(size, pa.int64()), *sums, lists, *(pa.array(x, pa.binary()) for x in (counts, parity))],
+                ["doc_id", *SET, "keys", "counts", "parity"],
             )
 
     kind = dict(documents.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, counts binary"
+    schema = f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, counts binary, parity binary"
     return documents.select("doc_id", "text").mapInArrow(build, schema)
 
 
@@ -183,6 +194,25 @@ def can_link(bound: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int
     return (den + num) * np.minimum(bound, np.minimum(n, m)) >= num * (n + m)
 
 
+def parity_bound(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Upper bound of the intersections of pairs of sets of ``n`` and ``m``, by rows of parities."""
+    return (n + m - np.bitwise_count(a ^ b).sum(1, dtype=np.int64)) // 2
+
+
+def share_one(lists: pa.ListArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether lists i and j, of ``BEFORE`` numbers at most, have a number in common."""
+    sizes = lists.value_lengths().to_numpy()
+    held = np.arange(BEFORE) < sizes[:, None]
+    table = np.zeros(held.shape, np.int64)
+    table[held] = lists.flatten().to_numpy()
+    out = np.zeros(len(i), bool)
+    for low in range(0, len(i), 1 << 14):
+        x, y = i[low : low + (1 << 14)], j[low : low + (1 << 14)]
+        for k in range(BEFORE):
+            out[low : low + (1 << 14)] |= ((table[x, k, None] == table[y]) & held[x, k, None] & held[y]).any(1)
+    return out
+
+
 class RTree:
     """Packed R-tree over one bucket's points, ordered by size and then by their fullest group."""
 
@@ -250,19 +280,38 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame, num: int, den: int) -> Da
     return joined.filter(size).mapInArrow(bound, "a long, b long").distinct()
 
 
+def with_before(open_rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """``open_rows`` with ``before``: the first ``BEFORE`` open buckets of the set that come before the row's own.
+
+    Sets that share a doc_id have no order in common: their rows name a pair in every bucket.
+    """
+    several = reps.groupBy("rep").count().filter("count > 1").select("rep")
+    heads = open_rows.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "key"))), 1, BEFORE).alias("heads"))
+    heads = heads.join(broadcast_if_few(several), "rep", "left_anti")
+    before = F.transform(F.filter("heads", lambda head: head["pos"] < F.col("pos")), lambda head: head["key"])
+    none = F.array().cast("array<long>")
+    return open_rows.join(heads, "rep", "left").withColumn("before", F.coalesce(before, none)).drop("heads")
+
+
 def tree_pairs(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
-    """Pairs (a, b) from R-trees over the tiles of (key, pos, rep, label, n_shingles, counts)."""
+    """Pairs (a, b) from R-trees over the tiles of (key, pos, rep, label, n_shingles, counts, parity, before)."""
     block = F.pmod(F.xxhash64("rep"), "blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     counts = rows.groupBy("key").agg(F.ceil(F.count("*") / (TILE / 2)).cast("int").alias("blocks"))
     tiled = (
         rows.join(counts, "key")
         .withColumn("other", other)
-        .select("key", F.least(block, "other").alias("i"), F.greatest(block, "other").alias("j"), "rep", "label", "n_shingles", "counts", "pos")
+        .select("key", F.least(block, "other").alias("i"), F.greatest(block, "other").alias("j"), "rep", "label", "n_shingles", "counts", "pos", "parity", "before")
     )
 
-    def found(rep: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+    def found(table: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        """Those of the pairs whose parities let them link."""
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        x, y = at[: len(i)], at[len(i) :]
+        rep, n = (table.column(k).to_numpy()[used] for k in (3, 5))
+        parity = np.frombuffer(b"".join(table.column(8).take(pa.array(used)).to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+        keep = can_link(parity_bound(parity[x], n[x], parity[y], n[y]), n[x], n[y], num, den)
+        a, b = np.minimum(rep[x], rep[y])[keep], np.maximum(rep[x], rep[y])[keep]
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -291,6 +340,9 @@ def tree_pairs(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
                 keep = (label[i] != label[j]) & can_link(np.minimum(left[i], left[j]), n[i], n[j], num, den)
                 pairs.append(np.stack([i[keep], j[keep]]))
             i, j = np.concatenate(pairs, 1)
+            before = table.column(9).combine_chunks()
+            new = ~share_one(before, i, j)
+            i, j = i[new], j[new]
             if len(i):
                 ids = np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1)
                 once = np.unique(ids, axis=0, return_index=True)[1]
@@ -299,16 +351,18 @@ def tree_pairs(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
                 points = Points(table.column(6).take(pa.array(used)).to_pylist())
                 bound = overlap_bound(points, at[: len(i)], points, at[len(i) :])
                 keep = can_link(bound, n[i], n[j], num, den)
-                yield found(rep, i[keep], j[keep])
+                yield found(table, i[keep], j[keep])
             for k in np.flatnonzero(sizes > FANOUT).tolist():
                 rows = slice(int(bounds[k]), int(bounds[k + 1]))
                 if (label[rows] == label[rows][0]).all():
                     continue
                 blobs = table.column(6).slice(rows.start, rows.stop - rows.start).to_pylist()
-                yield found(rep[rows], *RTree(Points(blobs), n[rows], left[rows]).pairs(num, den, label[rows]))
+                i, j = RTree(Points(blobs), n[rows], left[rows]).pairs(num, den, label[rows])
+                new = ~share_one(before.slice(rows.start, rows.stop - rows.start), i, j)
+                yield found(table, rows.start + i[new], rows.start + j[new])
 
     dealt = tiled.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+    return dealt.mapInArrow(search, "a long, b long")
 
 
 def verified_pairs(pairs: DataFrame, documents: DataFrame, width: int, num: int, den: int, tasks: int) -> DataFrame:
@@ -383,7 +437,7 @@ def near_documents(documents: DataFrame, width: int = 4, num: int = 85, den: int
     reps = (
         sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy(*SET)
-        .agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))
+        .agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("counts").alias("counts"), F.first("parity").alias("parity"))
     )
     reps = staged(reps, f"{folder}/reps")
     drop_folder(spark, f"{folder}/sets")
@@ -409,8 +463,8 @@ def near_documents(documents: DataFrame, width: int = 4, num: int = 85, den: int
     open_rows = staged(open_rows, f"{folder}/open")
     for done in ("members", "labelled", "mixed"):
         drop_folder(spark, f"{folder}/{done}")
-    searched = tree_pairs(open_rows.join(points, "rep"), num, den, tasks)
-    second = staged(searched, f"{folder}/pairs")
+    marked = with_before(open_rows, reps).join(reps.select("rep", "n_shingles", "counts", "parity"), "rep")
+    second = staged(tree_pairs(marked, num, den, tasks).distinct(), f"{folder}/pairs")
     second = staged(verified_pairs(second, documents, width, num, den, tasks), f"{folder}/second")
     edges = first.union(second)
     grouped = components(reps.select(F.col("rep").alias("id")).distinct(), edges, f"{folder}/cc2")

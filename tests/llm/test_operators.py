@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -250,6 +251,46 @@ def test_rtree_finds_all_bounded_pairs():
     assert all((k, k + 60) in want for k in range(60))
 
 
+def test_a_pair_is_named_once(spark):
+    """Pairs of a group that cannot link are mostly not named, others in their first bucket only; no link is lost."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(1, 1 << 62, 150).astype(np.uint64)
+    sets = []
+    for k in range(120):  # copies at 0.70 to 0.85 of each other, every fourth beside one that links
+        kept = base[np.sort(rng.permutation(150)[:136])]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(1, 1 << 62, 14).astype(np.uint64)])))
+        if k % 4 == 0:
+            sets.append(np.unique(np.concatenate([sets[-1][2:], rng.integers(1, 1 << 62, 2).astype(np.uint64)])))
+    rows, points = [], []
+    for k, s in enumerate(sets):
+        points.append((k, len(s), k, 0, jaccard.group_counts(s).tobytes(), jaccard.parities(s).tobytes()))
+        rows += [(int(key), pos, k, k) for pos, key in enumerate(s[: jaccard.prefix_length(len(s), 85, 100)].view(np.int64))]
+    reps = spark.createDataFrame(points, "rep long, n_shingles long, s1 long, s2 long, counts binary, parity binary")
+    opened = jaccard.with_before(spark.createDataFrame(rows, "key long, pos int, rep long, label long"), reps)
+    found = jaccard.tree_pairs(opened.join(reps.drop("s1", "s2"), "rep"), 85, 100, 4).collect()
+    got = [(r["a"], r["b"]) for r in found]
+    linked = {
+        (a, b) for a, b in itertools.combinations(range(len(sets)), 2)
+        if 100 * len(both := np.intersect1d(sets[a], sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - len(both))
+    }
+    assert len(linked) >= 30 and linked <= set(got)
+    assert len(got) == len(set(got)) <= 4 * len(linked)
+
+
+def test_jaccard_of_texts_that_share_an_id(spark):
+    """Sets of one doc_id have no common order; each of them still finds what it links to."""
+    rng = random.Random(31)
+    bases = [sentence(rng, 60).split() for _ in range(6)]
+    rows = [(1, " ".join(b)) for b in bases]
+    for k, b in enumerate(bases):
+        for c in range(3):
+            w = [*b]
+            w[rng.randrange(len(w))] = f"edit{k}x{c}"
+            rows.append((10 + 10 * k + c, " ".join(w)))
+    got = jaccard.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {1}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 8)).astype(np.float32)
