@@ -55,6 +55,8 @@ FAR = 40.0  # exponents beyond that are taken less the greatest of their row
 FEW = 8  # rows of a word that are added one by one for all such words together
 STEP = 1 << 15  # weights that take a step together
 BLOCK = 1024  # targets whose classes are weighed at once
+HASH_BYTES = 1 << 16  # of texts hashed at once: their arrays stay in the processor's cache
+SLOT_BITS = 18  # of a word's hash, by which its place in the lexicon is looked up
 
 _SECOND = _mix(_BYTE + np.uint64(1))
 
@@ -73,13 +75,24 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, raw, offsets in text_chunks(batch.column(0)):
-                h1, h2, _ = _word_pairs(raw, offsets)
+                texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(raw))
+                pairs = [_word_pairs(*run)[:2] for _, *run in text_chunks(texts, HASH_BYTES)]
+                h1, h2 = (np.concatenate(h) for h in zip(*pairs, strict=True))
                 _, at, n = np.unique(h1, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(n)], ["h1", "h2", "n"])
 
     return texts.select("text").mapInArrow(count, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
+def _slots(h1: np.ndarray) -> np.ndarray:
+    return (h1 >> (64 - SLOT_BITS)) + (1 << (SLOT_BITS - 1))
+
+
+def slot_starts(h1: np.ndarray) -> np.ndarray:
+    """Where the hashes of every slot begin in the sorted ones, and the end of the last."""
+    return np.searchsorted(_slots(h1), np.arange((1 << SLOT_BITS) + 1))
+
+
 class Lexicon:
     """The most frequent words with their counts, the head of them that the network knows, and its classes."""
 
@@ -108,6 +121,7 @@ class Lexicon:
         rank[order] = np.arange(len(n))
         by_hash = np.lexsort((h2, h1))
         self.h1, self.h2, self.n = h1[by_hash], h2[by_hash], n[by_hash]
+        self.starts = slot_starts(self.h1)
         self.rank = np.where(rank < self.words, rank, self.tail)[by_hash].astype(np.int32)
         # classes: runs of words, then the end, then all other words
         root = np.sqrt(head)
@@ -125,10 +139,18 @@ class Lexicon:
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Place of each word in the lexicon, -1 where it has none."""
-        if not len(self.h1):
-            return np.full(len(h1), -1)
-        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
-        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), at, -1)
+        found = np.full(len(h1), -1)
+        slot = _slots(h1)
+        at, ends = self.starts.take(slot), self.starts.take(slot + 1)
+        rows = np.flatnonzero(at < ends)
+        at, ends = at.take(rows), ends.take(rows)
+        while len(rows):  # few words share a slot
+            hit = (self.h1.take(at) == h1.take(rows)) & (self.h2.take(at) == h2.take(rows))
+            found[rows[hit]] = at[hit]
+            at += 1
+            on = np.flatnonzero(~hit & (at < ends))
+            rows, at, ends = rows.take(on), at.take(on), ends.take(on)
+        return found
 
     def ids(self, at: np.ndarray) -> np.ndarray:
         return np.where(at >= 0, self.rank[at], self.tail).astype(np.int32) if len(self.rank) else np.full(len(at), self.tail, np.int32)
@@ -254,7 +276,7 @@ def log_probabilities(
     """
     kinds = lexicon.class_of[targets].astype(np.int16)
     order = np.argsort(kinds, kind="stable")
-    kinds, states, places = kinds[order], states[order], targets[order]
+    kinds, states, places = kinds.take(order), states.take(order, 0), targets.take(order)
     logs = np.empty(len(targets))
     scale = None if slopes is None else 1.0 / len(targets)
     back = None if slopes is None else np.empty_like(states)
@@ -279,25 +301,25 @@ def log_probabilities(
             slopes["to_word"][low:high] += x.T @ states[mine]
             slopes["word_bias"][low:high] += x.sum(0)
             back[mine] += x @ w["to_word"][low:high]
-    out = np.empty_like(logs)
-    out[order] = logs
-    if slopes is None:
-        return out, None
-    by_state = np.empty_like(back)
-    by_state[order] = back
-    return out, by_state
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return logs.take(place), None if slopes is None else back.take(place, 0)
 
 
 def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """Add every row to that of ``total`` which ``at`` names."""
     order = np.argsort(at.astype(np.int16), kind="stable")
     names, first, n = np.unique(at[order], return_index=True, return_counts=True)
-    rows = rows[order]
+    rows = rows.take(order, 0)
     for k in np.flatnonzero(n > FEW).tolist():
         total[names[k]] += rows[first[k] : first[k] + n[k]].sum(0)
-    for place in range(FEW):
-        some = (n > place) & (n <= FEW)
-        total[names[some]] += rows[first[some] + place]
+    few = np.flatnonzero(n <= FEW)
+    few = few[np.argsort(-n[few], kind="stable")]
+    first, left = first[few], np.cumsum(np.bincount(n[few], minlength=FEW + 1)[::-1])[::-1]  # words of so many rows at least
+    sums = rows.take(first, 0)
+    for place in range(1, FEW):
+        sums[: left[place + 1]] += rows.take(first[: left[place + 1]] + place, 0)
+    total[names[few]] += sums
 
 
 def window_slopes(w: dict, lexicon: Lexicon, state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, going_on: np.ndarray) -> tuple[dict, np.ndarray, float]:
@@ -305,10 +327,13 @@ def window_slopes(w: dict, lexicon: Lexicon, state: np.ndarray, inputs: np.ndarr
     trace: list = []
     states = read_window(w, state, inputs, going_on, trace)
     slopes = {name: np.zeros_like(value) for name, value in w.items()}
-    known = targets >= 0
-    logs, back = log_probabilities(w, lexicon, states[known], targets[known], slopes)
-    down = np.zeros_like(states)
-    down[known] = back
+    known = np.flatnonzero(targets >= 0)
+    logs, back = log_probabilities(w, lexicon, states.reshape(-1, HIDDEN).take(known, 0), targets.take(known), slopes)
+    if len(known) < targets.size:
+        down = np.zeros_like(states)
+        down.reshape(-1, HIDDEN)[known] = back
+    else:
+        down = back.reshape(states.shape)
     later = np.zeros_like(state)
     inner = np.empty((*inputs.shape, 3 * HIDDEN), down.dtype)
     through_new, through_gates = (np.ascontiguousarray(w[name].T) for name in ("new", "update"))
@@ -403,7 +428,7 @@ def _tokens(lexicon: Lexicon, texts: pa.Array, most: int | None = None) -> tuple
     """Network tokens of whole texts, up to about ``most`` words, and where the texts begin."""
     ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     total = 0
-    for _, raw, offsets in text_chunks(texts):
+    for _, raw, offsets in text_chunks(texts, HASH_BYTES):
         h1, h2, bounds = _word_pairs(raw, offsets)
         keep = len(bounds) - 1
         if most is not None:
@@ -530,9 +555,10 @@ class Model:
                 part = slice(low, low + window)
                 states = read_window(weights.value, state, lanes.inputs[part], lanes.going_on[part])
                 state = states[-1]
-                known = lanes.targets[part] >= 0
-                logs, _ = log_probabilities(weights.value, lexicon.value, states[known], lanes.targets[part][known])
-                out += np.bincount(lanes.text[part][known], logs, minlength=len(out))
+                targets = lanes.targets[part]
+                known = np.flatnonzero(targets >= 0)
+                logs, _ = log_probabilities(weights.value, lexicon.value, states.reshape(-1, HIDDEN).take(known, 0), targets.take(known))
+                out += np.bincount(lanes.text[part].take(known), logs, minlength=len(out))
             return out
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -550,7 +576,7 @@ class Model:
                     lists = [pa.ListArray.from_arrays(ends, pa.array(h)) for h in (h1, h2)]
                     return pa.RecordBatch.from_arrays([*columns, *map(pa.array, (words, known, base, network)), *lists], names)
 
-                for first, raw, offsets in text_chunks(batch.column(width)):
+                for first, raw, offsets in text_chunks(batch.column(width), HASH_BYTES):
                     if size and size + len(raw) > GROUP_BYTES:
                         yield finished(first)
                         begun, group, rows, size = first, [], [], 0

@@ -224,3 +224,29 @@ def test_softmax_of_far_apart_rows():
     for rows in ([0, 1, 2], [1], [2]):
         got = recurrent._log_and_shares(x[rows].copy(), at[rows], None)
         assert got.tolist() == pytest.approx([want[r] for r in rows], rel=1e-5)
+
+
+def test_words_are_found_by_slots():
+    """Hashes that share a slot, or all but the second half, are told apart."""
+    rng = np.random.default_rng(6)
+    h1 = np.concatenate([rng.integers(-(1 << 63), 1 << 63, 500), np.arange(7) + (5 << 50), [-(1 << 63), (1 << 63) - 1, 9, 9]])
+    h2 = np.concatenate([rng.integers(-(1 << 63), 1 << 63, len(h1) - 2), [1, 2]])
+    order = np.lexsort((h2, h1))
+    lex = Lexicon.__new__(Lexicon)
+    lex.h1, lex.h2 = h1[order], h2[order]
+    lex.starts = recurrent.slot_starts(lex.h1)
+    assert lex.find(lex.h1, lex.h2).tolist() == list(range(len(h1)))
+    assert lex.find(lex.h1, lex.h2 + 7).tolist() == [-1] * len(h1)
+    assert lex.find(lex.h1 + 1000, lex.h2).tolist() == [-1] * len(h1)
+    lex.h1, lex.h2, lex.starts = h1[:0], h2[:0], recurrent.slot_starts(h1[:0])
+    assert lex.find(h1, h2).tolist() == [-1] * len(h1)
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 700])
+def test_sums_over_rows(n):
+    rng = np.random.default_rng(n)
+    b, at = rng.normal(size=(n, 3)), np.minimum(rng.zipf(1.3, n), 90)
+    got, want = np.ones((91, 3)), np.ones((91, 3))
+    recurrent.add_rows(got, at, b)
+    np.add.at(want, at, b)
+    assert got == pytest.approx(want)
