@@ -55,8 +55,8 @@ from plantcast.llm.common import (
 
 TILE = 2048
 FANOUT = 16
-BEFORE = 8
-PARITIES = 512
+BEFORE = 6
+PARITIES = 256
 HUB_SPOKES = 512
 COMMON = 64
 MOST_COMMON = 100_000
